@@ -85,3 +85,30 @@ def lag_exact(df: DataFrame, keys: Sequence[str], order: Sequence[str], values:
     x = x.withColumns({f"{prefix}{v}": F.when(F.col("_rn") == 1, F.col("_carry")[v])
                        .otherwise(F.col(f"{prefix}{v}")) for v in values})
     return x.drop("_chunk", "_rn", "_carry")
+
+
+def gap_episodes(df: DataFrame, keys: Sequence[str], order: Sequence[str], gap: Column,
+                 chunk: Column, out: str = "episode") -> DataFrame:
+    """Number the episodes of each key: a new episode starts at a key's first
+    row and after every pause of at least ``gap`` (an interval) between
+    consecutive rows (ordered by ``order``; ``order[0]`` is the time column).
+
+    One window pass per (key, chunk) finds the pauses inside a chunk; a
+    per-chunk summary (first time, last time, #pauses) decides whether each
+    chunk's first row starts an episode and how many episodes precede it.
+    """
+    keys = list(keys)
+    t = order[0]
+    x = df.withColumn("_chunk", chunk)
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    prev = F.lag(t).over(w)
+    x = x.withColumn("_ls", (prev.isNotNull() & (F.col(t) - prev >= gap)).cast("bigint"))
+    x = x.withColumn("_lc", F.sum("_ls").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    summ = x.groupBy(*keys, "_chunk").agg(F.min(t).alias("_ft"), F.max(t).alias("_lt"), F.sum("_ls").alias("_ns"))
+    wc = Window.partitionBy(*keys).orderBy("_chunk")
+    carry = F.lag("_lt").over(wc)
+    summ = summ.withColumn("_fs", (carry.isNull() | (F.col("_ft") - carry >= gap)).cast("bigint"))
+    summ = summ.withColumn("_off", F.coalesce(
+        F.sum(F.col("_ns") + F.col("_fs")).over(wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    x = x.join(summ.select(*keys, "_chunk", "_off", "_fs"), keys + ["_chunk"], "left")
+    return x.withColumn(out, F.col("_off") + F.col("_fs") + F.col("_lc")).drop("_chunk", "_ls", "_lc", "_off", "_fs")
