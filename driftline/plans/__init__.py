@@ -1,4 +1,4 @@
 """Query bindings on the driver tables; importing this registers them all."""
 
-from driftline.plans import cleaning, dashboard, drift, incidents, logs, metrics, modeling, sampling, versions  # noqa: F401
+from driftline.plans import cleaning, dashboard, drift, incidents, io, logs, metrics, modeling, sampling, versions  # noqa: F401
 from driftline.plans.registry import ORACLES, QUERIES  # noqa: F401
