@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.operators.sequence import running_sum
+from driftline.session import cut_lineage
 
 P_THRESHOLD = 0.05
 DATASET_SHARE = 0.3
@@ -55,7 +56,9 @@ def ks_statistic(ref: DataFrame, cur: DataFrame, features: Sequence[str] | None
     """Per feature ``D = max_x |F_ref(x) - F_cur(x)|`` with the sample sizes."""
     if features is None:
         features = common_numeric_features(ref, cur)
-    counts = value_counts(ref, cur, features)
+    # distinct (feature, value) counts feed four consumers; written once to the
+    # shared checkpoint folder instead of re-aggregating the input for each
+    counts = cut_lineage(value_counts(ref, cur, features))
     cum = running_sum(counts, ["feature"], ["value"], ["n_ref", "n_cur"], buckets=buckets)
     tot = counts.groupBy("feature").agg(F.sum("n_ref").alias("tot_ref"), F.sum("n_cur").alias("tot_cur"))
     gap = cum.join(tot, "feature").select(

@@ -37,7 +37,9 @@ def fit_forest(train: DataFrame, features: Sequence[str], label: str, num_trees:
     asm = VectorAssembler(inputCols=[f"{c}_z" for c in features], outputCol="features", handleInvalid="keep")
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=num_trees,
                                 maxDepth=SPARK_MAX_DEPTH if max_depth is None else max_depth,
-                                minInstancesPerNode=min_instances, featureSubsetStrategy="sqrt", seed=seed)
+                                minInstancesPerNode=min_instances, featureSubsetStrategy="sqrt", seed=seed,
+                                # more nodes per pass over the data, node ids cached between levels
+                                maxMemoryInMB=1024, cacheNodeIds=True)
     return Pipeline(stages=[scaler_stage(stats), asm, rf]).fit(train)
 
 

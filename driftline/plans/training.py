@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from driftline.functions.labels import severity_label
 from driftline.operators import clean, evaluate, model, sampling
 from driftline.plans.registry import query
-from driftline.session import scratch_path
+from driftline.session import cut_lineage, scratch_path
 from driftline.sources.tables import Tables
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
@@ -35,7 +35,9 @@ def labelled(spark, sf) -> DataFrame:
 
 
 def split(spark, sf) -> DataFrame:
-    return sampling.split_random(labelled(spark, sf), KEY, 0.2, SALT)
+    """Labelled rows with their split, cut from the lineage once: the scaler
+    fit, the tree passes and the evaluation all read this table."""
+    return cut_lineage(sampling.split_random(labelled(spark, sf), KEY, 0.2, SALT))
 
 
 def fitted(spark, sf):
