@@ -54,3 +54,13 @@ def log_level(label: Column, message: Column) -> Column:
 def iso_utc(ts: str | Column) -> Column:
     """ISO-8601 UTC text with microseconds and a trailing Z."""
     return F.date_format(_c(ts), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def mib_text(col: str | Column, digits: int = 1) -> Column:
+    """a byte count as text in MiB."""
+    return F.format_string(f"%.{digits}f MiB", _c(col) / F.lit(1024.0 * 1024.0))
+
+
+def thousands(col: str | Column) -> Column:
+    """an integer with a space as the thousands separator ("1 234 567")."""
+    return F.translate(F.format_number(_c(col).cast("long"), 0), ",", " ")

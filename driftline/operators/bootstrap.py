@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from driftline.functions.hashing import draw
 from driftline.operators.sampling import sample_exact
 from driftline.operators.sequence import running_sum
+from driftline.session import cut_lineage
 
 
 def _values_long(df: DataFrame, columns: Sequence[str], numeric: bool) -> DataFrame:
@@ -44,7 +45,8 @@ def value_ranges(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     pieces = []
     if num:
         vc = _values_long(df, num, True).groupBy("column", "vnum", "vstr").agg(F.count(F.lit(1)).alias("cnt"))
-        pieces.append(running_sum(vc, ["column"], ["vnum"], ["cnt"]))
+        # the quantile cuts, the chunk windows and the chunk totals all read vc
+        pieces.append(running_sum(cut_lineage(vc), ["column"], ["vnum"], ["cnt"]))
     if txt:
         vc = _values_long(df, txt, False).groupBy("column", "vnum", "vstr").agg(F.count(F.lit(1)).alias("cnt"))
         # a 2-character prefix is monotone in the (binary) string order
@@ -65,7 +67,8 @@ def bootstrap_columns(carriers: DataFrame, source: DataFrame, key: Sequence[str]
     """
     key = list(key)
     types = {f.name: f.dataType for f in source.schema.fields}
-    ranges = value_ranges(source, columns)
+    # one row per distinct value: written once, read by the lookup and the size table
+    ranges = cut_lineage(value_ranges(source, columns))
     ranges = ranges.withColumn("W", F.greatest(F.lit(1), F.floor(F.col("n") / F.col("d"))))
     lookup = ranges.select("column", "vnum", "vstr", "lo", "hi",
                            F.explode(F.sequence(F.floor(F.col("lo") / F.col("W")),

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def merge_outer(frames: Sequence[DataFrame], key: str) -> DataFrame:
@@ -25,10 +26,28 @@ def merge_outer(frames: Sequence[DataFrame], key: str) -> DataFrame:
     return out
 
 
-def cap_rows(df: DataFrame, order: Sequence[str], limit: int = 100_000) -> DataFrame:
+def cap_rows(df: DataFrame, order: Sequence[str], limit: int = 100_000, slack: float = 1.1) -> DataFrame:
     """L1: keep the first ``limit`` rows in a total key order (nulls last).
 
-    Distributed top-k (TakeOrderedAndProject): each partition keeps its own
-    ``limit`` best rows before the final merge.
+    A plain top-k sends every partition's best ``limit`` rows to one final
+    task (#partitions x limit rows).  When the leading order column is
+    orderable by ``percentile_approx`` (numbers, dates, timestamps), a
+    threshold on it is found first (one approximate-quantile aggregate,
+    checked by an exact count) and only rows at or below it enter the
+    top-k, so the final task sees about ``limit * slack`` rows.  Ties and
+    NULL keys are still ordered exactly by the top-k.
     """
-    return df.orderBy(*[F.col(c).asc_nulls_last() for c in order]).limit(limit)
+    ordered = [F.col(c).asc_nulls_last() for c in order]
+    lead = order[0]
+    if not isinstance(df.schema[lead].dataType, (T.NumericType, T.DateType, T.TimestampType)):
+        return df.orderBy(*ordered).limit(limit)
+    stats = df.agg(F.count(F.lit(1)).alias("n"), F.count(lead).alias("nk")).first()
+    if stats["nk"] <= limit:
+        # every non-null key is in the answer; the top-k only has to pick among NULL keys
+        return df.orderBy(*ordered).limit(limit)
+    q = min(1.0, slack * limit / stats["nk"])
+    cut = df.agg(F.percentile_approx(lead, q, 10_000).alias("t")).first()["t"]
+    kept = df.filter(F.col(lead) <= F.lit(cut))
+    if kept.count() < limit:  # the approximation undershot: fall back to the exact top-k
+        kept = df
+    return kept.orderBy(*ordered).limit(limit)

@@ -44,7 +44,9 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums:
 
     ``order`` must be a total order within a key.  ``chunk`` is a Column
     monotone in ``order[0]`` (e.g. ``date_trunc('day', ts)``); when omitted
-    approximate-quantile buckets of ``order[0]`` are used.
+    approximate-quantile buckets of ``order[0]`` are used.  ``df`` is read
+    by several branches (cuts, chunk windows, chunk totals): when it is an
+    expensive aggregate, cut its lineage first.
     """
     keys = list(keys)
     if chunk is None:

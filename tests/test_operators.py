@@ -278,3 +278,25 @@ def test_scratch_paths_live_under_the_checkpoint_dir(spark):
     from driftline.session import checkpoint_dir, scratch_path
     assert scratch_path(spark, "x").startswith(checkpoint_dir(spark) + "/")
     assert os.path.isdir(checkpoint_dir(spark))
+
+
+def test_display_helpers(spark):
+    df = spark.createDataFrame([(1234567, 3 * 1024 * 1024)], "n long, b long")
+    r = df.select(labels.thousands("n"), labels.mib_text("b")).first()
+    assert tuple(r) == ("1 234 567", "3.0 MiB")
+
+
+def test_year_family_reads_all_years_with_a_year_column(spark, tmp_path):
+    for y, rows in ((2022, "k;v\n1;a\n2;b\n"), (2023, "k;v\n3;c\n")):
+        (tmp_path / f"usagers-{y}.csv").write_text(rows)
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.StringType())])
+    df = delimited.year_family(spark, str(tmp_path / "usagers-{year}.csv"), [2022, 2023], schema)
+    assert sorted((r["k"], r["year"]) for r in df.collect()) == [(1, 2022), (2, 2022), (3, 2023)]
+
+
+def test_row_cap_prefilter_keeps_the_exact_first_rows(spark):
+    from driftline.operators.merge import cap_rows
+    df = spark.range(5000).select(((F.col("id") * 7919) % 5000).alias("k"), (F.col("id") % 3).alias("x"))
+    df = df.unionByName(spark.createDataFrame([(None, 1)], "k long, x long"))
+    got = sorted(r["k"] for r in cap_rows(df, ["k", "x"], 1200).collect())
+    assert got == list(range(1200))
