@@ -73,4 +73,7 @@ def year_family(spark: SparkSession, template: str, years: Sequence[int], schema
     df = read_delimited(spark, paths[0], schema, sep) if len(paths) == 1 else \
         spark.read.schema(schema).option("sep", sep).option("header", True) \
              .option("timestampFormat", TIMESTAMP_FORMAT).csv(paths)
-    return df.withColumn("year", F.regexp_extract(F.input_file_name(), r"(\d{4})", 1).cast("int"))
+    # the year is read from the file name the template produces, never from parent folders
+    base = template.rsplit("/", 1)[-1]
+    pattern = re.escape(base).replace(re.escape("{year}"), r"(\d{4})") + "$"
+    return df.withColumn("year", F.regexp_extract(F.input_file_name(), pattern, 1).cast("int"))
