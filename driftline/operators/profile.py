@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,10 +45,11 @@ def share_of_total(grouped: DataFrame, count_col: str = "n", name: str = "pct",
                    scale: int | None = None) -> DataFrame:
     """``count * 100.0 / total`` where total is the sum over all groups.
 
-    The total is a window over the aggregated rows (one per group), which is
-    the one-row cross join of the SQL form without a cartesian product.
+    The total is a one-row scalar subquery over the aggregated rows (the
+    one-row cross join of the SQL form), so the group rows stay spread
+    over their partitions however many groups there are.
     """
-    total = F.sum(F.col(count_col)).over(Window.partitionBy())
+    total = grouped.agg(F.sum(F.col(count_col))).scalar()
     pct = F.col(count_col) * F.lit(100.0) / total
     if scale is not None:
         pct = F.round(pct, scale)
