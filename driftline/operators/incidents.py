@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.operators.sequence import gap_episodes, lag_exact, running_sum
+from driftline.operators.sequence import gap_episodes, number_runs
 
 # Thresholds and limiter settings of the incident monitor.
 CPU_THRESHOLD = 90.0
@@ -121,10 +121,7 @@ def sustained_islands(df: DataFrame, key: str, ts: str, tie: str, above: Column,
     run lasts at least ``for_seconds`` (gaps-and-islands, exact, chunked)."""
     day = F.date_trunc("day", F.col(ts))
     x = df.withColumn("_above", above.cast("int"))
-    x = lag_exact(x, [key], [ts, tie], ["_above"], day, prefix="_prev")
-    x = x.withColumn("_chg", F.when(F.col("_prev_above").isNull() | (F.col("_prev_above") != F.col("_above")), 1)
-                     .otherwise(0).cast("bigint"))
-    x = running_sum(x, [key], [ts, tie], ["_chg"], chunk=day).withColumnRenamed("_chg_cum", "island")
+    x = number_runs(x, [key], [ts, tie], "_above", lambda p, c: p != c, day, out="island")
     runs = (x.filter(F.col("_above") == 1).groupBy(key, "island")
               .agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count(F.lit(1)).alias("n_samples")))
     dur = (F.unix_micros("end") - F.unix_micros("start")) / F.lit(1e6)

@@ -13,7 +13,7 @@ per-chunk summary (``#keys x #chunks`` rows):
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,28 +89,40 @@ def lag_exact(df: DataFrame, keys: Sequence[str], order: Sequence[str], values:
     return x.drop("_chunk", "_rn", "_carry")
 
 
-def gap_episodes(df: DataFrame, keys: Sequence[str], order: Sequence[str], gap: Column,
-                 chunk: Column, out: str = "episode") -> DataFrame:
-    """Number the episodes of each key: a new episode starts at a key's first
-    row and after every pause of at least ``gap`` (an interval) between
-    consecutive rows (ordered by ``order``; ``order[0]`` is the time column).
+def number_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
+                starts: Callable[[Column, Column], Column], chunk: Column, out: str) -> DataFrame:
+    """Number the runs of each key: a row starts a new run when it is the
+    key's first row or ``starts(previous value, value)`` holds.
 
-    One window pass per (key, chunk) finds the pauses inside a chunk; a
-    per-chunk summary (first time, last time, #pauses) decides whether each
-    chunk's first row starts an episode and how many episodes precede it.
+    Exact ``sum(start) OVER (PARTITION BY keys ORDER BY order)`` without a
+    whole key in one task: one window pass per (key, chunk) decides the
+    rows after each chunk's first; a per-chunk summary (first value, last
+    value, local starts) decides each chunk's first row and the number of
+    runs before the chunk.
     """
     keys = list(keys)
-    t = order[0]
+    v = F.col(value)
     x = df.withColumn("_chunk", chunk)
     w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    prev = F.lag(t).over(w)
-    x = x.withColumn("_ls", (prev.isNotNull() & (F.col(t) - prev >= gap)).cast("bigint"))
+    prev = F.lag(v).over(w)
+    x = x.withColumn("_ls", F.when(F.row_number().over(w) > 1, starts(prev, v).cast("bigint")).otherwise(0))
     x = x.withColumn("_lc", F.sum("_ls").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    summ = x.groupBy(*keys, "_chunk").agg(F.min(t).alias("_ft"), F.max(t).alias("_lt"), F.sum("_ls").alias("_ns"))
+    o = F.struct(*[F.col(c) for c in order])
+    summ = x.groupBy(*keys, "_chunk").agg(F.min_by(v, o).alias("_fv"), F.max_by(v, o).alias("_lv"),
+                                           F.sum("_ls").alias("_ns"))
     wc = Window.partitionBy(*keys).orderBy("_chunk")
-    carry = F.lag("_lt").over(wc)
-    summ = summ.withColumn("_fs", (carry.isNull() | (F.col("_ft") - carry >= gap)).cast("bigint"))
+    carry = F.lag("_lv").over(wc)
+    first_starts = F.when(F.row_number().over(wc) == 1, F.lit(True)).otherwise(starts(carry, F.col("_fv")))
+    summ = summ.withColumn("_fs", first_starts.cast("bigint"))
     summ = summ.withColumn("_off", F.coalesce(
         F.sum(F.col("_ns") + F.col("_fs")).over(wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     x = x.join(summ.select(*keys, "_chunk", "_off", "_fs"), keys + ["_chunk"], "left")
     return x.withColumn(out, F.col("_off") + F.col("_fs") + F.col("_lc")).drop("_chunk", "_ls", "_lc", "_off", "_fs")
+
+
+def gap_episodes(df: DataFrame, keys: Sequence[str], order: Sequence[str], gap: Column,
+                 chunk: Column, out: str = "episode") -> DataFrame:
+    """Number the episodes of each key: a new episode starts at a key's first
+    row and after every pause of at least ``gap`` (an interval) between
+    consecutive rows (``order[0]`` is the time column)."""
+    return number_runs(df, keys, order, order[0], lambda p, c: c - p >= gap, chunk, out)
