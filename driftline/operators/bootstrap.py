@@ -6,7 +6,9 @@ Instead of numbering all values (a single-task ``row_number``) the column
 is reduced to its distinct values with counts; exact running counts give
 each distinct value its index range ``[lo, hi)``; the lookup of ``i`` is an
 equi-join on a block number (``i div W``) plus a range filter - an exact
-range join whose lookup side has at most ``#distinct + n / W`` rows.
+range join whose lookup side has at most ``#distinct + n / W`` rows.  ``W``
+is capped, so no block key receives more than about ``W`` carriers even
+when a column has only a few distinct values.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from driftline.operators.sampling import sample_exact
 from driftline.operators.sequence import running_sum
 from driftline.session import cut_lineage
 
+BLOCK_CAP = 4096
+
 
 def _values_long(df: DataFrame, columns: Sequence[str], numeric: bool) -> DataFrame:
     parts = []
@@ -69,7 +73,10 @@ def bootstrap_columns(carriers: DataFrame, source: DataFrame, key: Sequence[str]
     types = {f.name: f.dataType for f in source.schema.fields}
     # one row per distinct value: written once, read by the lookup and the size table
     ranges = cut_lineage(value_ranges(source, columns))
-    ranges = ranges.withColumn("W", F.greatest(F.lit(1), F.floor(F.col("n") / F.col("d"))))
+    # block width: about one distinct value per block, but never more than BLOCK_CAP
+    # indexes, so a column with few values still spreads its carriers over n / BLOCK_CAP keys
+    ranges = ranges.withColumn("W", F.greatest(F.lit(1), F.least(F.lit(BLOCK_CAP),
+                                                                  F.floor(F.col("n") / F.col("d")))))
     lookup = ranges.select("column", "vnum", "vstr", "lo", "hi",
                            F.explode(F.sequence(F.floor(F.col("lo") / F.col("W")),
                                                 F.floor((F.col("hi") - 1) / F.col("W")))).alias("block"))

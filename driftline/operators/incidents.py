@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.operators.sequence import gap_episodes, number_runs
+from driftline.operators.sequence import gap_episodes, number_runs, time_chunk
 
 # Thresholds and limiter settings of the incident monitor.
 CPU_THRESHOLD = 90.0
@@ -90,8 +90,8 @@ def _limiter_fold(key: str, max_restarts: int, window: pd.Timedelta):
 def restart_limiter(incidents: DataFrame, key: str, ts: str, tie: str,
                     max_restarts: int = MAX_RESTARTS, window_minutes: int = RESTART_WINDOW_MINUTES) -> DataFrame:
     """Add ``granted`` to each incident row (see the module notes)."""
-    day = F.date_trunc("day", F.col(ts))
-    x = gap_episodes(incidents, [key], [ts, tie], F.make_dt_interval(mins=F.lit(window_minutes)), day,
+    chunk = time_chunk(ts)
+    x = gap_episodes(incidents, [key], [ts, tie], F.make_dt_interval(mins=F.lit(window_minutes)), chunk,
                      out="_episode")
     x = x.withColumnRenamed(tie, "_tie")
     if ts != "ts":
@@ -119,9 +119,9 @@ def sustained_islands(df: DataFrame, key: str, ts: str, tie: str, above: Column,
                       for_seconds: int) -> DataFrame:
     """Runs of consecutive samples above a threshold; ``firing`` when a
     run lasts at least ``for_seconds`` (gaps-and-islands, exact, chunked)."""
-    day = F.date_trunc("day", F.col(ts))
+    chunk = time_chunk(ts)
     x = df.withColumn("_above", above.cast("int"))
-    x = number_runs(x, [key], [ts, tie], "_above", lambda p, c: p != c, day, out="island")
+    x = number_runs(x, [key], [ts, tie], "_above", lambda p, c: p != c, chunk, out="island")
     runs = (x.filter(F.col("_above") == 1).groupBy(key, "island")
               .agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count(F.lit(1)).alias("n_samples")))
     dur = (F.unix_micros("end") - F.unix_micros("start")) / F.lit(1e6)

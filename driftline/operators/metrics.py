@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.operators.sequence import lag_exact
+from driftline.operators.sequence import lag_exact, time_chunk
 
 
 def counter_increase(df: DataFrame, series: Sequence[str], order: Sequence[str], value: str,
@@ -26,7 +26,7 @@ def counter_increase(df: DataFrame, series: Sequence[str], order: Sequence[str],
     the step edges (documented difference from PromQL ``increase``).
     """
     series = list(series)
-    chunk = chunk if chunk is not None else F.col(step)
+    chunk = chunk if chunk is not None else time_chunk(order[0])
     x = lag_exact(df, series, order, [value], chunk, prefix="_prev_")
     v, p = F.col(value), F.col(f"_prev_{value}")
     inc = F.when(p.isNull(), F.lit(0)).when(v >= p, v - p).otherwise(v)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.labels import iso_utc
 from driftline.operators import incidents as inc
-from driftline.operators.sequence import running_sum
+from driftline.operators.sequence import running_sum, time_chunk
 from driftline.plans.registry import query
 from driftline.session import scratch_path
 from driftline.sources.tables import Tables
@@ -97,9 +97,8 @@ def samples(spark, sf) -> DataFrame:
         (cents * 100000).alias("mem_usage"),
         F.when(F.col("user_id") % 7 == 0, 0).otherwise(250000000).cast("bigint").alias("mem_limit"),
         F.lit(2).alias("online_cpus"))
-    day = F.date_trunc("day", "ts")
     order = ["ts", "event_id"]
-    s = running_sum(s, ["container"], order, ["cpu_units", "system_units"], chunk=day)
+    s = running_sum(s, ["container"], order, ["cpu_units", "system_units"], chunk=time_chunk("ts"))
     s = s.withColumnsRenamed({"cpu_units_cum": "cpu_total", "system_units_cum": "system_total"})
     # the previous sample's counter is the running total before this sample's increment
     s = s.withColumns({"precpu_total": F.col("cpu_total") - F.col("cpu_units"),

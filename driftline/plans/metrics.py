@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.labels import band
 from driftline.operators import metrics
-from driftline.operators.sequence import running_sum
+from driftline.operators.sequence import running_sum, time_chunk
 from driftline.plans.registry import query
 from driftline.sources.tables import Tables
 
@@ -65,7 +65,7 @@ def requests(spark, sf) -> DataFrame:
 def request_counter(req: DataFrame) -> DataFrame:
     """requests_total{job, status}: running count per (series, day)."""
     x = req.withColumn("_one", F.lit(1).cast("bigint"))
-    x = running_sum(x, ["job", "status", "day"], ["ts", "event_id"], ["_one"], chunk=F.col("step"))
+    x = running_sum(x, ["job", "status", "day"], ["ts", "event_id"], ["_one"], chunk=time_chunk("ts"))
     return x.withColumnRenamed("_one_cum", "requests_total").drop("_one")
 
 
@@ -118,7 +118,7 @@ FROM s JOIN c USING (job, step)
 """)
 def avg_latency(spark, sf):
     req = requests(spark, sf).withColumn("_one", F.lit(1).cast("bigint"))
-    ctr = running_sum(req, ["job", "day"], ["ts", "event_id"], ["latency_cents", "_one"], chunk=F.col("step"))
+    ctr = running_sum(req, ["job", "day"], ["ts", "event_id"], ["latency_cents", "_one"], chunk=time_chunk("ts"))
     order = ["ts", "event_id"]
     s = metrics.counter_increase(ctr, ["job"], order, "latency_cents_cum", "step", name="inc_sum")
     c = metrics.counter_increase(ctr, ["job"], order, "_one_cum", "step", name="inc_cnt")
