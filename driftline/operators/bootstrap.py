@@ -67,7 +67,8 @@ def bootstrap_columns(carriers: DataFrame, source: DataFrame, key: Sequence[str]
     """One bootstrapped value per carrier row and column (columns drawn independently).
 
     A column without non-null values stays NULL.  Output: ``key`` +
-    ``columns`` with the source types.
+    ``columns`` with the source types.  ``key`` must identify carrier rows
+    uniquely (it seeds the draws and regroups the drawn columns).
     """
     key = list(key)
     types = {f.name: f.dataType for f in source.schema.fields}

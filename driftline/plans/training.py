@@ -20,6 +20,9 @@ from driftline.sources.tables import Tables
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 KEY = ["l_orderkey", "l_linenumber"]
+# (order, line) repeats in lineitem: the split draws on the whole labelled row, so rows
+# that tie on the draw are identical and the split is deterministic
+SPLIT_KEY = [*KEY, "l_quantity", "l_extendedprice", "l_discount", "l_tax", "y"]
 SALT = "driftline-split"
 NUM_TREES = 20
 MAX_DEPTH = 8
@@ -37,7 +40,7 @@ def labelled(spark, sf) -> DataFrame:
 def split(spark, sf) -> DataFrame:
     """Labelled rows with their split, cut from the lineage once: the scaler
     fit, the tree passes and the evaluation all read this table."""
-    return cut_lineage(sampling.split_random(labelled(spark, sf), KEY, 0.2, SALT))
+    return cut_lineage(sampling.split_random(labelled(spark, sf), SPLIT_KEY, 0.2, SALT))
 
 
 def fitted(spark, sf):
