@@ -89,23 +89,49 @@ def standardize(df: DataFrame, cols: Sequence[str], digits: int | None = None) -
     return apply_standard(df, fit_standard(df, cols), digits)
 
 
-def dummy_levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> list:
+def dummy_levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> list | None:
+    """Sorted non-null levels, or ``None`` when there are more than ``max_levels``."""
     levels = [r[0] for r in df.select(col).distinct().filter(F.col(col).isNotNull())
               .limit(max_levels + 1).collect()]
-    if len(levels) > max_levels:
-        raise ValueError(f"{col} has more than {max_levels} levels; use a StringIndexer pipeline")
-    return sorted(levels)
+    return None if len(levels) > max_levels else sorted(levels)
 
 
-def one_hot(df: DataFrame, col: str, levels: Sequence | None = None, drop_first: bool = True) -> DataFrame:
+def one_hot(df: DataFrame, col: str, levels: Sequence | None = None, drop_first: bool = True,
+            max_levels: int = MAX_LEVELS) -> DataFrame:
     """M2: dummy columns ``<col>_<level>`` (0/1 ints), first level dropped.
 
     Numeric columns pass through unchanged, as with the reference's
-    ``get_dummies``.  Levels are a bounded, checked distinct list.
+    ``get_dummies``.  Up to ``max_levels`` levels become columns; beyond
+    that the same encoding is produced as one sparse vector ``<col>_vec``
+    by a fitted ``StringIndexer`` + ``OneHotEncoder`` (levels indexed in
+    descending order, so dropping the last index drops the first level).
     """
     if not isinstance(df.schema[col].dataType, T.StringType):
         return df
-    levels = sorted(levels) if levels is not None else dummy_levels(df, col)
+    levels = sorted(levels) if levels is not None else dummy_levels(df, col, max_levels)
+    if levels is None:
+        return _one_hot_vector(df, col, drop_first)
     keep = levels[1:] if drop_first else levels
     dummies = {f"{col}_{lv}": (F.col(col) == F.lit(lv)).cast("int") for lv in keep}
     return df.withColumns(dummies).drop(col)
+
+
+def _one_hot_vector(df: DataFrame, col: str, drop_first: bool) -> DataFrame:
+    """Exact ``get_dummies`` semantics as one sparse vector: NULL (and, with
+    ``drop_first``, the alphabetically first level) encode as all zeros.
+
+    Levels are indexed alphabetically; the excluded values are mapped to
+    one sentinel index placed last, which ``dropLast`` removes.
+    """
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    idx = StringIndexer(inputCol=col, outputCol="_lvl", stringOrderType="alphabetAsc",
+                        handleInvalid="keep").fit(df)
+    n = len(idx.labels)                      # NULL / unseen -> index n
+    i = F.col("_lvl")
+    if drop_first:                           # levels 1..n-1 -> 0..n-2, sentinel n-1
+        code = F.when((i >= 1) & (i < n), i - 1).otherwise(F.lit(float(n - 1)))
+    else:                                    # levels 0..n-1 kept, sentinel n
+        code = F.when(i < n, i).otherwise(F.lit(float(n)))
+    x = idx.transform(df).withColumn("_code", code)
+    enc = OneHotEncoder(inputCols=["_code"], outputCols=[f"{col}_vec"], dropLast=True).fit(x)
+    return enc.transform(x).drop(col, "_lvl", "_code")
