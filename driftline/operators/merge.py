@@ -8,21 +8,115 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftline.session import cut_lineage
 
-def merge_outer(frames: Sequence[DataFrame], key: str) -> DataFrame:
+
+HOT_KEY_ROWS = 5_000_000
+
+
+def full_outer_salted(left: DataFrame, right: DataFrame, key: str, hot_rows: int = HOT_KEY_ROWS,
+                      hot: DataFrame | None = None) -> DataFrame:
+    """J1 step: ``left FULL OUTER JOIN right USING (key)`` that splits hot keys.
+
+    AQE's skew splitting does not apply to full outer joins, so a key with
+    more than ``hot_rows`` rows on either side is handled apart: every row
+    of such a key matches every row of the other side, so its full outer
+    result is the inner product (or the rows of the one non-empty side).
+    The larger side is spread over ``ceil(max(n_l, n_r) / hot_rows)`` salts
+    and the smaller side is replicated once per salt, so each (key, salt)
+    task holds at most about ``hot_rows`` rows of the large side.  The hot
+    key table has at most (rows / ``hot_rows``) entries, which bounds its
+    broadcast.  All other keys take the plain full outer join.
+    """
+    if hot is None:
+        hot = _hot_keys(_key_counts(left, key), _key_counts(right, key), key, hot_rows)
+    hot = F.broadcast(hot.withColumn("_s", F.ceil(F.greatest("_nl", "_nr") / F.lit(hot_rows)).cast("int")))
+    # (the hot table has <= (rows of both sides) / hot_rows entries)
+    lt = left.join(hot, key, "left")
+    rt = right.join(hot, key, "left")
+    cold = lt.filter(F.col("_s").isNull()).drop("_nl", "_nr", "_s") \
+             .join(rt.filter(F.col("_s").isNull()).drop("_nl", "_nr", "_s"), key, "full_outer")
+    lh, rh = lt.filter(F.col("_s").isNotNull()), rt.filter(F.col("_s").isNotNull())
+    lcols = [c for c in left.columns if c != key]
+    rcols = [c for c in right.columns if c != key]
+    salted_left = F.col("_nl") >= F.col("_nr")
+    every_salt = F.sequence(F.lit(0), F.col("_s") - 1)
+
+    def row_salt(cols):
+        return F.array(F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.col("_s")))
+
+    lh = lh.withColumn("_salt", F.explode(F.when(salted_left, row_salt([key, *lcols])).otherwise(every_salt)))
+    rh = rh.withColumn("_salt", F.explode(F.when(~salted_left, row_salt([key, *rcols])).otherwise(every_salt)))
+    both = (lh.filter(F.col("_nr") > 0).drop("_nl", "_nr", "_s")
+              .join(rh.filter(F.col("_nl") > 0).drop("_nl", "_nr", "_s"), [key, "_salt"]).drop("_salt"))
+    only_left = lh.filter(F.col("_nr") == 0).drop("_nl", "_nr", "_s", "_salt")
+    only_right = rh.filter(F.col("_nl") == 0).drop("_nl", "_nr", "_s", "_salt")
+    return cold.unionByName(both).unionByName(only_left, allowMissingColumns=True) \
+               .unionByName(only_right, allowMissingColumns=True)
+
+
+def _key_counts(df: DataFrame, key: str) -> DataFrame:
+    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _hot_keys(left_counts: DataFrame, right_counts: DataFrame, key: str, hot_rows: int) -> DataFrame:
+    j = left_counts.withColumnRenamed("_n", "_nl").join(right_counts.withColumnRenamed("_n", "_nr"), key,
+                                                         "full_outer")
+    j = j.select(key, F.coalesce("_nl", F.lit(0)).alias("_nl"), F.coalesce("_nr", F.lit(0)).alias("_nr"))
+    return j.filter(F.greatest("_nl", "_nr") > hot_rows)
+
+
+def merge_outer(frames: Sequence[DataFrame], key: str, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Chained full outer equi-joins on ``key`` (SQL NULL semantics).
 
-    Each step is a sort-merge (or AQE-chosen) full outer join; the key is
-    coalesced as in a ``USING`` join.  NULL keys never match (the pandas
-    behaviour of pairing NULL keys with each other is a cartesian product
+    Hot keys are found before any join: per-key row counts of every input
+    (partial aggregates) give the per-key size of each intermediate result
+    without computing it (a full outer join of n and m rows of one key has
+    n*m rows, or the non-empty side).  The product of the inputs' largest
+    per-key counts bounds them all; when that bound, or else the exact
+    per-step check, finds no key above ``hot_rows`` rows, the plan is the plain
+    chain of sort-merge full outer joins; otherwise every step is
+    :func:`full_outer_salted` and the intermediate results are cut from the
+    lineage.  The key is coalesced as in a ``USING`` join.  NULL keys never
+    match (pairing NULL keys with each other would be an all-pairs product
     over the NULL group and is deliberately not reproduced).
     """
-    out = frames[0]
-    for f in frames[1:]:
-        dup = (set(out.columns) & set(f.columns)) - {key}
+    frames = list(frames)
+    seen = set(frames[0].columns)
+    for i in range(1, len(frames)):
+        dup = (seen & set(frames[i].columns)) - {key}
         if dup:
-            f = f.drop(*dup)  # P2: drop overlapping columns from the right side
-        out = out.join(f, on=key, how="full_outer")
+            frames[i] = frames[i].drop(*dup)  # P2: drop overlapping columns from the right side
+        seen |= set(frames[i].columns)
+    counts = [_key_counts(f, key) for f in frames]
+    # Upper bound first (one job over per-input maxima): the largest key of any
+    # intermediate result has at most prod(max rows per key of each input) rows.
+    maxima = counts[0].agg(F.max("_n").alias("m"))
+    for cnt in counts[1:]:
+        maxima = maxima.unionByName(cnt.agg(F.max("_n").alias("m")))
+    bound = 1
+    for r in maxima.collect():           # one row per input
+        bound *= max(1, r["m"] or 0)
+    hots: list[DataFrame] = []
+    if bound > hot_rows:                 # exact per-step hot keys only when they can exist
+        acc = counts[0]
+        for cnt in counts[1:]:
+            hots.append(_hot_keys(acc, cnt, key, hot_rows))
+            j = acc.withColumnRenamed("_n", "_l").join(cnt.withColumnRenamed("_n", "_r"), key, "full_outer")
+            l, r = F.coalesce("_l", F.lit(0)), F.coalesce("_r", F.lit(0))
+            acc = j.select(key, F.when(l == 0, r).when(r == 0, l).otherwise(l * r).alias("_n"))
+    any_hot = False
+    if hots:
+        probe = hots[0].select(key)
+        for h in hots[1:]:
+            probe = probe.unionByName(h.select(key))
+        any_hot = len(probe.limit(1).collect()) > 0   # one job over the count tables
+    out = frames[0]
+    for i, f in enumerate(frames[1:]):
+        if any_hot:
+            out = cut_lineage(full_outer_salted(out, f, key, hot_rows, hots[i]))
+        else:
+            out = out.join(f, on=key, how="full_outer")
     return out
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from driftline.functions import coerce
 from driftline.operators import clean, merge
 from driftline.plans.registry import query
+from driftline.session import cut_lineage
 from driftline.sources.tables import Tables
 
 # The column list the loader wants (two are absent in lineitem).
@@ -173,6 +174,7 @@ ORDER BY k, o_orderstatus NULLS LAST, o_totalprice NULLS LAST, l_linenumber NULL
 LIMIT 100000
 """)
 def merge_cap(spark, sf):
-    merged = merge.merge_outer(list(_merge_inputs(spark, sf)), "k")
+    # the cap reads the merged table four times (size, cut point, check, top-k): write it once
+    merged = cut_lineage(merge.merge_outer(list(_merge_inputs(spark, sf)), "k"))
     return merge.cap_rows(merged, ["k", "o_orderstatus", "o_totalprice", "l_linenumber",
                                    "l_quantity", "o_orderpriority"], 100_000)

@@ -352,3 +352,24 @@ def test_one_hot_columns_and_vector_path_agree(spark):
     full = prepare.one_hot(df, "t", drop_first=False, max_levels=2).orderBy("id")
     arr = [r[0] for r in full.select(vector_to_array("t_vec")).collect()]
     assert arr[1] == [1.0, 0.0, 0.0] and arr[5] == [0.0, 0.0, 0.0]
+
+
+def test_salted_full_outer_join_equals_plain_join(spark):
+    from driftline.operators.merge import full_outer_salted
+    left = spark.createDataFrame([(1, f"l{i}") for i in range(9)] + [(2, "l9"), (3, "l10"), (None, "ln")] +
+                                 [(5, f"m{i}") for i in range(7)], "k int, a string")
+    right = spark.createDataFrame([(1, "r0"), (1, "r1"), (4, "r2"), (None, "rn")] +
+                                  [(6, f"s{i}") for i in range(8)] + [(2, "r3")], "k int, b string")
+    plain = sorted(repr(tuple(r)) for r in left.join(right, "k", "full_outer").collect())
+    salted = full_outer_salted(left, right, "k", hot_rows=3)
+    assert sorted(repr(tuple(r)) for r in salted.select("k", "a", "b").collect()) == plain
+
+
+def test_merge_outer_hot_path_equals_plain_chain(spark):
+    from driftline.operators.merge import merge_outer
+    a = spark.createDataFrame([(1, f"a{i}") for i in range(6)] + [(2, "a6"), (None, "an")], "k int, a string")
+    b = spark.createDataFrame([(1, "b0"), (1, "b1"), (3, "b2")], "k int, b string")
+    c = spark.createDataFrame([(1, "c0"), (2, "c1"), (4, "c2"), (4, "c3")], "k int, c string")
+    plain = sorted(repr(tuple(r)) for r in merge_outer([a, b, c], "k").select("k", "a", "b", "c").collect())
+    hot = sorted(repr(tuple(r)) for r in merge_outer([a, b, c], "k", hot_rows=2).select("k", "a", "b", "c").collect())
+    assert hot == plain and len(plain) == 6 * 2 + 1 + 1 + 1 + 2
