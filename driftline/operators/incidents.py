@@ -11,8 +11,9 @@ still inside it, so the state is empty.  The plan therefore
 1. finds those reset points and numbers the episodes between them with
    :func:`~driftline.operators.sequence.gap_episodes` (exact, chunked: no
    task holds a whole container), and
-2. folds each (container, episode) in time order with O(max_restarts) state;
-   whole episodes are hashed into buckets so one Python call folds many.
+2. folds each (container, episode) in time order with O(max_restarts) state:
+   episodes are hash-partitioned, sorted by Spark's spilling sort and
+   streamed through ``mapInPandas`` batch by batch.
 
 Episodes of different containers and of the same container run in
 parallel; only an episode (a run of incidents without one quiet window)
@@ -67,29 +68,35 @@ def classify(always_on: Column, status: Column, exit_code: Column, health: Colum
 
 
 def _limiter_fold(key: str, max_restarts: int, window: pd.Timedelta):
-    """Fold every (key, episode) of one bucket in time order; state resets per episode."""
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([key, "_episode", "ts", "_tie"], kind="mergesort")
+    """Stream through sorted Arrow batches; the state (<= max_restarts times) resets per
+    (key, episode) and is carried across batch boundaries."""
+    def fold(batches):
         granted_ts: deque = deque()
-        flags = []
         last = None
-        for k, e, t in zip(pdf[key], pdf["_episode"], pdf["ts"]):
-            if (k, e) != last:
-                granted_ts.clear()
-                last = (k, e)
-            while granted_ts and not granted_ts[0] > t - window:
-                granted_ts.popleft()
-            ok = len(granted_ts) < max_restarts
-            if ok:
-                granted_ts.append(t)
-            flags.append(ok)
-        return pdf.assign(granted=flags).drop(columns=["_bucket"])
+        for pdf in batches:
+            flags = []
+            for k, e, t in zip(pdf[key], pdf["_episode"], pdf["ts"]):
+                if (k, e) != last:
+                    granted_ts.clear()
+                    last = (k, e)
+                while granted_ts and not granted_ts[0] > t - window:
+                    granted_ts.popleft()
+                ok = len(granted_ts) < max_restarts
+                if ok:
+                    granted_ts.append(t)
+                flags.append(ok)
+            yield pdf.assign(granted=flags)
     return fold
 
 
 def restart_limiter(incidents: DataFrame, key: str, ts: str, tie: str,
                     max_restarts: int = MAX_RESTARTS, window_minutes: int = RESTART_WINDOW_MINUTES) -> DataFrame:
-    """Add ``granted`` to each incident row (see the module notes)."""
+    """Add ``granted`` to each incident row (see the module notes).
+
+    Episodes are hash-partitioned, sorted inside their partition by Spark's
+    external (spilling) sort and folded by ``mapInPandas`` one Arrow batch
+    at a time, so no episode is ever held in memory as a whole.
+    """
     chunk = time_chunk(ts)
     x = gap_episodes(incidents, [key], [ts, tie], F.make_dt_interval(mins=F.lit(window_minutes)), chunk,
                      out="_episode")
@@ -97,11 +104,9 @@ def restart_limiter(incidents: DataFrame, key: str, ts: str, tie: str,
     if ts != "ts":
         x = x.withColumnRenamed(ts, "ts")
     schema = T.StructType(list(x.schema.fields) + [T.StructField("granted", T.BooleanType())])
-    # many episodes per Python call: hash buckets of whole episodes
-    buckets = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    x = x.withColumn("_bucket", F.pmod(F.xxhash64(key, "_episode"), F.lit(buckets)))
-    fold = _limiter_fold(key, max_restarts, pd.Timedelta(minutes=window_minutes))
-    out = x.groupBy("_bucket").applyInPandas(fold, schema)
+    parts = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ordered = x.repartition(parts, key, "_episode").sortWithinPartitions(key, "_episode", "ts", "_tie")
+    out = ordered.mapInPandas(_limiter_fold(key, max_restarts, pd.Timedelta(minutes=window_minutes)), schema)
     out = out.withColumnRenamed("_tie", tie).drop("_episode")
     return out.withColumnRenamed("ts", ts) if ts != "ts" else out
 
