@@ -8,12 +8,15 @@ local runs) do we create one of our own.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
 _LOCAL_FALLBACK: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -44,9 +47,33 @@ def get_spark(master: str | None = None, app: str = "driftline",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``driftline`` importable in every Python worker (executors on a cluster).
+
+    Python-side operators (the limiter fold, stateful stream processors)
+    are pickled by reference to this package, so workers must import it:
+    the package is zipped on the driver once per application and handed to
+    ``addPyFile``, which distributes it like ``--py-files``.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="driftline-pyfiles-"), "driftline.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _dirs, files in os.walk(pkg):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    spark.sparkContext.addPyFile(out)
+    _SHIPPED.add(app)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder; set only where the session has none."""
     conf = spark.sparkContext.getConf()

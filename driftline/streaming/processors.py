@@ -10,13 +10,20 @@ partitioned log does).
 from __future__ import annotations
 
 import datetime as dt
+import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import Row
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from driftline.operators.incidents import MAX_RESTARTS, RESTART_WINDOW_MINUTES
 
+# The state-schema check of transformWithState unpickles the processor in a
+# driver-side Python process that does not see shipped py-files; pickling this
+# module's classes by value makes them self-contained.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 LIMITER_OUT = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()),
     T.StructField("container", T.StringType()), T.StructField("status", T.StringType()),

@@ -373,3 +373,15 @@ def test_merge_outer_hot_path_equals_plain_chain(spark):
     plain = sorted(repr(tuple(r)) for r in merge_outer([a, b, c], "k").select("k", "a", "b", "c").collect())
     hot = sorted(repr(tuple(r)) for r in merge_outer([a, b, c], "k", hot_rows=2).select("k", "a", "b", "c").collect())
     assert hot == plain and len(plain) == 6 * 2 + 1 + 1 + 1 + 2
+
+
+def test_package_is_shipped_to_python_workers(spark):
+    """Workers started outside the repository must still import driftline."""
+    from driftline.session import _SHIPPED
+    assert spark.sparkContext.applicationId in _SHIPPED
+
+    def probe(batches):
+        import driftline  # noqa: F401  (fails when the package is not shipped)
+        for b in batches:
+            yield b
+    assert spark.range(3).mapInPandas(probe, "id long").count() == 3
