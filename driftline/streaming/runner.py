@@ -34,11 +34,17 @@ def use_rocksdb_state(spark: SparkSession) -> None:
 
 
 def run_available_now(stream: DataFrame, name: str, output_mode: str = "append", fmt: str = "parquet",
-                      spark: SparkSession | None = None) -> DataFrame:
-    """Drain the source once into a fresh sink folder and return the sink as a batch DataFrame."""
+                      spark: SparkSession | None = None, sink: str | None = None,
+                      checkpoint: str | None = None) -> DataFrame:
+    """Drain what the source holds into the sink and return the sink as a batch DataFrame.
+
+    Fresh sink and checkpoint folders by default; passing the same
+    ``checkpoint`` again resumes from the committed offsets and state, so a
+    rerun (or a restarted driver) processes only new input, exactly once.
+    """
     spark = spark or stream.sparkSession
-    sink = scratch_path(spark, f"{name}-sink")
-    ckpt = scratch_path(spark, f"{name}-ckpt")
+    sink = sink or scratch_path(spark, f"{name}-sink")
+    ckpt = checkpoint or scratch_path(spark, f"{name}-ckpt")
     q = (stream.writeStream.format(fmt).option("path", sink).option("checkpointLocation", ckpt)
          .outputMode(output_mode).trigger(availableNow=True).queryName(f"{name}_{ckpt[-8:]}").start())
     q.awaitTermination()

@@ -385,3 +385,17 @@ def test_package_is_shipped_to_python_workers(spark):
         for b in batches:
             yield b
     assert spark.range(3).mapInPandas(probe, "id long").count() == 3
+
+
+def test_stream_resumes_from_its_checkpoint_exactly_once(spark):
+    from driftline.plans.logs import log_lines
+    from driftline.streaming.runner import file_stream, run_available_now
+    from driftline.schemas import TABLES
+    src, sink, ckpt = _scratch(spark, "src"), _scratch(spark, "sink"), _scratch(spark, "ckpt")
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    ev.filter("event_id < 600").write.parquet(f"{src}/part=a")
+    query = lambda: log_lines(file_stream(spark, src, TABLES["events"])).select("event_id", "message")
+    first = run_available_now(query(), "resume", sink=sink, checkpoint=ckpt).count()
+    ev.filter("event_id >= 600").write.parquet(f"{src}/part=b")     # new input lands
+    out = run_available_now(query(), "resume", sink=sink, checkpoint=ckpt)
+    assert first == 600 and out.count() == ev.count() == out.select("event_id").distinct().count()
