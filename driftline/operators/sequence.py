@@ -17,8 +17,10 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-DEFAULT_BUCKETS = 256
+DEFAULT_BUCKETS = 64
+SUB_BUCKETS = 1024
 # Time-ordered helpers window per (key, minute): with one key holding a third
 # of the rows, a task still only sees that key's rows of one minute.
 TIME_CHUNK = "minute"
@@ -30,19 +32,30 @@ def time_chunk(ts: str | Column) -> Column:
 
 
 def quantile_chunk(df: DataFrame, keys: Sequence[str], order_col: str,
-                   buckets: int = DEFAULT_BUCKETS, accuracy: int = 10_000) -> DataFrame:
-    """Add ``_chunk`` = number of approximate per-key quantile cut points below the value.
-
-    Monotone in ``order_col`` and equal values share a chunk, so chunks are
-    ordered, disjoint value ranges.  The cut-point table has ``#keys`` rows
-    of ``buckets - 1`` doubles; AQE broadcasts it when it is small.
+                   buckets: int = DEFAULT_BUCKETS, accuracy: int = 10_000,
+                   sub_buckets: int = SUB_BUCKETS) -> DataFrame:
+    """Add ``_chunk``: an ordered, value-range chunk id per key (monotone in ``order_col``).
+
+    ``buckets`` approximate per-key quantile cuts give coarse ranges
+    ``(c_i, c_i+1]``; each is split into ``sub_buckets`` equal-width
+    sub-ranges (numeric columns), so a key gets up to
+    ``buckets * sub_buckets`` chunks for O(``buckets``) work per row.
+    Equal values always share a chunk.  The cut table has ``#keys`` rows.
     """
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(order_col, probs, accuracy).alias("_cuts"))
     v = F.col(order_col)
-    return (df.join(cuts, list(keys), "left")
-              .withColumn("_chunk", F.size(F.filter("_cuts", lambda c: c < v)))
-              .drop("_cuts"))
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(order_col, probs, accuracy).alias("_cuts"),
+                                 F.min(order_col).alias("_lo"), F.max(order_col).alias("_hi"))
+    x = df.join(cuts, list(keys), "left").withColumn("_i", F.size(F.filter("_cuts", lambda c: c < v)))
+    numeric = isinstance(df.schema[order_col].dataType, T.NumericType)
+    if not numeric or sub_buckets <= 1:
+        return x.withColumn("_chunk", F.col("_i")).drop("_cuts", "_lo", "_hi", "_i")
+    edges = F.concat(F.array(F.col("_lo")), F.col("_cuts"), F.array(F.col("_hi"))).cast("array<double>")
+    lo, hi = F.get(edges, F.col("_i")), F.get(edges, F.col("_i") + 1)
+    frac = F.when(hi > lo, (v.cast("double") - lo) / (hi - lo)).otherwise(F.lit(0.0))
+    sub = F.least(F.lit(sub_buckets - 1), F.greatest(F.lit(0), F.floor(frac * sub_buckets).cast("int")))
+    return (x.withColumn("_chunk", F.col("_i").cast("bigint") * sub_buckets + sub)
+             .drop("_cuts", "_lo", "_hi", "_i"))
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Sequence[str],
@@ -51,8 +64,8 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums:
     """Exact ``sum(c) OVER (PARTITION BY keys ORDER BY order ROWS UNBOUNDED PRECEDING)``.
 
     ``order`` must be a total order within a key.  ``chunk`` is a Column
-    monotone in ``order[0]`` (e.g. ``date_trunc('day', ts)``); when omitted
-    approximate-quantile buckets of ``order[0]`` are used.  ``df`` is read
+    monotone in ``order[0]`` (e.g. a minute of event time); when omitted
+    :func:`quantile_chunk` ranges of ``order[0]`` are used.  ``df`` is read
     by several branches (cuts, chunk windows, chunk totals): when it is an
     expensive aggregate, cut its lineage first.
     """
