@@ -23,3 +23,13 @@ def draw_sql(*parts: str) -> str:
     """DuckDB text of :func:`draw` (parts are SQL expressions)."""
     inner = ", ".join(f"CAST({p} AS VARCHAR)" for p in parts)
     return f"('0x' || substr(md5(concat_ws('|', {inner})), 1, 15))::BIGINT"
+
+
+def draw_fast(*parts: str | Column) -> Column:
+    """Spark-only draw in [0, 2^60): ``xxhash64`` of the typed values (no text casts).
+
+    As reproducible across reruns and task retries as :func:`draw`, but
+    other engines cannot recompute it; use it where no SQL twin is needed.
+    """
+    cols = [F.col(p) if isinstance(p, str) else p for p in parts]
+    return F.shiftrightunsigned(F.xxhash64(*cols), 64 - DRAW_BITS)

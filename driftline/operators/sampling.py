@@ -19,7 +19,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.functions.hashing import DRAW_BITS, draw
+from driftline.functions.hashing import DRAW_BITS, draw, draw_fast
 
 BUCKET_BITS = 20
 
@@ -59,8 +59,12 @@ def mark_smallest(df: DataFrame, draw_col: str, k: KRule | DataFrame, groups: Se
     return inside.unionByName(outside).drop(*drop)
 
 
-def with_draw(df: DataFrame, key: Sequence[str], salt: str, name: str = "_draw") -> DataFrame:
-    return df.withColumn(name, draw(*key, F.lit(salt)))
+def with_draw(df: DataFrame, key: Sequence[str], salt: str, name: str = "_draw",
+              engine_neutral: bool = True) -> DataFrame:
+    """Add the row's draw: md5-based (any SQL engine can recompute it) or, when
+    ``engine_neutral`` is off, the cheaper typed ``xxhash64`` draw."""
+    fn = draw if engine_neutral else draw_fast
+    return df.withColumn(name, fn(*key, F.lit(salt)))
 
 
 def sample_exact(df: DataFrame, key: Sequence[str], frac: float, salt: str,
@@ -74,9 +78,9 @@ def sample_exact(df: DataFrame, key: Sequence[str], frac: float, salt: str,
 
 
 def split_random(df: DataFrame, key: Sequence[str], test_size: float, salt: str,
-                 out: str = "split") -> DataFrame:
+                 out: str = "split", engine_neutral: bool = True) -> DataFrame:
     """``ceil(test_size * n)`` rows labelled 'test', the rest 'train'."""
-    x = with_draw(df, key, salt)
+    x = with_draw(df, key, salt, engine_neutral=engine_neutral)
     marked = mark_smallest(x, "_draw", lambda n: F.ceil(n * F.lit(test_size)), tiebreak=list(key))
     return (marked.withColumn(out, F.when(F.col("selected"), "test").otherwise("train"))
                   .drop("selected", "_draw"))

@@ -40,7 +40,8 @@ def labelled(spark, sf) -> DataFrame:
 def split(spark, sf) -> DataFrame:
     """Labelled rows with their split, cut from the lineage once: the scaler
     fit, the tree passes and the evaluation all read this table."""
-    return cut_lineage(sampling.split_random(labelled(spark, sf), SPLIT_KEY, 0.2, SALT))
+    # no SQL twin here, so the cheaper typed xxhash64 draw is used
+    return cut_lineage(sampling.split_random(labelled(spark, sf), SPLIT_KEY, 0.2, SALT, engine_neutral=False))
 
 
 def fitted(spark, sf):

@@ -399,3 +399,11 @@ def test_stream_resumes_from_its_checkpoint_exactly_once(spark):
     ev.filter("event_id >= 600").write.parquet(f"{src}/part=b")     # new input lands
     out = run_available_now(query(), "resume", sink=sink, checkpoint=ckpt)
     assert first == 600 and out.count() == ev.count() == out.select("event_id").distinct().count()
+
+
+def test_fast_draw_split_is_exact_and_repeatable(spark):
+    df = spark.range(2001).select(F.col("id").alias("k"), (F.col("id") * 0.5).alias("v"))
+    a = sampling.split_random(df, ["k", "v"], 0.2, "s", engine_neutral=False)
+    b = sampling.split_random(df, ["k", "v"], 0.2, "s", engine_neutral=False)
+    ta = {r["k"] for r in a.filter("split = 'test'").collect()}
+    assert len(ta) == 401 and ta == {r["k"] for r in b.filter("split = 'test'").collect()}
