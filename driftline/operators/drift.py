@@ -31,9 +31,9 @@ def common_numeric_features(ref: DataFrame, cur: DataFrame, min_count: int = 10)
                    if isinstance(rt[c], T.NumericType) and isinstance(ct[c], T.NumericType))
     if not cands:
         return []
-    rc = ref.agg(*[F.count(c).alias(c) for c in cands]).first()
-    cc = cur.agg(*[F.count(c).alias(c) for c in cands]).first()
-    return [c for c in cands if rc[c] >= min_count and cc[c] >= min_count]
+    counts = (ref.agg(*[F.count(c).alias(c) for c in cands])
+                 .unionByName(cur.agg(*[F.count(c).alias(c) for c in cands])).collect())  # one job, 2 rows
+    return [c for c in cands if all(r[c] >= min_count for r in counts)]
 
 
 def _long(df: DataFrame, features: Sequence[str], side: int) -> DataFrame:

@@ -19,8 +19,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftline.session import cut_lineage
+
 DEFAULT_BUCKETS = 64
 SUB_BUCKETS = 1024
+CHUNK_ROWS = 100_000   # target rows per (key, chunk) for value-ordered chunks
 # Time-ordered helpers window per (key, minute): with one key holding a third
 # of the rows, a task still only sees that key's rows of one minute.
 TIME_CHUNK = "minute"
@@ -37,25 +40,31 @@ def quantile_chunk(df: DataFrame, keys: Sequence[str], order_col: str,
     """Add ``_chunk``: an ordered, value-range chunk id per key (monotone in ``order_col``).
 
     ``buckets`` approximate per-key quantile cuts give coarse ranges
-    ``(c_i, c_i+1]``; each is split into ``sub_buckets`` equal-width
-    sub-ranges (numeric columns), so a key gets up to
-    ``buckets * sub_buckets`` chunks for O(``buckets``) work per row.
+    ``(c_i, c_i+1]``; for numeric columns each is split into equal-width
+    sub-ranges, as many as needed for about ``CHUNK_ROWS`` rows per chunk
+    (at most ``sub_buckets``), so a key gets up to ``buckets * sub_buckets``
+    chunks for O(``buckets``) work per row.
     Equal values always share a chunk.  The cut table has ``#keys`` rows.
     """
     probs = [i / buckets for i in range(1, buckets)]
     v = F.col(order_col)
     cuts = df.groupBy(*keys).agg(F.percentile_approx(order_col, probs, accuracy).alias("_cuts"),
-                                 F.min(order_col).alias("_lo"), F.max(order_col).alias("_hi"))
+                                 F.min(order_col).alias("_lo"), F.max(order_col).alias("_hi"),
+                                 F.count(F.lit(1)).alias("_n"))
+    # sub-ranges per key: enough for about CHUNK_ROWS rows per chunk, at most sub_buckets
+    cuts = cuts.withColumn("_sb", F.least(F.lit(sub_buckets), F.greatest(F.lit(1), F.ceil(
+        F.col("_n") / F.lit(float(buckets * CHUNK_ROWS))))).cast("int"))
     x = df.join(cuts, list(keys), "left").withColumn("_i", F.size(F.filter("_cuts", lambda c: c < v)))
     numeric = isinstance(df.schema[order_col].dataType, T.NumericType)
     if not numeric or sub_buckets <= 1:
-        return x.withColumn("_chunk", F.col("_i")).drop("_cuts", "_lo", "_hi", "_i")
+        return x.withColumn("_chunk", F.col("_i")).drop("_cuts", "_lo", "_hi", "_i", "_n", "_sb")
     edges = F.concat(F.array(F.col("_lo")), F.col("_cuts"), F.array(F.col("_hi"))).cast("array<double>")
     lo, hi = F.get(edges, F.col("_i")), F.get(edges, F.col("_i") + 1)
     frac = F.when(hi > lo, (v.cast("double") - lo) / (hi - lo)).otherwise(F.lit(0.0))
-    sub = F.least(F.lit(sub_buckets - 1), F.greatest(F.lit(0), F.floor(frac * sub_buckets).cast("int")))
+    sb = F.col("_sb")
+    sub = F.least(sb - 1, F.greatest(F.lit(0), F.floor(frac * sb).cast("int")))
     return (x.withColumn("_chunk", F.col("_i").cast("bigint") * sub_buckets + sub)
-             .drop("_cuts", "_lo", "_hi", "_i"))
+             .drop("_cuts", "_lo", "_hi", "_i", "_n", "_sb"))
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Sequence[str],
@@ -71,7 +80,9 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums:
     """
     keys = list(keys)
     if chunk is None:
-        x = quantile_chunk(df, keys, order[0], buckets)
+        # chunk ids come from a percentile aggregate joined back; the windows and
+        # the chunk totals both read them, so they are written once
+        x = cut_lineage(quantile_chunk(df, keys, order[0], buckets))
     else:
         x = df.withColumn("_chunk", chunk)
     w = (Window.partitionBy(*keys, "_chunk").orderBy(*order)

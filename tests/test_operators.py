@@ -407,3 +407,15 @@ def test_fast_draw_split_is_exact_and_repeatable(spark):
     b = sampling.split_random(df, ["k", "v"], 0.2, "s", engine_neutral=False)
     ta = {r["k"] for r in a.filter("split = 'test'").collect()}
     assert len(ta) == 401 and ta == {r["k"] for r in b.filter("split = 'test'").collect()}
+
+
+def test_running_sum_with_sub_ranges_matches_plain_window(spark, monkeypatch):
+    from pyspark.sql import Window
+    import driftline.operators.sequence as seq
+    monkeypatch.setattr(seq, "CHUNK_ROWS", 3)     # force many sub-ranges per quantile range
+    rows = [(k, float((i * 37) % 101) + (0.5 if k == "b" else 0.0), 1 + i % 3) for k in ("a", "b") for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, v double, n long").groupBy("k", "v").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ref = {(r["k"], r["v"]): r["c"] for r in df.select("k", "v", F.sum("n").over(w).alias("c")).collect()}
+    got = {(r["k"], r["v"]): r["n_cum"] for r in seq.running_sum(df, ["k"], ["v"], ["n"], buckets=4).collect()}
+    assert got == ref
