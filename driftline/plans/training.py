@@ -16,6 +16,7 @@ from driftline.functions.labels import severity_label
 from driftline.operators import clean, evaluate, model, sampling
 from driftline.plans.registry import query
 from driftline.session import cut_lineage, scratch_path
+from driftline.sources import delimited
 from driftline.sources.tables import Tables
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
@@ -60,7 +61,7 @@ def rf_train_eval(spark, sf):
 
 @query("batch_score")
 def batch_score(spark, sf):
-    """M5: validate -> saved pipeline -> predictions with probability and label text.
+    """S5 + M5: uploaded CSV -> validate -> saved pipeline -> predictions with probability and label text.
 
     Rows outside the scoring domain are quarantined (kept, unscored, with
     their violations) instead of failing the whole batch.
@@ -69,7 +70,12 @@ def batch_score(spark, sf):
     path = scratch_path(spark, "rf_model")
     model.save(model.fit_forest(s.filter(F.col("split") == "train"), FEATURES, "y", NUM_TREES, MAX_DEPTH), path)
     live = model.load(path)
-    test = clean.validate(s.filter(F.col("split") == "test"), SCORING_DOMAIN)
+    # The rows to score arrive as an uploaded comma-separated file with a header
+    landing = scratch_path(spark, "score_upload")
+    upload = s.filter(F.col("split") == "test").drop("split")
+    delimited.write_delimited(upload, landing, sep=",")
+    received = delimited.read_delimited(spark, landing, upload.schema, sep=",")
+    test = clean.validate(received, SCORING_DOMAIN)
     ok = test.filter(F.size("violations") == 0)
     scored = model.score(live, ok, [*KEY, "y"])
     scored = scored.withColumn("label_text", severity_label("prediction"))
