@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.functions.labels import log_level
+from driftline.session import cut_lineage
 
 # The ingest filter, the message cap and the problem-report settings.
 PROBLEM_PATTERN = "(?i)(error|warning)"
@@ -92,10 +93,11 @@ def recent_problems(logs: DataFrame, as_of: Column, hours: int = 24,
     are broken by the message so the top list is deterministic.
     """
     recent = logs.filter(F.col(ts) >= as_of - F.make_dt_interval(hours=F.lit(hours)))
-    groups = recent.groupBy(message).agg(F.count(F.lit(1)).alias("cnt"))
+    # one row per message, written once: the top list and the total both read it
+    groups = cut_lineage(recent.groupBy(message).agg(F.count(F.lit(1)).alias("cnt")))
     top = groups.orderBy(F.col("cnt").desc(), F.col(message)).limit(TOP_PROBLEMS)
     # one-row scalar subquery, evaluated once and shipped as a value
-    total_all = recent.agg(F.count(F.lit(1))).scalar()
+    total_all = groups.agg(F.sum("cnt")).scalar()
     return top.select(
         F.left(F.col(message), F.lit(SUMMARY_CAP)).alias("message"),
         F.col("cnt").cast("bigint").alias("cnt"),

@@ -12,6 +12,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.session import cut_lineage
+
 
 def count_where(df: DataFrame, predicate: Column | None = None, name: str = "n") -> DataFrame:
     """A1: exact ``COUNT(*)`` under an optional predicate (one row)."""
@@ -45,10 +47,12 @@ def share_of_total(grouped: DataFrame, count_col: str = "n", name: str = "pct",
                    scale: int | None = None) -> DataFrame:
     """``count * 100.0 / total`` where total is the sum over all groups.
 
-    The total is a one-row scalar subquery over the aggregated rows (the
-    one-row cross join of the SQL form), so the group rows stay spread
-    over their partitions however many groups there are.
+    The aggregated rows are written once (``checkpoint``, one row per
+    group) and the total is a one-row scalar subquery over them (the
+    one-row cross join of the SQL form): the input is read once and the
+    group rows stay spread over their partitions however many there are.
     """
+    grouped = cut_lineage(grouped)
     total = grouped.agg(F.sum(F.col(count_col))).scalar()
     pct = F.col(count_col) * F.lit(100.0) / total
     if scale is not None:
