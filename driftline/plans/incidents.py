@@ -15,7 +15,7 @@ from driftline.functions.labels import iso_utc
 from driftline.operators import incidents as inc
 from driftline.operators.sequence import running_sum, time_chunk
 from driftline.plans.registry import query
-from driftline.session import scratch_path
+from driftline.session import cut_lineage, scratch_path
 from driftline.sources.tables import Tables
 
 SUSTAINED_SECONDS = 3600
@@ -135,7 +135,10 @@ def incident_classify(spark, sf):
 
 
 def acted(spark, sf) -> DataFrame:
-    c = classified(spark, sf).filter(F.col("incident").isNotNull())
+    # the incidents (a small part of the samples) are written once: the episode
+    # numbering reads them twice and must not re-derive the counters each time
+    c = cut_lineage(classified(spark, sf).filter(F.col("incident").isNotNull())
+                    .select("event_id", "ts", "container", "status", "incident", "always_on"))
     g = inc.restart_limiter(c.select("event_id", "ts", "container", "status", "incident", "always_on"),
                             "container", "ts", "event_id")
     act, msg = inc.action(F.col("always_on"), F.col("granted"), F.col("incident"))
