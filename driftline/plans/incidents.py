@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftline.functions.labels import iso_utc
 from driftline.operators import incidents as inc
@@ -17,6 +18,7 @@ from driftline.operators.sequence import running_sum, time_chunk
 from driftline.plans.registry import query
 from driftline.session import cut_lineage, scratch_path
 from driftline.sources.tables import Tables
+from driftline.streaming.runner import file_stream, run_complete_available_now
 
 SUSTAINED_SECONDS = 3600
 
@@ -160,13 +162,14 @@ SELECT container, action, COUNT(*) AS n,
 FROM acted GROUP BY container, action
 """)
 def agent_event_summary(spark, sf):
-    """K5 + S9 + T6: incidents appended as JSON lines, read back, summarised."""
+    """K5 + S9 + T6: incidents appended as JSON lines; the dashboard tails the
+    event files as a stream and keeps per-(container, action) counts."""
     a = acted(spark, sf)
     rec = inc.event_records(a, "ts", "container", "action", "status", "message", iso_utc("ts"))
     path = scratch_path(spark, "agent_events")
-    rec.write.mode("overwrite").json(path)
-    back = spark.read.schema(inc.AGENT_EVENT_SCHEMA).json(path)
-    return inc.agent_event_summary(back)
+    rec.write.mode("append").json(path)
+    tail = file_stream(spark, path, T.StructType.fromDDL(inc.AGENT_EVENT_SCHEMA), fmt="json")
+    return run_complete_available_now(inc.agent_event_summary(tail), "agent_event_summary")
 
 
 @query("sustained_alert", f"""

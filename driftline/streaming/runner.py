@@ -51,3 +51,21 @@ def run_available_now(stream: DataFrame, name: str, output_mode: str = "append",
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return spark.read.schema(stream.schema).format(fmt).load(sink) if fmt != "json" else spark.read.json(sink)
+
+
+def run_complete_available_now(stream: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
+    """Complete-mode aggregate (state: one row per group) drained once; every
+    micro-batch overwrites the result table, which is returned as a batch DataFrame."""
+    spark = spark or stream.sparkSession
+    table = scratch_path(spark, f"{name}-table")
+    ckpt = scratch_path(spark, f"{name}-ckpt")
+
+    def publish(batch: DataFrame, _epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(table)
+
+    q = (stream.writeStream.outputMode("complete").foreachBatch(publish).option("checkpointLocation", ckpt)
+         .trigger(availableNow=True).queryName(f"{name}_{ckpt[-8:]}").start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return spark.read.schema(stream.schema).parquet(table)
