@@ -142,10 +142,13 @@ def drift_histogram(spark, sf):
 SELECT l_discount, l_extendedprice, l_linenumber, l_quantity, l_tax FROM lineitem WHERE l_quantity > 20
 """)
 def drift_reset(spark, sf):
-    """K7: promote the current sample to the reference (new version, then read back)."""
+    """K6 + K7: snapshot the current sample, then promote the snapshot to the
+    reference (each a new version folder), and read the reference back."""
     _ref, cur = samples(spark, sf)
+    snapshot = scratch_path(spark, "drift_current")
+    cur.select(*FEATURES).write.mode("overwrite").parquet(snapshot)
     target = scratch_path(spark, "drift_reference")
-    drift_promote(cur.select(*FEATURES), target)
+    drift_promote(spark.read.parquet(snapshot), target)
     return spark.read.parquet(target)
 
 
