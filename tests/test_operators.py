@@ -419,3 +419,18 @@ def test_running_sum_with_sub_ranges_matches_plain_window(spark, monkeypatch):
     ref = {(r["k"], r["v"]): r["c"] for r in df.select("k", "v", F.sum("n").over(w).alias("c")).collect()}
     got = {(r["k"], r["v"]): r["n_cum"] for r in seq.running_sum(df, ["k"], ["v"], ["n"], buckets=4).collect()}
     assert got == ref
+
+
+def test_bootstrap_preserves_marginals(spark):
+    from driftline.operators import bootstrap
+    src = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").select("o_orderkey", "o_orderpriority",
+                                                                            "o_orderstatus")
+    out = bootstrap.bootstrap_columns(src.select("o_orderkey"), src, ["o_orderkey"],
+                                      ["o_orderpriority", "o_orderstatus"], "marginals")
+    n = src.count()
+    for c in ("o_orderpriority", "o_orderstatus"):
+        want = {r[0]: r[1] / n for r in src.groupBy(c).count().collect()}
+        got = {r[0]: r[1] / n for r in out.groupBy(c).count().collect()}
+        assert set(got) <= set(want)
+        # each share within 5 binomial standard errors of the source share
+        assert all(abs(got.get(v, 0.0) - p) <= 5 * (p * (1 - p) / n) ** 0.5 for v, p in want.items())
