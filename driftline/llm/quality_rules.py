@@ -51,8 +51,8 @@ class Rule:
 
 RULES = (
     Rule("symbols", "n_symbols", "n_words", least=60),
-    Rule("dup_lines", "n_dup_lines", "n_lines", least=100),
-    Rule("repeats", "n_repeat_words", "n_words", least=100),
+    Rule("dup_lines", "n_dup_lines", "n_lines", least=150),
+    Rule("repeats", "n_repeat_words", "n_words", least=150),
     Rule("word_length", "word_chars", "n_words", least=1500),
 )
 

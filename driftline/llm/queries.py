@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import licenses, mixing, quality_rules, url_filters
-from driftline.llm.common import named
+from driftline.llm import (
+    licenses, mixing, quality_rules, sampled_pieces, simhash, token_counts, token_output, toxicity, url_filters, winnowing)
+
+#: Vocabulary files of the queries; every machine has them at this place.
+VOCABULARY = "/opt/tokenizers"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,23 +22,60 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' sequences in training order, written as shards and read back: slot, document, ids."""
+    return token_output.materialised(table(spark, sf_dir, "documents"), f"{VOCABULARY}/byte_bpe_50k.tiktoken").select(
+        "slot", "shard", "place", "doc_id", "part", "used", F.xxhash64("ids").alias("ids_hash"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's URL."""
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
 
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, its edited text's, and how alike they and the next document's are."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return winnowing.edited(docs).select(
+        "doc_id", "n_chars", "edited_sha256", winnowing.text_of(F.col("print")).alias("fingerprint"),
+        winnowing.text_of(F.col("edited_print")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a licence notice or text."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the smallest id it reaches by links of two bits or fewer."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), f"{VOCABULARY}/word_bpe_49k.json")
+
+
+def op8_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sampled segmentation of every document, and whether decoding it gives the text."""
+    return sampled_pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), f"{VOCABULARY}/piece_bpe_32k.model",
+                                 keep=["doc_id"], lossless="lossless")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document."""
+    return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures and verdict of every document."""
     return quality_rules.judge(table(spark, sf_dir, "documents"), carry=["doc_id"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_url_filters, op5_license_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (
+    op1_mix_sources, op2_token_output, op3_url_filters, op4_winnowing, op5_license_scan, op6_simhash, op7_token_counts,
+    op8_sampled_pieces, op9_toxicity, op10_quality_rules)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
