@@ -34,8 +34,10 @@ SHINGLE = 3
 MAX_BITS = 2
 SEED = 42
 
-#: Fingerprints in a node that is one side of a task; grows where there would be over 2^MAX_NODE_BITS nodes.
+#: Fingerprints in a node that is one side of a task: so many, but a 16th of all at most, and never so few that
+#: there would be over 2^MAX_NODE_BITS nodes.
 NODE_ROWS = 1 << 15
+MIN_NODES = 16
 MAX_NODE_BITS = 12
 #: Bits by which a node that holds too many is refined at a time.
 STEP_BITS = 8
@@ -92,7 +94,7 @@ def upper_nodes(fps: DataFrame, rows: int) -> np.ndarray:
     Counts by prefix come to the driver only for the nodes that still hold too many, ``STEP_BITS`` at a time.
     """
     n = fps.count()
-    rows = max(rows, n >> MAX_NODE_BITS)
+    rows = max(1, min(rows, n // MIN_NODES), n >> MAX_NODE_BITS)
     done, heavy = [], [(0, 0)] if n > rows else []
     if not heavy:
         done = [(0, 0)]
