@@ -32,7 +32,7 @@ from driftline.llm.common import bounded_batches
 ALPHA = 1.0
 SEED = 7
 #: Links of lattices that a worker remembers, at 16 bytes each.
-MEMORY = 12_000_000
+MEMORY = 4_000_000
 UNIT = re.compile(r" *[^ ]+| +")
 MARK = "▁"
 
