@@ -15,18 +15,25 @@ def strip_quotes_to_number(col: str | Column) -> Column:
     return F.btrim(_c(col).cast("string"), F.lit('"')).try_cast("double")
 
 
-def coerce_int(col: str | Column) -> Column:
-    """F2: empty -> '0', coerce, fill 0, truncate to int ('7.0' -> 7)."""
-    txt = _c(col).cast("string")
-    txt = F.when(F.trim(txt) == "", F.lit("0")).otherwise(txt)
-    return F.coalesce(txt.try_cast("double"), F.lit(0.0)).cast("int")
+def _finite(number: Column) -> Column:
+    """The number, or NULL for NaN and the infinities."""
+    return F.when(~F.isnan(number) & (F.abs(number) != F.lit(float("inf"))), number)
+
+
+def coerce_int(col: str | Column, kind: str = "int") -> Column:
+    """F2: empty, junk, NaN and infinite -> 0, else truncated to ``kind`` ('7.0' -> 7).
+
+    Whole numbers are read as they are, so identifiers keep all digits; a value beyond ``kind`` is 0.
+    """
+    txt = F.trim(_c(col).cast("string"))
+    return F.coalesce(txt.try_cast("decimal(38,0)").try_cast(kind) if kind != "int" else txt.try_cast(kind),
+                      _finite(txt.try_cast("double")).try_cast(kind), F.lit(0).cast(kind))
 
 
 def decimal_comma(col: str | Column) -> Column:
-    """'12,5' -> 12.5; empty / junk -> 0.0."""
+    """'12,5' -> 12.5; empty, junk, NaN and infinite -> 0.0."""
     txt = F.regexp_replace(_c(col).cast("string"), ",", ".")
-    txt = F.when(F.trim(txt) == "", F.lit("0")).otherwise(txt)
-    return F.coalesce(txt.try_cast("double"), F.lit(0.0))
+    return F.coalesce(_finite(txt.try_cast("double")), F.lit(0.0))
 
 
 def clean_text(col: str | Column) -> Column:

@@ -9,13 +9,16 @@ equi-join on a block number (``i div W``) plus a range filter - an exact
 range join whose lookup side has at most ``#distinct + n / W`` rows.  ``W``
 is capped, so no block key receives more than about ``W`` carriers even
 when a column has only a few distinct values.
+
+Values keep their types: columns of one type are unpivoted together in one
+scan, and travel in a field of that type.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,41 +28,63 @@ from driftline.operators.sequence import running_sum
 from driftline.session import cut_lineage
 
 BLOCK_CAP = 4096
+#: Text columns are cut into ranges at some of their values, taken from a bounded number of them;
+#: the cuts only spread the work.
+TEXT_CUTS = 64
+CUT_VALUES = 4096
+#: Ranges of numbers are unfolded in two steps, so no row holds a long array.
+UNFOLD = 1 << 15
+
+
+def unfolded(df: DataFrame, first: Column, last: Column, out: str) -> DataFrame:
+    """A row for each number from ``first`` to ``last``."""
+    x = df.withColumn("_from", first).withColumn("_upto", last)
+    x = x.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_upto") - F.col("_from")) / UNFOLD))))
+    start = F.col("_from") + F.col("_at") * UNFOLD
+    return x.withColumn(out, F.explode(F.sequence(start, F.least(F.col("_upto"), start + (UNFOLD - 1))))).drop("_from", "_upto", "_at")
 
 
-def _values_long(df: DataFrame, columns: Sequence[str], numeric: bool) -> DataFrame:
-    parts = []
+def _by_type(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+    groups: dict[str, list[str]] = {}
     for c in columns:
-        v = F.col(c)
-        parts.append(df.select(F.lit(c).alias("column"),
-                               (v.cast("double") if numeric else F.lit(None).cast("double")).alias("vnum"),
-                               (F.lit(None).cast("string") if numeric else v.cast("string")).alias("vstr"))
-                       .filter(v.isNotNull()))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        groups.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    return groups
+
+
+def _field(kind: str) -> str:
+    return "v_" + "".join(ch if ch.isalnum() else "_" for ch in kind)
+
+
+def _text_chunk(counts: DataFrame) -> Column:
+    """Ranges of the texts, rising with them: the number of cuts at or below the value."""
+    some = [r["v"] for r in counts.select("v").distinct().orderBy(F.xxhash64("v")).limit(CUT_VALUES).collect()]
+    some.sort(key=lambda v: v.encode())
+    cuts = sorted({some[len(some) * k // TEXT_CUTS] for k in range(1, TEXT_CUTS)}) if some else []
+    if not cuts:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("v")))
 
 
 def value_ranges(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, vnum, vstr, lo, hi, n): index range of each distinct non-null value."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    num = [c for c in columns if isinstance(types[c], T.NumericType)]
-    txt = [c for c in columns if c not in num]
-    pieces = []
-    if num:
-        vc = _values_long(df, num, True).groupBy("column", "vnum", "vstr").agg(F.count(F.lit(1)).alias("cnt"))
-        # the quantile cuts, the chunk windows and the chunk totals all read vc
-        pieces.append(running_sum(cut_lineage(vc), ["column"], ["vnum"], ["cnt"]))
-    if txt:
-        vc = _values_long(df, txt, False).groupBy("column", "vnum", "vstr").agg(F.count(F.lit(1)).alias("cnt"))
-        # a 2-character prefix is monotone in the (binary) string order
-        pieces.append(running_sum(vc, ["column"], ["vstr"], ["cnt"], chunk=F.substring("vstr", 1, 2)))
-    r = pieces[0] if len(pieces) == 1 else pieces[0].unionByName(pieces[1])
-    r = r.select("column", "vnum", "vstr", (F.col("cnt_cum") - F.col("cnt")).alias("lo"),
-                 F.col("cnt_cum").alias("hi"))
-    stats = r.groupBy("column").agg(F.max("hi").alias("n"), F.count(F.lit(1)).alias("d"))
-    return r.join(stats, "column")
+    """(column, a field for each type, lo, hi, n, d): index range of each distinct non-null value."""
+    groups = _by_type(df, columns)
+    out = None
+    for kind, cs in groups.items():
+        pairs = ", ".join(f"'{c}', `{c}`" for c in cs)
+        counts = (df.select(F.expr(f"stack({len(cs)}, {pairs}) AS (column, v)")).filter(F.col("v").isNotNull())
+                  .groupBy("column", "v").agg(F.count(F.lit(1)).alias("cnt")))
+        counts = cut_lineage(counts)  # the cuts, the chunk windows and the chunk totals all read it
+        if kind == "string":
+            r = running_sum(counts, ["column"], ["v"], ["cnt"], chunk=_text_chunk(counts))
+        elif kind == "boolean":
+            r = running_sum(counts, ["column"], ["v"], ["cnt"], chunk=F.col("v").cast("int"))
+        else:
+            r = running_sum(counts, ["column"], ["v"], ["cnt"], few_keys=True)
+        r = r.select("column", *[(F.col("v") if k == kind else F.lit(None).cast(k)).alias(_field(k)) for k in groups],
+                     (F.col("cnt_cum") - F.col("cnt")).alias("lo"), F.col("cnt_cum").alias("hi"))
+        out = r if out is None else out.unionByName(r)
+    stats = out.groupBy("column").agg(F.max("hi").alias("n"), F.count(F.lit(1)).alias("d"))
+    return out.join(F.broadcast(stats), "column")  # a row for each column
 
 
 def bootstrap_columns(carriers: DataFrame, source: DataFrame, key: Sequence[str],
@@ -67,36 +92,34 @@ def bootstrap_columns(carriers: DataFrame, source: DataFrame, key: Sequence[str]
     """One bootstrapped value per carrier row and column (columns drawn independently).
 
     A column without non-null values stays NULL.  Output: ``key`` +
-    ``columns`` with the source types.  ``key`` must identify carrier rows
-    uniquely (it seeds the draws and regroups the drawn columns).
+    ``columns`` with the source types, a row for each carrier.  Carriers that share a key are
+    numbered; the number takes part in the draw from the second one on.
     """
     key = list(key)
-    types = {f.name: f.dataType for f in source.schema.fields}
+    groups = _by_type(source, columns)
+    fields = [_field(k) for k in groups]
     # one row per distinct value: written once, read by the lookup and the size table
     ranges = cut_lineage(value_ranges(source, columns))
     # block width: about one distinct value per block, but never more than BLOCK_CAP
     # indexes, so a column with few values still spreads its carriers over n / BLOCK_CAP keys
     ranges = ranges.withColumn("W", F.greatest(F.lit(1), F.least(F.lit(BLOCK_CAP),
                                                                   F.floor(F.col("n") / F.col("d")))))
-    lookup = ranges.select("column", "vnum", "vstr", "lo", "hi",
-                           F.explode(F.sequence(F.floor(F.col("lo") / F.col("W")),
-                                                F.floor((F.col("hi") - 1) / F.col("W")))).alias("block"))
-    sizes = ranges.select("column", "n", "W").distinct()
+    lookup = unfolded(ranges.select("column", *fields, "lo", "hi", "W"), F.floor(F.col("lo") / F.col("W")),
+                      F.floor((F.col("hi") - 1) / F.col("W")), "block").drop("W")
+    sizes = F.broadcast(ranges.select("column", "n", "W").distinct())  # a row for each column
+    same = carriers.groupBy(*key).agg(F.count(F.lit(1)).alias("_same"))
+    numbered = unfolded(same, F.lit(1).cast("bigint"), F.col("_same"), "_nth").drop("_same")
     cols = F.array(*[F.lit(c) for c in columns])
-    car = carriers.select(*key, F.explode(cols).alias("column")).join(sizes, "column", "left")
-    car = car.withColumn("i", F.pmod(draw(*key, F.col("column"), F.lit(salt)), F.col("n")))
+    car = numbered.select(*key, "_nth", F.explode(cols).alias("column")).join(sizes, "column", "left")
+    again = F.when(F.col("_nth") > 1, F.col("_nth"))  # nothing for the first
+    car = car.withColumn("i", F.pmod(draw(*key, again, F.col("column"), F.lit(salt)), F.col("n")))
     car = car.withColumn("block", F.floor(F.col("i") / F.col("W")))
     hit = (car.join(lookup, ["column", "block"], "left")
               .filter(F.col("lo").isNull() | ((F.col("i") >= F.col("lo")) & (F.col("i") < F.col("hi")))))
-    wide = (hit.groupBy(*key).pivot("column", list(columns))
-               .agg(F.first(F.struct("vnum", "vstr"), ignorenulls=True)))
-    out = []
-    for c in columns:
-        if isinstance(types[c], T.NumericType):
-            out.append(F.col(c)["vnum"].cast(types[c]).alias(c))
-        else:
-            out.append(F.col(c)["vstr"].alias(c))
-    return wide.select(*key, *out)
+    wide = (hit.groupBy(*key, "_nth").pivot("column", list(columns))
+               .agg(F.first(F.struct(*fields), ignorenulls=True)))
+    own = {c: _field(k) for k, cs in groups.items() for c in cs}
+    return wide.select(*key, *[F.col(c)[own[c]].alias(c) for c in columns])
 
 
 def synthetic_mix(df: DataFrame, key: Sequence[str], columns: Sequence[str], salt: str,
@@ -106,8 +129,8 @@ def synthetic_mix(df: DataFrame, key: Sequence[str], columns: Sequence[str], sal
     The unselected rows are the carriers of the synthetic draws, so the
     synthetic half has the required size without any generated input.
     """
-    key = list(key)
-    marked = sample_exact(df.select(*key, *columns), key, frac, salt, keep_unselected=True)
+    key, values = list(key), [c for c in columns if c not in key]
+    marked = sample_exact(df.select(*key, *values), key, frac, salt, keep_unselected=True)
     real = marked.filter("selected").drop("selected").withColumn("provenance", F.lit("real"))
     carriers = marked.filter(~F.col("selected")).select(*key)
     synth = bootstrap_columns(carriers, df, key, columns, salt).withColumn("provenance", F.lit("synthetic"))

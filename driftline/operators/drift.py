@@ -24,15 +24,15 @@ KS_TERMS = 100
 
 
 def common_numeric_features(ref: DataFrame, cur: DataFrame, min_count: int = 10) -> list[str]:
-    """Columns in both frames, numeric in both, >= ``min_count`` non-null values each."""
+    """Columns in both frames, numeric in both, >= ``min_count`` values each (NULL and NaN do not count)."""
     rt = {f.name: f.dataType for f in ref.schema.fields}
     ct = {f.name: f.dataType for f in cur.schema.fields}
     cands = sorted(c for c in set(rt) & set(ct)
                    if isinstance(rt[c], T.NumericType) and isinstance(ct[c], T.NumericType))
     if not cands:
         return []
-    counts = (ref.agg(*[F.count(c).alias(c) for c in cands])
-                 .unionByName(cur.agg(*[F.count(c).alias(c) for c in cands])).collect())  # one job, 2 rows
+    present = [F.count_if(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))).alias(c) for c in cands]
+    counts = ref.agg(*present).unionByName(cur.agg(*present)).collect()  # one job, 2 rows
     return [c for c in cands if all(r[c] >= min_count for r in counts)]
 
 
@@ -59,9 +59,9 @@ def ks_statistic(ref: DataFrame, cur: DataFrame, features: Sequence[str] | None
     # distinct (feature, value) counts feed four consumers; written once to the
     # shared checkpoint folder instead of re-aggregating the input for each
     counts = cut_lineage(value_counts(ref, cur, features))
-    cum = running_sum(counts, ["feature"], ["value"], ["n_ref", "n_cur"], buckets=buckets)
+    cum = running_sum(counts, ["feature"], ["value"], ["n_ref", "n_cur"], buckets=buckets, few_keys=True)
     tot = counts.groupBy("feature").agg(F.sum("n_ref").alias("tot_ref"), F.sum("n_cur").alias("tot_cur"))
-    gap = cum.join(tot, "feature").select(
+    gap = cum.join(F.broadcast(tot), "feature").select(  # a row for each feature
         "feature", "tot_ref", "tot_cur",
         F.abs(F.col("n_ref_cum") / F.col("tot_ref") - F.col("n_cur_cum") / F.col("tot_cur")).alias("gap"))
     return gap.groupBy("feature").agg(F.max("gap").alias("drift_score"),
@@ -114,8 +114,9 @@ def top_drifted(per_feature: DataFrame, n: int = 5) -> DataFrame:
 def shared_histogram(ref: DataFrame, cur: DataFrame, features: Sequence[str], bins: int = 15) -> DataFrame:
     """``bins`` equal-width bins on the reference min..max, same edges for current.
 
-    Last bin closed; out-of-range values dropped; a constant column gets the
-    range v +/- 0.5.  All bins are returned, empty ones with 0.
+    A value belongs to the last bin whose lower edge it reaches, compared with the edges themselves (a
+    quotient alone misplaces values that lie on one).  Last bin closed; out-of-range values dropped; a
+    constant column gets the range v +/- 0.5.  All bins are returned, empty ones with 0.
     """
     long = _long(ref, features, 0).unionByName(_long(cur, features, 1))
     rng = (long.filter(F.col("side") == 0).groupBy("feature")
@@ -124,7 +125,12 @@ def shared_histogram(ref: DataFrame, cur: DataFrame, features: Sequence[str], bi
                      F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
                      F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
     v, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
-    b = F.least(F.lit(bins), F.floor((v - lo) / (hi - lo) * bins).cast("int") + 1)
+    rng = F.broadcast(rng)  # a row for each feature
+    step = (hi - lo) / bins
+    guess = F.least(F.lit(bins - 1), F.floor((v - lo) / (hi - lo) * bins).cast("int"))
+    at = F.when(v < lo + guess * step, guess - 1).when(
+        (guess < bins - 1) & (v >= lo + (guess + 1) * step), guess + 1).otherwise(guess)
+    b = at + 1
     counts = (long.join(rng, "feature").filter((v >= lo) & (v <= hi))
                   .groupBy("feature", b.alias("bin"))
                   .agg(F.count_if(F.col("side") == 0).alias("ref_count"),

@@ -88,6 +88,8 @@ def merge_outer(frames: Sequence[DataFrame], key: str, hot_rows: int = HOT_KEY_R
         if dup:
             frames[i] = frames[i].drop(*dup)  # P2: drop overlapping columns from the right side
         seen |= set(frames[i].columns)
+    keyless = [f.filter(F.col(key).isNull()) for f in frames]
+    frames = [f.filter(F.col(key).isNotNull()) for f in frames]
     counts = [_key_counts(f, key) for f in frames]
     # Upper bound first (one job over per-input maxima): the largest key of any
     # intermediate result has at most prod(max rows per key of each input) rows.
@@ -117,10 +119,12 @@ def merge_outer(frames: Sequence[DataFrame], key: str, hot_rows: int = HOT_KEY_R
             out = cut_lineage(full_outer_salted(out, f, key, hot_rows, hots[i]))
         else:
             out = out.join(f, on=key, how="full_outer")
+    for rows in keyless:
+        out = out.unionByName(rows, allowMissingColumns=True)
     return out
 
 
-def cap_rows(df: DataFrame, order: Sequence[str], limit: int = 100_000, slack: float = 1.1) -> DataFrame:
+def cap_rows(df: DataFrame, order: Sequence[str], limit: int, slack: float = 1.1) -> DataFrame:
     """L1: keep the first ``limit`` rows in a total key order (nulls last).
 
     A plain top-k sends every partition's best ``limit`` rows to one final

@@ -30,8 +30,8 @@ def scaler_stage(stats: dict[str, tuple[float, float]], suffix: str = "_z") -> S
     return SQLTransformer(statement=f"SELECT *, {exprs} FROM __THIS__")
 
 
-def fit_forest(train: DataFrame, features: Sequence[str], label: str, num_trees: int = 20,
-               max_depth: int | None = 8, min_instances: int = 1, seed: int = 42) -> PipelineModel:
+def fit_forest(train: DataFrame, features: Sequence[str], label: str, num_trees: int = 100,
+               max_depth: int | None = None, min_instances: int = 1, seed: int = 42) -> PipelineModel:
     """M3: scaler + assembler + random forest (sqrt feature subsets)."""
     stats = fit_standard(train, features)
     asm = VectorAssembler(inputCols=[f"{c}_z" for c in features], outputCol="features", handleInvalid="keep")

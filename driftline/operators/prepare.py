@@ -24,20 +24,19 @@ def _stack(cols: Sequence[str], cast: str) -> str:
 def column_modes(df: DataFrame, cols: Sequence[str]) -> dict:
     """Most frequent non-null value per column, smallest on ties.
 
-    One pass for all columns: unpivot -> ``groupBy(column, value).count``
+    One pass for all columns of a type, which is kept: unpivot -> ``groupBy(column, value).count``
     (map-side partial counts) -> per column ``min_by(value, (-count, value))``.
-    The hash aggregate never holds a whole column in one task.
+    The hash aggregate never holds a whole column in one task. NaN counts as missing.
     """
     types = dict(df.dtypes)
     out: dict = {}
-    groups = {
-        "double": [c for c in cols if types[c] not in ("string",)],
-        "string": [c for c in cols if types[c] == "string"],
-    }
-    for cast, cs in groups.items():
-        if not cs:
-            continue
-        counts = (df.select(F.expr(_stack(cs, cast))).filter(F.col("value").isNotNull())
+    groups: dict[str, list[str]] = {}
+    for c in cols:
+        groups.setdefault(types[c], []).append(c)
+    for kind, cs in groups.items():
+        number = kind in ("float", "double")
+        present = F.col("value").isNotNull() & (~F.isnan("value") if number else F.lit(True))
+        counts = (df.select(F.expr(_stack(cs, kind))).filter(present)
                     .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))
         modes = counts.groupBy("column_name").agg(
             F.min_by("value", F.struct((-F.col("n")).alias("nn"), F.col("value").alias("v"))).alias("mode"))
@@ -50,12 +49,10 @@ def impute_mode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """M1: ``fillna(mode)`` for every listed column (the target too, as the reference does)."""
     modes = column_modes(df, cols)
     types = dict(df.dtypes)
-    fills = {}
-    for c, v in modes.items():
-        if v is None:
-            continue
-        fills[c] = int(v) if types[c] in ("int", "bigint", "smallint", "tinyint") else v
-    return df.fillna(fills) if fills else df
+    return df.withColumns({
+        c: F.coalesce(F.nanvl(F.col(c), F.lit(None).cast(types[c])) if types[c] in ("float", "double") else F.col(c),
+                      F.lit(v).cast(types[c]))
+        for c, v in modes.items() if v is not None})
 
 
 def binarize(col: str | Column, positive: Sequence, name: str | None = None) -> Column:
@@ -89,28 +86,30 @@ def standardize(df: DataFrame, cols: Sequence[str], digits: int | None = None) -
     return apply_standard(df, fit_standard(df, cols), digits)
 
 
-def dummy_levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> list | None:
-    """Sorted non-null levels, or ``None`` when there are more than ``max_levels``."""
+def dummy_levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> list:
+    """Sorted non-null levels; an error when there are more than ``max_levels``."""
     levels = [r[0] for r in df.select(col).distinct().filter(F.col(col).isNotNull())
               .limit(max_levels + 1).collect()]
-    return None if len(levels) > max_levels else sorted(levels)
+    if len(levels) > max_levels:
+        raise ValueError(f"{col} has over {max_levels} levels: use layout='vector'")
+    return sorted(levels)
 
 
 def one_hot(df: DataFrame, col: str, levels: Sequence | None = None, drop_first: bool = True,
-            max_levels: int = MAX_LEVELS) -> DataFrame:
-    """M2: dummy columns ``<col>_<level>`` (0/1 ints), first level dropped.
-
-    Numeric columns pass through unchanged, as with the reference's
-    ``get_dummies``.  Up to ``max_levels`` levels become columns; beyond
-    that the same encoding is produced as one sparse vector ``<col>_vec``
-    by a fitted ``StringIndexer`` + ``OneHotEncoder`` (levels indexed in
-    descending order, so dropping the last index drops the first level).
+            max_levels: int = MAX_LEVELS, layout: str = "columns") -> DataFrame:
+    """M2: the levels of a text column as 0/1 figures, first level dropped; numeric columns pass through.
+
+    ``layout="columns"`` gives int columns ``<col>_<level>`` and refuses more than ``max_levels`` of them;
+    ``layout="vector"`` gives the same encoding as one sparse vector ``<col>_vec`` at any number of levels.
+    The schema follows from the layout asked for, never from the size of the data.
     """
     if not isinstance(df.schema[col].dataType, T.StringType):
         return df
-    levels = sorted(levels) if levels is not None else dummy_levels(df, col, max_levels)
-    if levels is None:
+    if layout == "vector":
         return _one_hot_vector(df, col, drop_first)
+    if layout != "columns":
+        raise ValueError(f"unknown layout {layout!r}")
+    levels = sorted(levels) if levels is not None else dummy_levels(df, col, max_levels)
     keep = levels[1:] if drop_first else levels
     dummies = {f"{col}_{lv}": (F.col(col) == F.lit(lv)).cast("int") for lv in keep}
     return df.withColumns(dummies).drop(col)

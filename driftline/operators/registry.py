@@ -49,7 +49,7 @@ def untag(versions: DataFrame, tag: str = BEST_TAG) -> DataFrame:
 
 
 def promote(versions: DataFrame, candidates: DataFrame, model: str = "model_name") -> DataFrame:
-    """M8: promote each model's candidate iff its accuracy beats the current best strictly.
+    """M8: promote each model's candidate iff its accuracy beats the current best strictly (0.0 without one).
 
     ``candidates``: ``(model, model_version, accuracy)``, one row per model.
     A promoted candidate receives the tag (its accuracy as text) and the
@@ -61,7 +61,7 @@ def promote(versions: DataFrame, candidates: DataFrame, model: str = "model_name
     current = best_version(others.drop("_cv"), model)
     decision = (candidates.join(current, model, "left")
                 .select(model, F.col("model_version").alias("_pv"), F.col("accuracy").alias("_pa"),
-                        (F.col("best_accuracy").isNull() | (F.col("accuracy") > F.col("best_accuracy")))
+                        (F.col("accuracy") > F.coalesce("best_accuracy", F.lit(0.0)))
                         .alias("_promote"))
                 .filter("_promote"))
     v = versions.join(decision, model, "left")

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from driftline.functions.hashing import DRAW_BITS, draw, draw_fast
 
+#: Groups whose boundaries are broadcast; with more, they are joined by a shuffle.
+FEW_GROUPS = 10_000
 BUCKET_BITS = 20
 
 KRule = Callable[[Column], Column]
@@ -50,7 +52,8 @@ def mark_smallest(df: DataFrame, draw_col: str, k: KRule | DataFrame, groups: Se
                                     (F.col("_k") - F.col("_cum") + F.col("_bn")).alias("r")),
                            F.col("_bucket")).alias("_x"))
              .select(*groups, F.col("_x.b").alias("_bstar"), F.col("_x.r").alias("_r")))
-    x = x.join(bnd, groups, "left").withColumn("_bstar", F.coalesce(F.col("_bstar"), F.lit(-1)))
+    few = bnd.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS  # a row for each group
+    x = x.join(F.broadcast(bnd) if few else bnd, groups, "left").withColumn("_bstar", F.coalesce(F.col("_bstar"), F.lit(-1)))
     inside = x.filter(F.col("_bucket") == F.col("_bstar"))
     wr = Window.partitionBy(*groups, "_bucket").orderBy(draw_col, *tiebreak)
     inside = inside.withColumn(out, F.row_number().over(wr) <= F.col("_r"))

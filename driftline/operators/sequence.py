@@ -36,7 +36,7 @@ def time_chunk(ts: str | Column) -> Column:
 
 def quantile_chunk(df: DataFrame, keys: Sequence[str], order_col: str,
                    buckets: int = DEFAULT_BUCKETS, accuracy: int = 10_000,
-                   sub_buckets: int = SUB_BUCKETS) -> DataFrame:
+                   sub_buckets: int = SUB_BUCKETS, few_keys: bool = False) -> DataFrame:
     """Add ``_chunk``: an ordered, value-range chunk id per key (monotone in ``order_col``).
 
     ``buckets`` approximate per-key quantile cuts give coarse ranges
@@ -44,7 +44,8 @@ def quantile_chunk(df: DataFrame, keys: Sequence[str], order_col: str,
     sub-ranges, as many as needed for about ``CHUNK_ROWS`` rows per chunk
     (at most ``sub_buckets``), so a key gets up to ``buckets * sub_buckets``
     chunks for O(``buckets``) work per row.
-    Equal values always share a chunk.  The cut table has ``#keys`` rows.
+    Equal values always share a chunk.  The cut table has ``#keys`` rows; with ``few_keys`` (keys that are
+    column names, say) it is broadcast, so a table is not shuffled on a handful of keys.
     """
     probs = [i / buckets for i in range(1, buckets)]
     v = F.col(order_col)
@@ -54,7 +55,7 @@ def quantile_chunk(df: DataFrame, keys: Sequence[str], order_col: str,
     # sub-ranges per key: enough for about CHUNK_ROWS rows per chunk, at most sub_buckets
     cuts = cuts.withColumn("_sb", F.least(F.lit(sub_buckets), F.greatest(F.lit(1), F.ceil(
         F.col("_n") / F.lit(float(buckets * CHUNK_ROWS))))).cast("int"))
-    x = df.join(cuts, list(keys), "left").withColumn("_i", F.size(F.filter("_cuts", lambda c: c < v)))
+    x = df.join(F.broadcast(cuts) if few_keys else cuts, list(keys), "left").withColumn("_i", F.size(F.filter("_cuts", lambda c: c < v)))
     numeric = isinstance(df.schema[order_col].dataType, T.NumericType)
     if not numeric or sub_buckets <= 1:
         return x.withColumn("_chunk", F.col("_i")).drop("_cuts", "_lo", "_hi", "_i", "_n", "_sb")
@@ -69,7 +70,7 @@ def quantile_chunk(df: DataFrame, keys: Sequence[str], order_col: str,
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Sequence[str],
                 chunk: Column | None = None, buckets: int = DEFAULT_BUCKETS,
-                suffix: str = "_cum") -> DataFrame:
+                suffix: str = "_cum", few_keys: bool = False) -> DataFrame:
     """Exact ``sum(c) OVER (PARTITION BY keys ORDER BY order ROWS UNBOUNDED PRECEDING)``.
 
     ``order`` must be a total order within a key.  ``chunk`` is a Column
@@ -82,7 +83,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums:
     if chunk is None:
         # chunk ids come from a percentile aggregate joined back; the windows and
         # the chunk totals both read them, so they are written once
-        x = cut_lineage(quantile_chunk(df, keys, order[0], buckets))
+        x = cut_lineage(quantile_chunk(df, keys, order[0], buckets, few_keys=few_keys))
     else:
         x = df.withColumn("_chunk", chunk)
     w = (Window.partitionBy(*keys, "_chunk").orderBy(*order)

@@ -125,7 +125,7 @@ long AS ({_long_sql(0, 'ref')}
 r0 AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM long WHERE side = 0 AND value IS NOT NULL GROUP BY feature),
 rng AS (SELECT feature, CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS lo,
                CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS hi FROM r0),
-c AS (SELECT l.feature, least(15, CAST(floor((value - lo) / (hi - lo) * 15) AS INTEGER) + 1) AS bin,
+c AS (SELECT l.feature, CAST(len(list_filter(range(0, 15), lambda i: lo + i * ((hi - lo) / 15) <= value)) AS INTEGER) AS bin,
              COUNT(*) FILTER (WHERE side = 0) AS ref_count, COUNT(*) FILTER (WHERE side = 1) AS cur_count
       FROM long l JOIN rng USING (feature) WHERE value >= lo AND value <= hi GROUP BY 1, 2),
 g AS (SELECT feature, lo, hi, CAST(b AS INTEGER) AS bin FROM rng, range(1, 16) t(b))

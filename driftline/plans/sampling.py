@@ -112,3 +112,24 @@ SELECT o_orderkey, o_custkey, o_orderpriority, o_orderstatus, o_totalprice, 'syn
 """)
 def synthetic_mix(spark, sf):
     return bootstrap.synthetic_mix(_source(spark, sf), KEY, BOOT_COLS, SALT, 0.5)
+
+
+_DUP_KEY = ["l_orderkey", "l_linenumber"]
+_DUP_COLS = ["l_shipdate", "l_quantity", "l_partkey_wide", "l_returnflag"]
+_WIDE = "l_partkey + 9007199254740993"  # beyond what a double holds exactly
+_DUP_D = draw_sql("l_orderkey", "l_linenumber", f"'{SALT}'")
+
+
+@query("synthetic_mix_dupkeys", f"""
+WITH s AS (SELECT l_orderkey, l_linenumber, l_shipdate, l_quantity, {_WIDE} AS l_partkey_wide, l_returnflag FROM lineitem),
+r AS (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY {_DUP_D}, l_orderkey, l_linenumber) AS rn, COUNT(*) OVER () AS n FROM s),
+c AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey, l_linenumber) AS nth FROM r WHERE rn > round_even(n * 0.5, 0)),
+{", ".join(f"v_{c} AS (SELECT {c} AS v, row_number() OVER (ORDER BY {c}) - 1 AS i, COUNT(*) OVER () AS m FROM s WHERE {c} IS NOT NULL)" for c in _DUP_COLS)},
+b AS (SELECT c.*, {", ".join(f"{draw_sql('l_orderkey', 'l_linenumber', 'nullif(nth, 1)', chr(39) + c + chr(39), chr(39) + SALT + chr(39))} % (SELECT max(m) FROM v_{c}) AS i_{c}" for c in _DUP_COLS)} FROM c)
+SELECT {", ".join(f"v_{c}.v AS {c}" for c in _DUP_COLS)} FROM b {" ".join(f"JOIN v_{c} ON v_{c}.i = i_{c}" for c in _DUP_COLS)}
+""")
+def synthetic_mix_dupkeys(spark, sf):
+    """R3 on a key that repeats, with a timestamp and integers beyond 2^53: the synthetic half."""
+    li = Tables(spark, sf).lineitem.withColumn("l_partkey_wide", F.expr(_WIDE))
+    out = bootstrap.synthetic_mix(li.select(*_DUP_KEY, *_DUP_COLS), _DUP_KEY, _DUP_COLS, SALT, 0.5)
+    return out.filter("provenance = 'synthetic'").select(*_DUP_COLS)

@@ -84,7 +84,7 @@ WITH {VERSIONS_SQL},
 cand AS (SELECT model_name, arg_max(model_version, vnum) AS cv, arg_max(accuracy, vnum) AS ca FROM v GROUP BY 1),
 cur AS (SELECT v.model_name, max(tag_acc) AS best FROM v JOIN cand USING (model_name)
         WHERE v.model_version <> cand.cv AND tag_acc IS NOT NULL GROUP BY 1),
-d AS (SELECT cand.* FROM cand LEFT JOIN cur USING (model_name) WHERE cur.best IS NULL OR ca > cur.best)
+d AS (SELECT cand.* FROM cand LEFT JOIN cur USING (model_name) WHERE ca > CASE WHEN cur.best IS NULL THEN 0.0 ELSE cur.best END)
 SELECT v.model_name, v.model_version,
        CASE WHEN v.model_version = d.cv THEN 'Production' ELSE v.stage END AS stage,
        CASE WHEN v.model_version = d.cv THEN d.ca WHEN d.cv IS NOT NULL THEN NULL ELSE v.tag_acc END AS best_tag,

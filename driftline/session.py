@@ -8,6 +8,7 @@ local runs) do we create one of our own.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -17,6 +18,7 @@ from pyspark.sql import SparkSession
 
 _LOCAL_FALLBACK: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_SCRATCH: set[str] = set()
 
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -76,21 +78,38 @@ def ship_package(spark: SparkSession) -> None:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder; set only where the session has none."""
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    app_id = spark.sparkContext.applicationId
+    app_id = sc.applicationId
+    if app_id not in _LOCAL_FALLBACK and sc.getCheckpointDir():  # set by the caller
+        _LOCAL_FALLBACK[app_id] = sc.getCheckpointDir().rstrip("/")
+    if app_id not in _LOCAL_FALLBACK and not sc.master.startswith("local"):
+        raise RuntimeError("a cluster needs spark.checkpoint.dir: a folder that all machines share")
     if app_id not in _LOCAL_FALLBACK:
         local = tempfile.mkdtemp(prefix="driftline-ckpt-")
-        spark.sparkContext.setCheckpointDir(local)
+        sc.setCheckpointDir(local)
         _LOCAL_FALLBACK[app_id] = local
     return _LOCAL_FALLBACK[app_id]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, never reused folder below the checkpoint dir."""
-    return f"{checkpoint_dir(spark)}/driftline/{name}-{uuid.uuid4().hex}"
+    """A fresh, never reused folder below the checkpoint dir; removed when the driver's Python ends."""
+    own = f"{checkpoint_dir(spark)}/driftline/{spark.sparkContext.applicationId}"
+    if own not in _SCRATCH:
+        _SCRATCH.add(own)
+        atexit.register(_remove, spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this application in whatever store it lies, if the session still runs."""
+    sc = spark.sparkContext
+    if sc._jsc is None:
+        return
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def cut_lineage(df, spark: SparkSession | None = None):

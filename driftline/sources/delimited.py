@@ -29,41 +29,46 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: st
             .option("encoding", encoding).option("timestampFormat", TIMESTAMP_FORMAT).csv(path))
 
 
-def read_skip_long_lines(spark: SparkSession, path: str, names: Sequence[str], sep: str = ";") -> DataFrame:
+def read_skip_long_lines(spark: SparkSession, path: str, names: Sequence[str] | None = None, sep: str = ";",
+                         header: bool = False, encoding: str = "UTF-8") -> DataFrame:
     """All-text scan that drops lines with *too many* fields and null-pads short ones.
 
     Not ``DROPMALFORMED`` (which also drops short lines and depends on the
     selected columns), and not a surplus schema column (an empty trailing
     field reads as NULL and would hide the surplus).  Fields are counted on
-    the raw line, splitting only at separators outside double quotes; the
-    kept lines are parsed with ``from_csv``.  Empty fields become NULL.
+    the raw line as separators left when quoted spans are taken out (one
+    linear pass); the kept lines are parsed with ``from_csv``.  Empty fields become NULL.
+
+    ``header``: the first line of every file is the same one and holds the names.
     """
-    schema = ", ".join(f"`{n}` STRING" for n in names)
-    outside_quotes = f"{re.escape(sep)}(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"
     lines = spark.read.text(path)
-    n_fields = F.size(F.split(F.col("value"), outside_quotes, -1))
-    kept = lines.filter(n_fields <= len(names))
+    if encoding.upper() not in ("UTF-8", "UTF8"):
+        lines = lines.select(F.decode(F.col("value").cast("binary"), encoding).alias("value"))
+    if header:
+        first = lines.first()
+        if names is None:
+            names = [n.strip().strip('"') for n in (first["value"] if first else "").split(sep)]
+        if first:
+            lines = lines.filter(F.col("value") != F.lit(first["value"]))
+    if names is None:
+        raise ValueError("names are needed where the file has no header")
+    schema = ", ".join(f"`{n}` STRING" for n in names)
+    bare = F.regexp_replace(F.col("value"), '"[^"]*"', "")
+    n_seps = (F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit("")))) / len(sep)
+    kept = lines.filter(n_seps < len(names))
     parsed = kept.select(F.from_csv(F.col("value"), schema, {"sep": sep}).alias("_r")).select("_r.*")
     return parsed.select(*[F.nullif(F.col(n), F.lit("")).alias(n) for n in names])
 
 
-def replacement_chars(df: DataFrame) -> DataFrame:
-    """Count of U+FFFD (undecodable bytes) over all text columns (one row)."""
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    bad = sum((F.coalesce(F.length(F.col(c)) - F.length(F.regexp_replace(F.col(c), "�", "")), F.lit(0))
-               for c in texts), F.lit(0))
-    return df.agg(F.sum(bad).alias("n_bad"))
-
-
 def read_with_encoding_fallback(spark: SparkSession, path: str, schema: T.StructType, sep: str = ";",
                                 header: bool = True, fallback: str = "ISO-8859-1") -> DataFrame:
-    """S3: read as UTF-8; when any text field holds undecodable bytes, re-read as ``fallback``.
+    """S3: read as UTF-8; when any line's bytes are not valid UTF-8, read as ``fallback``.
 
-    The check is one distributed aggregate returning one number.
+    The check looks at the bytes, so a replacement character that is really in the text is no error, and it
+    stops at the first bad line.
     """
-    utf8 = read_delimited(spark, path, schema, sep, header)
-    n_bad = replacement_chars(utf8).first()["n_bad"] or 0
-    return read_delimited(spark, path, schema, sep, header, fallback) if n_bad > 0 else utf8
+    bad = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count()
+    return read_delimited(spark, path, schema, sep, header, fallback if bad else "UTF-8")
 
 
 def year_family(spark: SparkSession, template: str, years: Sequence[int], schema: T.StructType,

@@ -50,7 +50,7 @@ def run_available_now(stream: DataFrame, name: str, output_mode: str = "append",
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return spark.read.schema(stream.schema).format(fmt).load(sink) if fmt != "json" else spark.read.json(sink)
+    return spark.read.schema(stream.schema).format(fmt).load(sink)
 
 
 def run_complete_available_now(stream: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:

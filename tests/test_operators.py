@@ -345,11 +345,11 @@ def test_one_hot_columns_and_vector_path_agree(spark):
     cols = prepare.one_hot(df, "t").orderBy("id").collect()
     assert [(r["t_b"], r["t_c"]) for r in cols] == [(1, 0), (0, 0), (0, 1), (1, 0), (0, 1)]
     df = df.unionByName(spark.createDataFrame([(5, None)], "id int, t string"))
-    vec = prepare.one_hot(df, "t", max_levels=2).orderBy("id")
+    vec = prepare.one_hot(df, "t", layout="vector").orderBy("id")
     arr = [r[0] for r in vec.select(vector_to_array("t_vec")).collect()]
     # slots (b, c): the first level 'a' and NULL are all zeros, as with dummy columns
     assert arr == [[1.0, 0.0], [0.0, 0.0], [0.0, 1.0], [1.0, 0.0], [0.0, 1.0], [0.0, 0.0]]
-    full = prepare.one_hot(df, "t", drop_first=False, max_levels=2).orderBy("id")
+    full = prepare.one_hot(df, "t", drop_first=False, layout="vector").orderBy("id")
     arr = [r[0] for r in full.select(vector_to_array("t_vec")).collect()]
     assert arr[1] == [1.0, 0.0, 0.0] and arr[5] == [0.0, 0.0, 0.0]
 
