@@ -33,6 +33,9 @@ ALPHA = 1.0
 SEED = 7
 #: Links of lattices that a worker remembers, at 16 bytes each.
 MEMORY = 4_000_000
+#: Characters of the texts that are sampled together, and units that are filtered together.
+BLOCK_CHARS = 1 << 20
+BLOCK_UNITS = 1 << 13
 UNIT = re.compile(r" *[^ ]+| +")
 MARK = "▁"
 
@@ -197,7 +200,18 @@ class Lattices:
         self.known += len(units)
 
     def sample(self, texts: Sequence[str | None], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after the other, offsets of the texts)."""
+        """(ids of all texts one after the other, offsets of the texts); some texts at a time."""
+        ids, offsets, at, size, total = [], [np.zeros(1, np.int64)], 0, 0, 0
+        for k, t in enumerate(texts):
+            size += len(t or "")
+            if size >= BLOCK_CHARS or k + 1 == len(texts):
+                part, ends = self._sample(texts[at:k + 1], keys[at:k + 1])
+                ids.append(part)
+                offsets.append(ends[1:] + total)
+                at, size, total = k + 1, 0, total + len(part)
+        return np.concatenate(ids) if ids else np.zeros(0, np.int32), np.concatenate(offsets)
+
+    def _sample(self, texts: Sequence[str | None], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.upto.n > MEMORY:
             self.clear()
         units = [units_of(t) for t in texts]
@@ -207,7 +221,9 @@ class Lattices:
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         unit = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(units)), np.int64, n)
         if len(self.numbers) > self.known:
-            self.add(list(islice(self.numbers, self.known, None)))
+            new = list(islice(self.numbers, self.known, None))
+            for k in range(0, len(new), BLOCK_UNITS):
+                self.add(new[k:k + BLOCK_UNITS])
         state = self.last.data[unit]
         place = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
         seed = _mix(np.repeat(keys, counts) ^ (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
@@ -288,8 +304,8 @@ def encode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text
             cols = [b.column(b.schema.get_field_index(f.name)) for f in kept]
             cols.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)))
             if lossless:
-                each = ids.tolist()
-                cols.append(pa.array([own.decode(each[a:z]) == (t or "") for t, a, z in zip(texts, offsets, offsets[1:])]))
+                cols.append(pa.array([own.decode(ids[a:z].tolist()) == (t or "") for t, a, z in zip(texts, offsets, offsets[1:])],
+                                     pa.bool_()))
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     fields = [*kept, T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(lossless, T.BooleanType())] if lossless else [])]
