@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftline.session import scratch_path
 
 #: The six ASCII blanks that separate words; everything else belongs to a word.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = r"[\x20\x09-\x0D]"
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 #: A side of a join is broadcast only if a count has shown at most this many (narrow) rows.
 BROADCAST_ROWS = 50_000
@@ -77,6 +78,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+              schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` for columns of any name (dots included) and batches of bounded size."""
+    bounded_batches(df.sparkSession)
+    names = df.columns
+
+    def named_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches)
+
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(named_batches, schema)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small in bytes, so that long documents cannot fill a Python worker."""
     for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH_BYTES),

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import BLANK_CLASS, BLANKS, fresh, join_checked, let, named, staged, words
+from driftline.llm.common import BLANKS, fresh, join_checked, let, named, staged, words
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"

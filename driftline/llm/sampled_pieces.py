@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from driftline.llm.common import bounded_batches
+from driftline.llm.common import map_arrow
 
 ALPHA = 1.0
 SEED = 7
@@ -291,7 +291,6 @@ def lattices(path: str, alpha: float = ALPHA) -> Lattices:
 def encode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", out: str = "pieces",
            lossless: str | None = None, keep: Sequence[str] | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     """The columns in ``keep`` (all), the sampled pieces as array<int>, and whether decoding them gives the text."""
-    bounded_batches(docs.sparkSession)
     kept = [docs.schema[c] for c in (docs.columns if keep is None else keep)]
     names = [*[f.name for f in kept], out, *([lossless] if lossless else [])]
 
@@ -309,12 +308,11 @@ def encode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     fields = [*kept, T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(lossless, T.BooleanType())] if lossless else [])]
-    return docs.mapInArrow(run, T.StructType(fields))
+    return map_arrow(docs, run, T.StructType(fields))
 
 
 def decode(encoded: DataFrame, path: str, *, pieces: str = "pieces", out: str = "text", alpha: float = ALPHA) -> DataFrame:
     """The encoded rows with their text in the place of the pieces; null pieces give a null text."""
-    bounded_batches(encoded.sparkSession)
     kept = [f for f in encoded.schema.fields if f.name not in (pieces, out)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,4 +323,4 @@ def decode(encoded: DataFrame, path: str, *, pieces: str = "pieces", out: str =
             yield pa.RecordBatch.from_arrays([*cols, pa.array([None if i is None else own.decode(i) for i in ids], pa.string())],
                                              names=[*[f.name for f in kept], out])
 
-    return encoded.mapInArrow(run, T.StructType([*kept, T.StructField(out, T.StringType())]))
+    return map_arrow(encoded, run, T.StructType([*kept, T.StructField(out, T.StringType())]))

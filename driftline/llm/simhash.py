@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.llm.common import bounded_batches, fresh, join_checked, named, staged
+from driftline.llm.common import fresh, join_checked, map_arrow, named, staged
 from driftline.session import cut_lineage
 
 BITS = 64
@@ -75,7 +75,6 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 def with_fingerprints(docs: DataFrame, *, text: str = "text", out: str = "fp", shingle: int = SHINGLE,
                       keep_text: bool = True) -> DataFrame:
     """The documents with their fingerprint as a signed 64-bit integer."""
-    bounded_batches(docs.sparkSession)
     keep = [f for f in docs.schema.fields if keep_text or f.name != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +84,7 @@ def with_fingerprints(docs: DataFrame, *, text: str = "text", out: str = "fp", s
             cols = [b.column(b.schema.get_field_index(f.name)) for f in keep]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(fps)], names=[*[f.name for f in keep], out])
 
-    return docs.mapInArrow(run, T.StructType([*keep, T.StructField(out, T.LongType())]))
+    return map_arrow(docs, run, T.StructType([*keep, T.StructField(out, T.LongType())]))
 
 
 def upper_nodes(fps: DataFrame, rows: int) -> np.ndarray:

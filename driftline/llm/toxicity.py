@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.llm.common import bounded_batches, named
+from driftline.llm.common import bounded_batches, fresh, map_arrow, named
 
 #: Labelled documents to learn from, at most; the lowest hashes of their ids are taken.
 MAX_LABELLED = 50_000
@@ -288,7 +288,6 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", out: str = "score", keep_text: bool = True) -> DataFrame:
     """The documents with their score."""
-    bounded_batches(docs.sparkSession)
     keep = [f for f in docs.schema.fields if keep_text or f.name != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +296,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", out: str = "scor
             cols = [b.column(b.schema.get_field_index(f.name)) for f in keep]
             yield pa.RecordBatch.from_arrays([*cols, scores], names=[*[f.name for f in keep], out])
 
-    return docs.mapInArrow(run, T.StructType([*keep, T.StructField(out, T.DoubleType())]))
+    return map_arrow(docs, run, T.StructType([*keep, T.StructField(out, T.DoubleType())]))
 
 
 def predictions(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -311,8 +310,6 @@ def predictions(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", t
 
 def filter_toxic(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that are not predicted to be toxic, with their own columns."""
-    from driftline.llm.common import fresh
-
     out, = fresh(docs, "score")
     model = learn(docs, labels, doc_id=doc_id, text=text)
     return score(docs, model, text=text, out=out).where(named(out) < PREDICT_AT).select(*[named(c) for c in docs.columns])
