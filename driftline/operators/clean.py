@@ -28,9 +28,8 @@ def align_columns(df: DataFrame, wanted: Sequence[str]) -> tuple[DataFrame, list
 
 def require_columns(df: DataFrame, required: Sequence[str]) -> None:
     """P5: raise listing the missing required columns."""
-    missing = [c for c in required if c not in df.columns]
-    if missing:
-        raise ValueError(f"Missing required columns in the dataset: {missing}")
+    if absent := sorted(set(required) - set(df.columns)):
+        raise ValueError("required columns are absent: " + ", ".join(absent))
 
 
 def drop_null_rows(df: DataFrame, subset: Sequence[str]) -> DataFrame:

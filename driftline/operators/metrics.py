@@ -33,6 +33,29 @@ def counter_increase(df: DataFrame, series: Sequence[str], order: Sequence[str],
     return x.groupBy(*series, step).agg(F.sum(inc).alias(name))
 
 
+def sliding_increase(df: DataFrame, series: Sequence[str], order: Sequence[str], value: str, step: str,
+                     range_steps: int, interval: str = "1 hour", chunk: Column | None = None,
+                     name: str = "increase") -> DataFrame:
+    """W1 with a range wider than the step: the increase over ``[eval_at - range, eval_at)`` at every step ``eval_at``.
+
+    Only pairs of samples that both lie in the range count, and a range with
+    fewer than two samples has no row.  The samples are summed per step
+    first; a range is then the sum of its steps less the increase into its
+    first sample, so only step rows are spread over the ranges they lie in.
+    """
+    series = list(series)
+    x = lag_exact(df, series, order, [value], chunk if chunk is not None else time_chunk(order[0]), prefix="_prev_")
+    v, p = F.col(value), F.col(f"_prev_{value}")
+    inc = F.when(p.isNull(), F.lit(0)).when(v >= p, v - p).otherwise(v)
+    per = x.groupBy(*series, step).agg(F.sum(inc).alias("_inc"), F.count(F.lit(1)).alias("_n"),
+                                       F.min_by(inc, F.struct(*[F.col(c) for c in order])).alias("_into"))
+    one = F.expr(f"INTERVAL {interval}")
+    spread = per.withColumn("eval_at", F.explode(F.sequence(F.col(step) + one, F.col(step) + one * range_steps, one)))
+    return (spread.groupBy(*series, "eval_at")
+            .agg((F.sum("_inc") - F.min_by("_into", step)).alias(name), F.sum("_n").alias("_n"))
+            .filter(F.col("_n") >= 2).drop("_n"))
+
+
 def per_second(increase: str | Column, seconds: int, digits: int = 9) -> Column:
     """Increase over the range / range seconds."""
     c = F.col(increase) if isinstance(increase, str) else increase

@@ -15,11 +15,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.operators.prepare import fit_standard
 
+METADATA = "model_name string, num_trees int, max_depth int, features array<string>, accuracy double, previous_best double"
 SPARK_MAX_DEPTH = 30  # an unlimited depth maps to Spark's maximum
 
 
@@ -59,3 +60,17 @@ def save(model: PipelineModel, path: str) -> None:
 
 def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def publish_if_better(model: PipelineModel, accuracy: float, best: float, folder: str, metadata: dict) -> bool:
+    """K10 + M8: save the model and append its metadata row only if its accuracy beats the best one strictly.
+
+    ``folder`` holds ``model`` (the newest best one) and ``metadata`` (JSON lines, one per published model).
+    """
+    if accuracy <= best:
+        return False
+    spark = SparkSession.active()
+    save(model, f"{folder}/model")
+    row = {**metadata, "accuracy": accuracy, "previous_best": best}
+    spark.createDataFrame([row], METADATA).coalesce(1).write.mode("append").json(f"{folder}/metadata")
+    return True

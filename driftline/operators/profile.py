@@ -28,6 +28,12 @@ def year_equals(col: str | Column, year: int) -> Column:
     return c.cast("string").try_cast("int") == F.lit(year)
 
 
+def in_year(col: str | Column, year: int) -> Column:
+    """P7 on a date or timestamp: a half-open range, which reaches the parquet scan as a pushed filter."""
+    c = F.col(col) if isinstance(col, str) else col
+    return (c >= F.lit(f"{year:04d}-01-01").cast("timestamp")) & (c < F.lit(f"{year + 1:04d}-01-01").cast("timestamp"))
+
+
 def group_count(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
     """A3: ``SELECT k, COUNT(*) GROUP BY k``."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftline.functions import coerce
+from driftline.functions import coerce, labels
 from driftline.operators import clean, merge
 from driftline.plans.registry import query
 from driftline.session import cut_lineage
@@ -178,3 +178,37 @@ def merge_cap(spark, sf):
     merged = cut_lineage(merge.merge_outer(list(_merge_inputs(spark, sf)), "k"))
     return merge.cap_rows(merged, ["k", "o_orderstatus", "o_totalprice", "l_linenumber",
                                    "l_quantity", "o_orderpriority"], 100_000)
+
+
+@query("header_clean", """
+SELECT c_custkey, c_name, lower(replace(replace(c_mktsegment || ' top-tier', ' ', '_'), '-', '_')) AS gauge FROM customer
+""")
+def header_clean(spark, sf):
+    """P3 + P5 + P17: blank-padded headers are cleaned, the needed columns checked, gauge names normalised."""
+    raw = Tables(spark, sf).customer.select(F.col("c_custkey").alias(" c_custkey"), F.col("c_name").alias("c_name  "),
+                                            F.concat("c_mktsegment", F.lit(" top-tier")).alias(" gauge "))
+    t = raw.toDF(*coerce.clean_header(raw.columns))
+    clean.require_columns(t, ["c_custkey", "c_name", "gauge"])
+    return t.withColumn("gauge", coerce.normalize_name("gauge"))
+
+
+@query("display_text", """
+SELECT o_orderkey, printf('%.1f MiB', o_totalprice * 1000 / 1048576) AS size_text,
+       replace(format('{:,}', CAST(trunc(o_totalprice) AS BIGINT)), ',', ' ') AS price_text FROM orders
+""")
+def display_text(spark, sf):
+    """sizes in MiB and integers with blanks between thousands."""
+    return Tables(spark, sf).orders.select("o_orderkey", labels.mib_text(F.col("o_totalprice") * 1000).alias("size_text"),
+                                           labels.thousands("o_totalprice").alias("price_text"))
+
+
+@query("merge_overlap", """
+SELECT COALESCE(o.o_orderkey, l.l_orderkey) AS k, o.o_custkey, o.o_orderstatus, l.l_linenumber, l.l_quantity
+FROM orders o FULL OUTER JOIN lineitem l ON o.o_orderkey = l.l_orderkey
+""")
+def merge_overlap(spark, sf):
+    """A column that the left side has too is dropped from the right side before the merge."""
+    t = Tables(spark, sf)
+    left = t.orders.select(F.col("o_orderkey").alias("k"), "o_custkey", "o_orderstatus")
+    right = t.lineitem.select(F.col("l_orderkey").alias("k"), F.lit("other").alias("o_orderstatus"), "l_linenumber", "l_quantity")
+    return merge.merge_outer([left, right], "k")

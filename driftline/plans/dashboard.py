@@ -31,7 +31,7 @@ ORDER BY pct DESC
 """)
 def share_by_condition(spark, sf):
     li = Tables(spark, sf).lineitem
-    pred = profile.year_equals(F.year("l_shipdate"), SHARE_YEAR) & F.col("l_returnflag").isNotNull()
+    pred = profile.in_year("l_shipdate", SHARE_YEAR) & F.col("l_returnflag").isNotNull()
     label = profile.case_label("l_returnflag", RETURNFLAG_LABELS, "Unspecified")
     return profile.share_by_condition(li, label, pred, scale=4).orderBy(F.col("pct").desc())
 
@@ -51,7 +51,7 @@ WHERE TRY_CAST(CAST(year(l_shipdate) AS VARCHAR) AS INTEGER) = {SHARE_YEAR}
 """)
 def count_by_year(spark, sf):
     li = Tables(spark, sf).lineitem
-    return profile.count_where(li, profile.year_equals(F.year("l_shipdate"), SHARE_YEAR))
+    return profile.count_where(li, profile.in_year("l_shipdate", SHARE_YEAR))
 
 
 @query("class_counts", """

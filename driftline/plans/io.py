@@ -51,3 +51,41 @@ def csv_bad_lines(spark, sf):
                     F.col("o_totalprice").cast("double").alias("o_totalprice"),
                     F.to_timestamp("o_orderdate", delimited.TIMESTAMP_FORMAT).alias("o_orderdate"),
                     "o_orderpriority")
+
+
+@query("csv_header_lines", """
+SELECT o_orderkey, 'café; ' || o_orderpriority AS note, o_orderstatus FROM orders WHERE o_orderstatus <> 'P'
+""")
+def csv_header_lines(spark, sf):
+    """Latin-1 lines with a header, a quoted separator in each, and a surplus field on status P lines."""
+    line = F.concat(F.col("o_orderkey").cast("string"), F.lit(';"café; '), F.col("o_orderpriority"), F.lit('";'),
+                    F.col("o_orderstatus"), F.when(F.col("o_orderstatus") == "P", ";surplus").otherwise(""))
+    path = scratch_path(spark, "orders_header_lines")
+    # one column without quoting: the lines are written as they are
+    (Tables(spark, sf).orders.select(line.alias("o_orderkey;note;o_orderstatus"))
+     .write.option("header", True).option("quote", "").option("sep", "\x01").option("encoding", "ISO-8859-1").csv(path))
+    t = delimited.read_skip_long_lines(spark, path, sep=";", header=True, encoding="ISO-8859-1")
+    return t.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "note", "o_orderstatus")
+
+
+@query("encoding_fallback", """
+SELECT p_partkey, 'pièce ' || p_name AS label FROM part
+""")
+def encoding_fallback(spark, sf):
+    """S3: a Latin-1 file is found not to be UTF-8 and read as Latin-1."""
+    part = Tables(spark, sf).part.select("p_partkey", F.concat(F.lit("pièce "), "p_name").alias("label"))
+    path = scratch_path(spark, "part_latin1")
+    delimited.write_delimited(part, path, encoding="ISO-8859-1")
+    return delimited.read_with_encoding_fallback(spark, path, part.schema)
+
+
+@query("year_files", """
+SELECT o_orderkey, o_totalprice, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders
+""")
+def year_files(spark, sf):
+    """One folder of files per year, read as one table with the year of the name."""
+    orders = Tables(spark, sf).orders.select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("file_year"))
+    path = scratch_path(spark, "orders_by_year")
+    orders.write.partitionBy("file_year").option("sep", ";").option("header", True).csv(path)
+    years = [r[0] for r in orders.select("file_year").distinct().collect()]  # one row per year
+    return delimited.year_family(spark, f"{path}/file_year={{year}}", sorted(years), orders.drop("file_year").schema)

@@ -59,9 +59,9 @@ def log_lines(events: DataFrame) -> DataFrame:
                          et.alias("service_name"), label.alias("label"), message.alias("message"))
 
 
-def _as_of(events: DataFrame):
-    """Report time = the newest event (a scalar subquery)."""
-    return events.agg(F.max("ts")).scalar()
+def as_of(events: DataFrame):
+    """Report time = the newest event, as a literal, so that a time range after it reaches the scan."""
+    return F.lit(events.agg(F.max("ts").alias("ts")).first()["ts"]).cast("timestamp")
 
 
 @query("log_filter", f"""
@@ -146,7 +146,7 @@ FROM g
 def recent_problems(spark, sf):
     ev = Tables(spark, sf).events
     ln = log_lines(ev).filter(logs.problem_filter(F.col("message")))
-    return logs.recent_problems(ln, _as_of(ev), PROBLEM_HOURS)
+    return logs.recent_problems(ln, as_of(ev), PROBLEM_HOURS)
 
 
 @query("log_retention", f"""
@@ -158,4 +158,4 @@ WHERE regexp_matches(message, '(?i)(error|warning)')
 def log_retention(spark, sf):
     ev = Tables(spark, sf).events
     ln = log_lines(ev).filter(logs.problem_filter(F.col("message")))
-    return logs.retain(ln, _as_of(ev), RETENTION_DAYS).select("event_id", "ts", "container_name", "message")
+    return logs.retain(ln, as_of(ev), RETENTION_DAYS).select("event_id", "ts", "container_name", "message")

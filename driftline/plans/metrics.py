@@ -18,6 +18,7 @@ from driftline.plans.registry import query
 from driftline.sources.tables import Tables
 
 STEP_SECONDS = 3600
+RANGE_STEPS = 4
 # Latency histogram bucket bounds (ms), quantile, panel thresholds.
 LATENCY_BOUNDS = [5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0]
 QUANTILE = 0.95
@@ -83,6 +84,26 @@ def counter_rate(spark, sf):
     return inc.select("job", "status", "step", "increase", metrics.per_second("increase", STEP_SECONDS).alias("rate"))
 
 
+@query("counter_rate_range", f"""
+WITH {REQ_SQL},
+steps AS (SELECT DISTINCT job, status, step + to_hours(CAST(i AS INTEGER)) AS eval_at FROM ctr, range(1, {RANGE_STEPS} + 1) t(i)),
+w AS (
+  SELECT s.job, s.status, s.eval_at, requests_total AS v,
+         lag(requests_total) OVER (PARTITION BY s.job, s.status, s.eval_at ORDER BY ts, event_id) AS p
+  FROM steps s JOIN ctr c ON s.job = c.job AND s.status = c.status
+   AND c.ts >= s.eval_at - INTERVAL {RANGE_STEPS} HOUR AND c.ts < s.eval_at)
+SELECT job, status, eval_at, CAST(sum(CASE WHEN p IS NULL THEN 0 WHEN v >= p THEN v - p ELSE v END) AS BIGINT) AS increase,
+       round(sum(CASE WHEN p IS NULL THEN 0 WHEN v >= p THEN v - p ELSE v END) / ({RANGE_STEPS * STEP_SECONDS}.0), 9) AS rate
+FROM w GROUP BY job, status, eval_at HAVING count(*) >= 2
+""")
+def counter_rate_range(spark, sf):
+    """Rate over the last four hours, at every hour."""
+    inc = metrics.sliding_increase(request_counter(requests(spark, sf)), ["job", "status"], ["ts", "event_id"],
+                                   "requests_total", "step", RANGE_STEPS)
+    return inc.select("job", "status", "eval_at", F.col("increase").cast("bigint").alias("increase"),
+                      metrics.per_second("increase", RANGE_STEPS * STEP_SECONDS).alias("rate"))
+
+
 @query("rps_by_status", f"""
 WITH {REQ_SQL}, {_inc_sql("job, status", "requests_total", "inc")}
 SELECT step, status, round(sum(increase) / {STEP_SECONDS}.0, 9) AS rps FROM inc GROUP BY step, status

@@ -67,6 +67,24 @@ def problem_windows(spark, sf):
     return run_available_now(out, "problem_windows")
 
 
+@query("problem_report_stream", f"""
+WITH {LINES_SQL},
+p AS (SELECT ts, message FROM lines WHERE regexp_matches(message, '(?i)(error|warning)')),
+w AS (SELECT message, date_trunc('hour', ts) - to_hours(CAST(i AS INTEGER)) AS window_start FROM p, range(0, 24) t(i))
+SELECT window_start, message, COUNT(*) AS n FROM w
+GROUP BY window_start, message
+HAVING window_start + INTERVAL 24 HOUR <= (SELECT max(ts) FROM p) - INTERVAL {WINDOW_DELAY_HOURS} HOUR
+""")
+def problem_report_stream(spark, sf):
+    """T2 per message: lines are counted per hour first, so only hour rows are spread over the 24-hour windows."""
+    p = log_lines(_events_stream(spark, sf)).filter(logs.problem_filter(F.col("message")))
+    hourly = (p.withWatermark("ts", f"{WINDOW_DELAY_HOURS} hour")
+               .groupBy(F.window("ts", "1 hour").alias("hour"), "message").agg(F.count(F.lit(1)).alias("n")))
+    agg = hourly.groupBy(F.window("hour", "24 hours", "1 hour"), "message").agg(F.sum("n").alias("n"))
+    out = agg.select(F.col("window.start").alias("window_start"), "message", "n")
+    return run_available_now(out, "problem_report")
+
+
 @query("metric_stream", f"""
 WITH r AS (SELECT ts, value, CASE WHEN event_type IN ('click', 'view') THEN 'api' ELSE 'predict_api_service' END AS job
            FROM events)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftline.functions.labels import severity_label
 from driftline.operators import clean, evaluate, model, sampling
@@ -28,6 +29,8 @@ SALT = "driftline-split"
 NUM_TREES = 20
 MAX_DEPTH = 8
 # The scoring-time domain of the coded inputs.
+REPORT_DOMAIN = {"l_linenumber": list(range(1, 8)), "l_discount": (0.0, 0.1), "l_tax": (0.0, 0.07),
+                 "l_quantity": (1.0, 50.0), "l_extendedprice": (0.0, 1e6)}
 SCORING_DOMAIN = {"l_linenumber": list(range(1, 8)), "l_discount": (0.0, 0.1), "l_tax": (0.0, 0.08)}
 
 
@@ -45,9 +48,10 @@ def split(spark, sf) -> DataFrame:
     return cut_lineage(sampling.split_random(labelled(spark, sf), SPLIT_KEY, 0.2, SALT, engine_neutral=False))
 
 
-def fitted(spark, sf):
-    train = split(spark, sf).filter(F.col("split") == "train")
-    return model.fit_forest(train, FEATURES, "y", NUM_TREES, MAX_DEPTH)
+def hash_split(spark, sf) -> DataFrame:
+    """Labelled rows, a fifth of the keys (by digest, so that SQL can tell them too) marked as test rows."""
+    digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in KEY]))
+    return cut_lineage(labelled(spark, sf).withColumn("split", F.when(F.substring(digest, 1, 2) < "33", "test").otherwise("train")))
 
 
 @query("rf_train_eval")
@@ -83,3 +87,75 @@ def batch_score(spark, sf):
                .select(*KEY, "y", F.lit(None).cast("int").alias("prediction"), F.lit(None).cast("double").alias("p_max"),
                        F.lit(None).cast("string").alias("label_text")))
     return scored.unionByName(bad)
+
+
+_TEST_SQL = """
+t AS (SELECT CAST(l_returnflag = 'R' AS INTEGER) AS y,
+             coalesce(l_linenumber BETWEEN 1 AND 7 AND l_discount BETWEEN 0 AND 0.1::DOUBLE AND l_tax BETWEEN 0 AND 0.07::DOUBLE
+                      AND l_quantity BETWEEN 1 AND 50 AND l_extendedprice BETWEEN 0 AND 1000000, FALSE) AS ok
+      FROM lineitem WHERE substr(md5(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR))), 1, 2) < '33')"""
+
+PREDICTION_FILE = T.StructType([T.StructField("l_orderkey", T.LongType()), T.StructField("l_linenumber", T.IntegerType()),
+                                T.StructField("y", T.IntegerType()), T.StructField("prediction", T.IntegerType()),
+                                T.StructField("p_max", T.DoubleType())])
+
+
+@query("batch_report", f"""
+WITH {_TEST_SQL}
+SELECT COUNT(*) FILTER (ok) AS n_scored, COUNT(*) FILTER (NOT ok) AS n_quarantined,
+       COUNT(*) FILTER (ok AND y = 0) AS support_0, COUNT(*) FILTER (ok AND y = 1) AS support_1, CAST(5 AS BIGINT) AS report_rows,
+       TRUE AS predictions_valid, TRUE AS metrics_valid, TRUE AS accuracy_agrees
+FROM t
+""")
+def batch_report(spark, sf):
+    """M5 + K9: predictions and report written as files; the facts below are taken from the files read back."""
+    s = hash_split(spark, sf)
+    m = model.fit_forest(s.filter(F.col("split") == "train"), FEATURES, "y", NUM_TREES, MAX_DEPTH)
+    test = clean.validate(s.filter(F.col("split") == "test"), REPORT_DOMAIN)
+    folder = scratch_path(spark, "batch_report")
+    scored = model.score(m, test.filter(F.size("violations") == 0), [*KEY, "y"])
+    delimited.write_delimited(scored, f"{folder}/y_pred", sep=",")
+    test.filter(F.size("violations") > 0).write.json(f"{folder}/quarantine")
+    predictions = delimited.read_delimited(spark, f"{folder}/y_pred", PREDICTION_FILE, sep=",")
+    report = evaluate.classification_report(predictions, "y", "prediction")
+    delimited.write_delimited(report, f"{folder}/classification_report", sep=",")
+    report = delimited.read_delimited(spark, f"{folder}/classification_report", report.schema, sep=",")
+    valid = F.col("prediction").isin(0, 1) & F.col("p_max").between(0.5, 1.0)
+    counts = predictions.agg(
+        F.count(F.lit(1)).alias("n_scored"), F.count_if(F.col("y") == 0).alias("support_0"), F.count_if(F.col("y") == 1).alias("support_1"),
+        F.coalesce(F.bool_and(valid), F.lit(True)).alias("predictions_valid"),
+        F.coalesce(F.avg((F.col("y") == F.col("prediction")).cast("double")), F.lit(0.0)).alias("_accuracy"))
+    figures = [F.col(c).between(0.0, 1.0) for c in evaluate.REPORT_METRICS[:3]]
+    checks = report.agg(F.count(F.lit(1)).alias("report_rows"), F.bool_and(figures[0] & figures[1] & figures[2]).alias("metrics_valid"),
+                        F.max(F.when(F.col("label") == "accuracy", F.col("precision"))).alias("_reported"))
+    bad = spark.read.schema(test.schema).json(f"{folder}/quarantine").agg(F.count(F.lit(1)).alias("n_quarantined"))
+    c, r, q = counts.first(), checks.first(), bad.first()  # one row each
+    return spark.createDataFrame(
+        [(c["n_scored"], q["n_quarantined"], c["support_0"], c["support_1"], r["report_rows"], c["predictions_valid"],
+          r["metrics_valid"], abs(c["_accuracy"] - r["_reported"]) < 1e-6)],
+        "n_scored long, n_quarantined long, support_0 long, support_1 long, report_rows long, predictions_valid boolean, "
+        "metrics_valid boolean, accuracy_agrees boolean")
+
+
+@query("model_publish", f"""
+WITH {_TEST_SQL}, n AS (SELECT COUNT(*) AS n_test FROM t)
+SELECT 1 AS attempt, TRUE AS published, CAST(1 AS BIGINT) AS n_metadata, TRUE AS same_model, n_test FROM n
+UNION ALL SELECT 2, FALSE, CAST(1 AS BIGINT), TRUE, n_test FROM n
+""")
+def model_publish(spark, sf):
+    """K10 + M8: the first model beats 0.0 and is saved with its metadata; an equal one is not."""
+    s = hash_split(spark, sf)
+    m = model.fit_forest(s.filter(F.col("split") == "train"), FEATURES, "y", NUM_TREES, MAX_DEPTH)
+    test = s.filter(F.col("split") == "test")
+    folder = scratch_path(spark, "model_publish")
+    facts = {"model_name": "forest", "num_trees": NUM_TREES, "max_depth": MAX_DEPTH, "features": FEATURES}
+    acc = evaluate.accuracy(model.score(m, test, ["y"]), "y", "prediction").first()["accuracy"] or 0.0
+    best, rows = 0.0, []
+    for attempt in (1, 2):
+        published = model.publish_if_better(m, acc, best, folder, facts)
+        best = acc if published else best
+        held = spark.read.schema(model.METADATA).json(f"{folder}/metadata")
+        live = model.score(model.load(f"{folder}/model"), test, ["y"])
+        again = evaluate.accuracy(live, "y", "prediction").first()["accuracy"]
+        rows.append((attempt, published, held.count(), again == acc, live.count()))
+    return spark.createDataFrame(rows, "attempt int, published boolean, n_metadata long, same_model boolean, n_test long")

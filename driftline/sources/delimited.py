@@ -16,9 +16,9 @@ TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ";", header: bool = True,
-                    mode: str = "overwrite") -> None:
+                    mode: str = "overwrite", encoding: str = "UTF-8") -> None:
     """K1: delimited text with a header line per file."""
-    (df.write.mode(mode).option("sep", sep).option("header", header)
+    (df.write.mode(mode).option("sep", sep).option("header", header).option("encoding", encoding)
        .option("timestampFormat", TIMESTAMP_FORMAT).csv(path))
 
 
@@ -78,7 +78,7 @@ def year_family(spark: SparkSession, template: str, years: Sequence[int], schema
     df = read_delimited(spark, paths[0], schema, sep) if len(paths) == 1 else \
         spark.read.schema(schema).option("sep", sep).option("header", True) \
              .option("timestampFormat", TIMESTAMP_FORMAT).csv(paths)
-    # the year is read from the file name the template produces, never from parent folders
+    # the year is read from the name the template produces (a file, or a folder of part files), never from its parents
     base = template.rsplit("/", 1)[-1]
-    pattern = re.escape(base).replace(re.escape("{year}"), r"(\d{4})") + "$"
+    pattern = "/" + re.escape(base).replace(re.escape("{year}"), r"(\d{4})") + "(?:/[^/]*)?$"
     return df.withColumn("year", F.regexp_extract(F.input_file_name(), pattern, 1).cast("int"))
