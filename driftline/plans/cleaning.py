@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from driftline.functions import coerce, labels
 from driftline.operators import clean, merge
 from driftline.plans.registry import query
+from driftline.schemas import SCORING_DEFAULT, SCORING_DOMAIN
 from driftline.session import cut_lineage
 from driftline.sources.tables import Tables
 
@@ -212,3 +213,27 @@ def merge_overlap(spark, sf):
     left = t.orders.select(F.col("o_orderkey").alias("k"), "o_custkey", "o_orderstatus")
     right = t.lineitem.select(F.col("l_orderkey").alias("k"), F.lit("other").alias("o_orderstatus"), "l_linenumber", "l_quantity")
     return merge.merge_outer([left, right], "k")
+
+
+# The scoring record's fields, drawn from the row's key; the last one is absent and gets the default.
+_RECORD = {f: i + 1 for i, f in enumerate(SCORING_DOMAIN)}
+_ABSENT = list(SCORING_DOMAIN)[-1]
+
+
+def _record_sql() -> str:
+    codes = ", ".join(f"CASE WHEN {SCORING_DEFAULT if f == _ABSENT else f'(l_orderkey * {i} + l_linenumber) % 12 - 1'} "
+                      f"NOT IN ({', '.join(map(str, SCORING_DOMAIN[f]))}) THEN '{f}' END" for f, i in _RECORD.items())
+    return f"""
+SELECT l_orderkey, l_linenumber, array_to_string(list_filter([{codes}], lambda x: x IS NOT NULL), ',') AS violations,
+       CAST({SCORING_DEFAULT} AS BIGINT) AS filled FROM lineitem"""
+
+
+@query("scoring_record", _record_sql())
+def scoring_record(spark, sf):
+    """P13 + P14: the whole scoring record checked against its closed lists; an absent field gets the default."""
+    key = F.col("l_orderkey")
+    rows = Tables(spark, sf).lineitem.select("l_orderkey", "l_linenumber", *[
+        ((key * i + F.col("l_linenumber")) % 12 - 1).alias(f) for f, i in _RECORD.items() if f != _ABSENT])
+    whole = clean.fill_absent(rows, ["l_orderkey", "l_linenumber", *_RECORD], default=SCORING_DEFAULT)
+    return clean.validate(whole, SCORING_DOMAIN).select(
+        "l_orderkey", "l_linenumber", F.array_join("violations", ",").alias("violations"), F.col(_ABSENT).cast("bigint").alias("filled"))

@@ -13,6 +13,7 @@ from driftline.functions import labels
 from driftline.operators import drift
 from driftline.plans.registry import query
 from driftline.session import scratch_path
+from driftline.sources import catalog
 from driftline.sources.tables import Tables
 
 FEATURES = ["l_discount", "l_extendedprice", "l_linenumber", "l_quantity", "l_tax"]
@@ -142,17 +143,9 @@ def drift_histogram(spark, sf):
 SELECT l_discount, l_extendedprice, l_linenumber, l_quantity, l_tax FROM lineitem WHERE l_quantity > 20
 """)
 def drift_reset(spark, sf):
-    """K6 + K7: snapshot the current sample, then promote the snapshot to the
-    reference (each a new version folder), and read the reference back."""
-    _ref, cur = samples(spark, sf)
-    snapshot = scratch_path(spark, "drift_current")
-    cur.select(*FEATURES).write.mode("overwrite").parquet(snapshot)
-    target = scratch_path(spark, "drift_reference")
-    drift_promote(spark.read.parquet(snapshot), target)
-    return spark.read.parquet(target)
-
-
-def drift_promote(current, target: str) -> str:
-    """Write ``current`` as the new reference version at ``target`` (atomic per job commit)."""
-    current.write.mode("overwrite").parquet(target)
-    return target
+    """K6 + K7: the reference table points at the old sample; the current one is written as a new
+    version, the table is pointed at it and read back."""
+    ref, cur = samples(spark, sf)
+    name = catalog.table_name(spark, "drift_reference")
+    catalog.promote(ref.select(*FEATURES), name, scratch_path(spark, "drift_reference"))
+    return catalog.promote(cur.select(*FEATURES), name, scratch_path(spark, "drift_reference"))

@@ -32,6 +32,13 @@ def _events_stream(spark, sf) -> DataFrame:
     return file_stream(spark, sf, TABLES["events"], glob="events.parquet")
 
 
+def _hourly_problems(spark, sf, *keys: str) -> DataFrame:
+    """Problem lines per hour and ``keys``, emitted when the hour closes."""
+    p = log_lines(_events_stream(spark, sf)).filter(logs.problem_filter(F.col("message")))
+    return (p.withWatermark("ts", f"{WINDOW_DELAY_HOURS} hour")
+             .groupBy(F.window("ts", "1 hour").alias("hour"), *keys).agg(F.count(F.lit(1)).alias("n")))
+
+
 @query("log_stream", f"""
 WITH {LINES_SQL}
 SELECT event_id, ts, {LEVEL_SQL.format(m='message')} AS level, container_name, service_name, message
@@ -59,10 +66,8 @@ HAVING window_start + INTERVAL 24 HOUR <= (SELECT max(ts) FROM p) - INTERVAL {WI
 """)
 def problem_windows(spark, sf):
     """Problem lines per sliding 24-hour window, one-hour slide."""
-    p = log_lines(_events_stream(spark, sf)).filter(logs.problem_filter(F.col("message")))
-    agg = (p.withWatermark("ts", f"{WINDOW_DELAY_HOURS} hour")
-            .groupBy(F.window("ts", "24 hours", "1 hour"))
-            .agg(F.count(F.lit(1)).alias("n")))
+    # counted per hour first: only hour rows are spread over the 24 windows they lie in
+    agg = _hourly_problems(spark, sf).groupBy(F.window("hour", "24 hours", "1 hour")).agg(F.sum("n").alias("n"))
     out = agg.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "n")
     return run_available_now(out, "problem_windows")
 
@@ -77,10 +82,7 @@ HAVING window_start + INTERVAL 24 HOUR <= (SELECT max(ts) FROM p) - INTERVAL {WI
 """)
 def problem_report_stream(spark, sf):
     """T2 per message: lines are counted per hour first, so only hour rows are spread over the 24-hour windows."""
-    p = log_lines(_events_stream(spark, sf)).filter(logs.problem_filter(F.col("message")))
-    hourly = (p.withWatermark("ts", f"{WINDOW_DELAY_HOURS} hour")
-               .groupBy(F.window("ts", "1 hour").alias("hour"), "message").agg(F.count(F.lit(1)).alias("n")))
-    agg = hourly.groupBy(F.window("hour", "24 hours", "1 hour"), "message").agg(F.sum("n").alias("n"))
+    agg = _hourly_problems(spark, sf, "message").groupBy(F.window("hour", "24 hours", "1 hour"), "message").agg(F.sum("n").alias("n"))
     out = agg.select(F.col("window.start").alias("window_start"), "message", "n")
     return run_available_now(out, "problem_report")
 
@@ -111,12 +113,10 @@ FROM acted
 def incident_stream(spark, sf):
     """T3 + K5: incidents -> restart limiter with keyed state -> JSON-lines events."""
     landing = scratch_path(spark, "incidents")
-    (classified(spark, sf).filter(F.col("incident").isNotNull())
-        .select("event_id", "ts", "container", "status", "incident")
-        .write.mode("overwrite").parquet(landing))
-    schema = spark.read.parquet(landing).schema
+    found = classified(spark, sf).filter(F.col("incident").isNotNull()).select("event_id", "ts", "container", "status", "incident")
+    found.write.mode("overwrite").parquet(landing)
     use_rocksdb_state(spark)
-    acted = (file_stream(spark, landing, schema).groupBy("container")
+    acted = (file_stream(spark, landing, found.schema).groupBy("container")
              .transformWithState(processors.RestartLimiter(), processors.LIMITER_OUT, "Append", "None"))
     records = acted.select("event_id", iso_utc("ts").alias("timestamp"), "container", "action", "status", "message")
     back = run_available_now(records, "incident_stream", fmt="json")

@@ -98,43 +98,6 @@ TABLES: dict[str, T.StructType] = {
     ]),
 }
 
-# Agent event log (JSON lines): five strings.
-AGENT_EVENT = T.StructType([
-    T.StructField("timestamp", T.StringType()),
-    T.StructField("container", T.StringType()),
-    T.StructField("action", T.StringType()),
-    T.StructField("status", T.StringType()),
-    T.StructField("message", T.StringType()),
-])
-
-# Nested log-store response: data.result[]{stream: labels, values: [[ts_ns, msg]]}
-LOG_RESPONSE = T.StructType([
-    T.StructField("status", T.StringType()),
-    T.StructField("data", T.StructType([
-        T.StructField("resultType", T.StringType()),
-        T.StructField("result", T.ArrayType(T.StructType([
-            T.StructField("stream", T.MapType(T.StringType(), T.StringType())),
-            T.StructField("values", T.ArrayType(T.ArrayType(T.StringType()))),
-        ]))),
-    ])),
-])
-
-# Container runtime sample (stats payload + state).
-CONTAINER_SAMPLE = T.StructType([
-    T.StructField("cpu_total", T.LongType()),
-    T.StructField("precpu_total", T.LongType()),
-    T.StructField("system_cpu", T.LongType()),
-    T.StructField("presystem_cpu", T.LongType()),
-    T.StructField("online_cpus", T.IntegerType()),
-    T.StructField("mem_usage", T.LongType()),
-    T.StructField("mem_limit", T.LongType()),
-])
-
-# The 13 scoring features and the target of the accident schema.
-FEATURES = ["catu", "sexe", "trajet", "catr", "circ", "vosp", "prof",
-            "plan", "surf", "situ", "lum", "atm", "col"]
-TARGET = "grav"
-
 # Allowed codes of the scoring record (closed lists / ranges).
 SCORING_DOMAIN: dict[str, list[int]] = {
     "grav": [1, 2, 3, 4],

@@ -1,4 +1,4 @@
-"""Tables of the session catalog: replace loads, retention purge, estimated counts (K2, K3, K8, A2).
+"""Tables of the session catalog: replace loads, retention purge, estimated counts (K2, K3, K6-K8, A2).
 
 Managed tables live in a database whose location lies below the shared
 checkpoint folder, so every machine sees their files.
@@ -39,6 +39,20 @@ def drop_and_replace(df: DataFrame, name: str) -> DataFrame:
     return replace_table(df, name)
 
 
+def promote(df: DataFrame, name: str, version: str) -> DataFrame:
+    """K6 + K7: write ``df`` as a new version folder, then point table ``name`` at it.
+
+    The version is complete before the pointer moves, so readers see the old one or the new one whole.
+    """
+    spark = df.sparkSession
+    df.write.parquet(version)
+    if not spark.catalog.tableExists(name):
+        return spark.catalog.createTable(name, path=version, source="parquet", schema=df.schema)
+    spark.sql(f"ALTER TABLE {name} SET LOCATION '{version}'")
+    spark.catalog.refreshTable(name)
+    return spark.table(name)
+
+
 def analyze(spark: SparkSession, name: str) -> None:
     """Let the catalog keep the table's row count."""
     spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS")
