@@ -197,7 +197,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learnable(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, limit: int = MAX_LABELLED) -> DataFrame:
-    """(text, toxic) of at most ``limit`` labelled documents outside the held-out fold.
+    """(text, toxic, l_id) of at most ``limit`` labelled ids outside the held-out fold.
 
     The labels are cut to the limit before the join, so the broadcast side has at most that many rows of
     a key and a flag.
@@ -206,7 +206,7 @@ def learnable(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, limit:
              .agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(~held_out(F.col("l_id")))
              .orderBy(F.xxhash64("l_id"), "l_id").limit(limit))
     return docs.select(named(doc_id).alias("d_id"), named(text).alias("text")).join(
-        F.broadcast(flags), F.col("d_id") == F.col("l_id")).select("text", "toxic")
+        F.broadcast(flags), F.col("d_id") == F.col("l_id")).select("text", "toxic", "l_id")
 
 
 def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,11 +251,18 @@ def _figures_of(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = np.array([model.figures(t.as_py()) for t in b.column(0)]).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, i]) for i in range(3)), b.column(1)],
-                                             names=["a", "b", "c", "toxic"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, i]) for i in range(3)), b.column(1), b.column(2)],
+                                             names=["a", "b", "c", "toxic", "l_id"])
     return run
 
 
+def figures_by_id(examples: DataFrame, model: Model) -> DataFrame:
+    """(a, b, c, toxic), a row for each labelled id: the greatest figures of the rows that share it."""
+    id_type = examples.schema["l_id"].dataType.simpleString()
+    found = examples.mapInArrow(_figures_of(model), f"a double, b double, c double, toxic int, l_id {id_type}")
+    return found.groupBy("l_id").agg(F.max(F.struct("a", "b", "c", "toxic")).alias("r")).select("r.*")
+
+
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> list[float]:
     """Ridge logistic regression by Newton's method; the intercept is not penalised."""
     a = np.column_stack([np.ones(len(x)), x])
@@ -271,14 +278,17 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30
 
 def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
           limit: int = MAX_LABELLED) -> Model:
-    """Stems and curve from at most ``limit`` labelled documents; three numbers of each come to the driver."""
+    """Stems and curve from at most ``limit`` labelled ids; three numbers of each id come to the driver.
+
+    However many rows share an id, the curve is fitted to one of them.
+    """
     bounded_batches(docs.sparkSession)
     examples = learnable(docs, labels, doc_id, text, limit)
     stems, clean, toxic = learn_stems(examples)
     if not clean or not toxic:
         return Model({}, constant=toxic / (clean + toxic) if clean + toxic else 0.0)
     model = Model(stems, constant=None)
-    rows = examples.mapInArrow(_figures_of(model), "a double, b double, c double, toxic int").toPandas()
+    rows = figures_by_id(examples, model).toPandas()
     rows = rows.sort_values(["a", "b", "c", "toxic"])  # sums do not depend on the order of arrival
     x, y = rows[["a", "b", "c"]].to_numpy(), rows["toxic"].to_numpy(float)
     model.shift = x.mean(axis=0).tolist()

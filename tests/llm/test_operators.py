@@ -457,6 +457,15 @@ def test_toxicity_learns_and_holds_out(spark):
     assert toxicity.filter_toxic(d, lab).count() == 1000
 
 
+def test_toxicity_collects_one_row_of_each_labelled_id(spark):
+    d = spark.createDataFrame([(1 + i % 3, f"You idiot number {i}.") for i in range(600)] + [(4, None)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, 1, int(i < 3)) for i in range(1, 5)], "doc_id long, quality int, toxic int")
+    examples = toxicity.learnable(d, lab, "doc_id", "text")
+    model = toxicity.Model({"idio": 3.0}, constant=None)
+    assert toxicity.figures_by_id(examples, model).count() == examples.select("l_id").distinct().count() <= 4
+    assert toxicity.predictions(d, lab).count() == 601
+
+
 def test_toxicity_odd_tables(spark, odd, none, clashing):
     lab = spark.read.parquet(f"{SF}/labels.parquet")
     rows = toxicity.predictions(odd, lab).collect()
