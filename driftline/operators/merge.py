@@ -124,6 +124,61 @@ def merge_outer(frames: Sequence[DataFrame], key: str, hot_rows: int = HOT_KEY_R
     return out
 
 
+def _rows_per_key(frames: Sequence[DataFrame], key: str) -> DataFrame:
+    """(key, n): how many rows of each non-null key the outer merge of ``frames`` has; one shuffle of counts."""
+    tagged = [f.filter(F.col(key).isNotNull()).groupBy(key).agg(
+        *[(F.count(F.lit(1)) if i == j else F.lit(0)).cast("double").alias(f"_n{j}") for j in range(len(frames))])
+        for i, f in enumerate(frames)]
+    every = tagged[0]
+    for t in tagged[1:]:
+        every = every.unionByName(t)
+    sums = every.groupBy(key).agg(*[F.sum(f"_n{j}").alias(f"_n{j}") for j in range(len(frames))])
+    n = F.lit(1.0)
+    for j in range(len(frames)):
+        n = n * F.greatest(F.col(f"_n{j}"), F.lit(1.0))
+    return sums.select(key, n.alias("_n"))
+
+
+def cut_key(frames: Sequence[DataFrame], key: str, limit: int, slack: float = 4.0):
+    """A key up to which the outer merge has at least ``limit`` rows, or None where it has no more than that in all.
+
+    Reads the per-key row counts only.  Each round looks at halving shares of the keys that are left and
+    takes the least that still holds ``limit`` rows; it ends when that is within ``slack`` times the limit,
+    or when a round gains nothing (a hot key, or the accuracy of the quantiles).
+    """
+    left = cut_lineage(_rows_per_key(frames, key))
+    held, cut = left.agg(F.sum("_n").alias("n")).first()["n"] or 0.0, None
+    if held <= limit:
+        return None
+    while held > slack * limit:
+        shares = [2.0 ** -j for j in range(13, 0, -1)]
+        cuts = left.agg(F.percentile_approx(key, shares, 10_000).alias("c")).first()["c"]
+        sums = left.agg(*[F.sum(F.when(F.col(key) <= F.lit(c), F.col("_n"))).alias(f"s{i}") for i, c in enumerate(cuts)]).first()
+        enough = [i for i in range(len(cuts)) if (sums[f"s{i}"] or 0.0) >= limit]
+        if not enough or sums[f"s{enough[0]}"] >= held:
+            break
+        cut, held = cuts[enough[0]], sums[f"s{enough[0]}"]
+        left = left.filter(F.col(key) <= F.lit(cut))
+    return cut
+
+
+def merge_cap(frames: Sequence[DataFrame], key: str, order: Sequence[str], limit: int,
+              hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    """J1 + L1: the first ``limit`` rows of the outer merge in a total order that begins with the key (nulls last).
+
+    The cut is made before the merge: per-key counts tell up to which key the answer reaches, and every
+    input is filtered to it, so the merge itself has about ``limit`` rows.  Keys without a numeric or time
+    order, and merges of at most ``limit`` rows, are merged whole.
+    """
+    if order[0] != key:
+        raise ValueError(f"the order must begin with {key}")
+    if isinstance(frames[0].schema[key].dataType, (T.NumericType, T.DateType, T.TimestampType)):
+        cut = cut_key(frames, key, limit)
+        if cut is not None:
+            frames = [f.filter(F.col(key) <= F.lit(cut)) for f in frames]
+    return merge_outer(frames, key, hot_rows).orderBy(*[F.col(c).asc_nulls_last() for c in order]).limit(limit)
+
+
 def cap_rows(df: DataFrame, order: Sequence[str], limit: int, slack: float = 1.1) -> DataFrame:
     """L1: keep the first ``limit`` rows in a total key order (nulls last).
 

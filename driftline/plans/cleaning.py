@@ -8,7 +8,6 @@ from driftline.functions import coerce, labels
 from driftline.operators import clean, merge
 from driftline.plans.registry import query
 from driftline.schemas import SCORING_DEFAULT, SCORING_DOMAIN
-from driftline.session import cut_lineage
 from driftline.sources.tables import Tables
 
 # The column list the loader wants (two are absent in lineitem).
@@ -143,23 +142,30 @@ def encode_lookup(spark, sf):
     return out.withColumn("segment_code", F.col("segment_code").cast("int"))
 
 
+#: Rows that ``merge_cap`` keeps; below the merge's size on the smallest tables but one.
+CAP_ROWS = 20_000
+
+
 def _merge_inputs(spark, sf):
+    """Three tables on one key; orders of other states or priorities get keys of their own, which match nothing."""
     t = Tables(spark, sf)
-    caract = (t.orders.filter(F.col("o_orderstatus").isin("F", "O"))
-                .select(F.col("o_orderkey").alias("k"), "o_orderstatus", "o_totalprice"))
+    key = F.col("o_orderkey")
+    caract = t.orders.select(F.when(F.col("o_orderstatus").isin("F", "O"), key).otherwise(-2 * key).alias("k"),
+                             "o_orderstatus", "o_totalprice")
     usagers = t.lineitem.select(F.col("l_orderkey").alias("k"), "l_linenumber", "l_quantity")
-    lieux = (t.orders.filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
-               .select(F.col("o_orderkey").alias("k"), "o_orderpriority"))
+    lieux = t.orders.select(F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), key).otherwise(-2 * key - 1).alias("k"),
+                            "o_orderpriority")
     return caract, usagers, lieux
 
 
 _MERGE_SQL = """
 SELECT COALESCE(a.k, b.k, c.k) AS k, a.o_orderstatus, a.o_totalprice, b.l_linenumber, b.l_quantity,
        c.o_orderpriority
-FROM (SELECT o_orderkey AS k, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus IN ('F','O')) a
+FROM (SELECT CASE WHEN o_orderstatus IN ('F','O') THEN o_orderkey ELSE -2 * o_orderkey END AS k, o_orderstatus, o_totalprice
+      FROM orders) a
 FULL OUTER JOIN (SELECT l_orderkey AS k, l_linenumber, l_quantity FROM lineitem) b ON a.k = b.k
-FULL OUTER JOIN (SELECT o_orderkey AS k, o_orderpriority FROM orders
-                 WHERE o_orderpriority IN ('1-URGENT','2-HIGH')) c ON COALESCE(a.k, b.k) = c.k
+FULL OUTER JOIN (SELECT CASE WHEN o_orderpriority IN ('1-URGENT','2-HIGH') THEN o_orderkey ELSE -2 * o_orderkey - 1 END AS k,
+                        o_orderpriority FROM orders) c ON COALESCE(a.k, b.k) = c.k
 """
 
 
@@ -172,13 +178,11 @@ def merge_outer(spark, sf):
 SELECT * FROM ({_MERGE_SQL}) m
 ORDER BY k, o_orderstatus NULLS LAST, o_totalprice NULLS LAST, l_linenumber NULLS LAST,
          l_quantity NULLS LAST, o_orderpriority NULLS LAST
-LIMIT 100000
+LIMIT {CAP_ROWS}
 """)
 def merge_cap(spark, sf):
-    # the cap reads the merged table four times (size, cut point, check, top-k): write it once
-    merged = cut_lineage(merge.merge_outer(list(_merge_inputs(spark, sf)), "k"))
-    return merge.cap_rows(merged, ["k", "o_orderstatus", "o_totalprice", "l_linenumber",
-                                   "l_quantity", "o_orderpriority"], 100_000)
+    return merge.merge_cap(list(_merge_inputs(spark, sf)), "k", ["k", "o_orderstatus", "o_totalprice", "l_linenumber",
+                                                                 "l_quantity", "o_orderpriority"], CAP_ROWS)
 
 
 @query("header_clean", """

@@ -365,6 +365,22 @@ def test_salted_full_outer_join_equals_plain_join(spark):
     assert sorted(repr(tuple(r)) for r in salted.select("k", "a", "b").collect()) == plain
 
 
+def test_merge_cap_cuts_the_inputs_exactly(spark):
+    from driftline.operators import merge
+    a = spark.range(20_000).selectExpr("id % 5000 as k", "id as x").unionAll(spark.createDataFrame([(None, -1)], "k long, x long"))
+    b = spark.range(9_000).selectExpr("id - 3000 as k", "id as y")
+    order = ["k", "x", "y"]
+    whole = [tuple(r) for r in merge.merge_outer([a, b], "k").select(*order).collect()]
+    last = lambda row: tuple((v is None, v or 0) for v in row)
+    whole.sort(key=last)
+    for limit in (1, 10, 2_999, 3_002, 12_000, len(whole) - 1, len(whole) + 5):
+        got = sorted((tuple(r) for r in merge.merge_cap([a, b], "k", order, limit).select(*order).collect()), key=last)
+        assert got == whole[:limit]
+    assert merge.cut_key([a, b], "k", 100) < -2000
+    hot = spark.range(50_000).selectExpr("7 as k", "id as x")
+    assert merge.merge_cap([hot, b.filter("k = 7")], "k", order, 30).count() == 30
+
+
 def test_merge_outer_hot_path_equals_plain_chain(spark):
     from driftline.operators.merge import merge_outer
     a = spark.createDataFrame([(1, f"a{i}") for i in range(6)] + [(2, "a6"), (None, "an")], "k int, a string")
