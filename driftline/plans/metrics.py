@@ -152,22 +152,29 @@ def _bucket_values() -> str:
     return ", ".join(f"({i + 1}, {b})" for i, b in enumerate(LATENCY_BOUNDS))
 
 
-@query("p95_latency", f"""
-WITH {REQ_SQL},
+def quantile_sql() -> str:
+    """Common table expressions up to ``quantiles`` (job, step, total, p95_ms)."""
+    return f"""{REQ_SQL},
 b AS (SELECT * FROM (VALUES {_bucket_values()}) t(i, ub)),
 g AS (SELECT job, step, COUNT(*) AS total, {QUANTILE} * COUNT(*) AS rnk FROM req GROUP BY ALL),
 cb AS (SELECT job, step, i, ub, sum(CASE WHEN latency_ms <= ub THEN 1 ELSE 0 END) AS cum
        FROM req, b GROUP BY ALL),
-hit AS (SELECT g.job, g.step, g.rnk, min(cb.i) AS bi FROM g LEFT JOIN cb
+hit AS (SELECT g.job, g.step, g.total, g.rnk, min(cb.i) AS bi FROM g LEFT JOIN cb
           ON cb.job = g.job AND cb.step = g.step AND cb.cum >= g.rnk GROUP BY ALL),
 x AS (SELECT hit.*, cur.ub AS end_ub, cur.cum AS cur_cum,
              COALESCE(prv.ub, 0) AS start_ub, COALESCE(prv.cum, 0) AS prev_cum
       FROM hit LEFT JOIN cb cur ON cur.job = hit.job AND cur.step = hit.step AND cur.i = hit.bi
-               LEFT JOIN cb prv ON prv.job = hit.job AND prv.step = hit.step AND prv.i = hit.bi - 1)
-SELECT job, step,
-       round(CASE WHEN bi IS NULL THEN {LATENCY_BOUNDS[-1]}
-                  ELSE start_ub + (end_ub - start_ub) * (rnk - prev_cum) / (cur_cum - prev_cum) END, 6) AS p95_ms
-FROM x
+               LEFT JOIN cb prv ON prv.job = hit.job AND prv.step = hit.step AND prv.i = hit.bi - 1),
+quantiles AS (
+  SELECT job, step, total,
+         round(CASE WHEN bi IS NULL THEN {LATENCY_BOUNDS[-1]}
+                    ELSE start_ub + (end_ub - start_ub) * (rnk - prev_cum) / (cur_cum - prev_cum) END, 6) AS p95_ms
+  FROM x)"""
+
+
+@query("p95_latency", f"""
+WITH {quantile_sql()}
+SELECT job, step, p95_ms FROM quantiles
 """)
 def p95_latency(spark, sf):
     req = requests(spark, sf)

@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.labels import iso_utc
-from driftline.operators import logs
-from driftline.plans.incidents import LIMITER_CTE, SAMPLES_SQL, classified
+from driftline.operators import incidents as inc
+from driftline.operators import logs, metrics
+from driftline.plans.incidents import LIMITER_CTE, SAMPLES_SQL, classified, samples
 from driftline.plans.logs import LEVEL_SQL, LINES_SQL, log_lines
+from driftline.plans.metrics import LATENCY_BOUNDS, QUANTILE, quantile_sql
 from driftline.plans.registry import query
 from driftline.schemas import TABLES
 from driftline.session import scratch_path
@@ -141,3 +143,73 @@ def drift_trigger(spark, sf):
     out = ev.groupBy("user_id").transformWithState(processors.DriftTrigger(), processors.TRIGGER_OUT,
                                                    "Append", "None")
     return run_available_now(out, "drift_trigger")
+
+
+MONITOR_DELAY_MINUTES = 10
+
+
+def monitored(stream: DataFrame) -> DataFrame:
+    """T3 as one stream: raw container samples -> percentages -> incidents -> restart limiter in event time.
+
+    A sample carries the previous reading of its counters beside the present one, so detection needs no
+    state; only incidents reach the limiter.  Samples without a time are no incidents; as that test names the
+    time, the filter stays above the watermark, which every sample moves on.
+    """
+    cpu = inc.cpu_pct(F.col("cpu_total"), F.col("precpu_total"), F.col("system_total"), F.col("presystem_total"), F.col("online_cpus"))
+    mem = inc.mem_pct(F.col("mem_usage"), F.col("mem_limit"))
+    incident = inc.classify(F.col("always_on"), F.col("status"), F.col("exit_code"), F.col("health"), cpu, mem)
+    found = (stream.withWatermark("ts", f"{MONITOR_DELAY_MINUTES} minutes")
+             .withColumn("text", F.when(F.col("ts").isNotNull(), incident)).filter(F.col("text").isNotNull()))
+    return (found.select("ts", "container", "event_id", "text", "status", F.unix_micros("ts").alias("us"), F.lit(None).cast("double").alias("number"))
+            .groupBy("container").transformWithState(processors.OrderedRestartLimiter(), processors.LIMITER_US_OUT, "Append", "EventTime"))
+
+
+@query("monitor_stream", f"""
+WITH RECURSIVE {SAMPLES_SQL}, {LIMITER_CTE}
+SELECT event_id, ts, container, status, action, message FROM acted
+WHERE epoch_us(ts) <= (SELECT epoch_ms(max(ts)) FROM events) * 1000 - {MONITOR_DELAY_MINUTES} * 60000000
+""")
+def monitor_stream(spark, sf):
+    """T3 + W6 + W7 + F16 + W9: incidents up to the watermark, detected and limited in the stream."""
+    landing = scratch_path(spark, "samples")
+    raw = samples(spark, sf).select("event_id", "ts", "container", "always_on", "status", "exit_code", "health", "cpu_total", "precpu_total",
+                                    "system_total", "presystem_total", "online_cpus", "mem_usage", "mem_limit")
+    raw.write.parquet(landing)
+    use_rocksdb_state(spark)
+    out = monitored(file_stream(spark, landing, raw.schema))
+    return run_available_now(out, "monitor_stream").select("event_id", F.timestamp_micros("us").alias("ts"), "container", "status", "action", "message")
+
+
+@query("drift_trigger_ordered", f"""
+WITH s AS (SELECT user_id, event_id, ts, event_type = 'signup' AS finished, value / {TRIGGER_SCORE_SCALE} AS score,
+                  sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END)
+                    OVER (PARTITION BY user_id ORDER BY ts, event_id) AS segment
+           FROM events)
+SELECT user_id, arg_min(event_id, ts) AS event_id, min(ts) AS ts FROM s
+WHERE NOT finished AND score > 0.5 GROUP BY user_id, segment
+HAVING epoch_us(min(ts)) <= (SELECT epoch_ms(max(ts)) FROM events) * 1000 - {MONITOR_DELAY_MINUTES} * 60000000
+""")
+def drift_trigger_ordered(spark, sf):
+    """T4 in event time: triggers up to the watermark, whatever order the files come in within the delay."""
+    ev = _events_stream(spark, sf).withWatermark("ts", f"{MONITOR_DELAY_MINUTES} minutes").select(
+        "ts", "user_id", "event_id", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("status"),
+        F.unix_micros("ts").alias("us"), F.when(F.col("event_type") != "signup", F.col("value") / TRIGGER_SCORE_SCALE).alias("number"))
+    use_rocksdb_state(spark)
+    out = ev.groupBy("user_id").transformWithState(processors.OrderedDriftTrigger(), processors.TRIGGER_US_OUT, "Append", "EventTime")
+    return run_available_now(out, "drift_trigger_ordered").select("user_id", "event_id", F.timestamp_micros("us").alias("ts"))
+
+
+@query("quantile_stream", f"""
+WITH {quantile_sql()}
+SELECT job, step AS window_start, p95_ms, total AS n, round(total / 3600.0, 9) AS rate FROM quantiles
+WHERE step + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL {WINDOW_DELAY_HOURS} HOUR
+""")
+def quantile_stream(spark, sf):
+    """T5 + W2: requests a second and the 95th percentile of latency from histogram buckets, per job and closed hour."""
+    ev = _events_stream(spark, sf)
+    job = F.when(F.col("event_type").isin("click", "view"), "api").otherwise("predict_api_service")
+    agg = (ev.withColumn("job", job).withWatermark("ts", f"{WINDOW_DELAY_HOURS} hour").groupBy(F.window("ts", "1 hour"), "job")
+             .agg(metrics.cumulative_buckets("value", LATENCY_BOUNDS).alias("cum"), F.count(F.lit(1)).alias("n")))
+    out = agg.select("job", F.col("window.start").alias("window_start"), "n", metrics.per_second("n", 3600).alias("rate"),
+                     F.round(metrics.histogram_quantile(QUANTILE, LATENCY_BOUNDS, "cum"), 6).alias("p95_ms"))
+    return run_available_now(out, "quantile_stream")

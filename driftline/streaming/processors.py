@@ -1,10 +1,14 @@
 """Stateful stream processors (``transformWithState``, row form).
 
 State per key is O(1): the limiter keeps at most ``max_restarts`` granted
-times, the drift trigger one flag.  Rows of a key within one micro-batch
-are ordered by time before they are folded; across micro-batches the
-source is expected to deliver each key in time order (as a per-key
-partitioned log does).
+times, the drift trigger one flag.  ``RestartLimiter`` and ``DriftTrigger``
+order the rows of a key within one micro-batch; across micro-batches their
+source has to deliver each key in time order (as a per-key partitioned log
+does).  ``OrderedRestartLimiter`` and ``OrderedDriftTrigger`` take rows in any
+order within the watermark's delay: rows wait in the state until the watermark
+has passed them and are folded in event time.  They hold the rows of one key
+within the delay (and of one micro-batch, which the source's ``max_files``
+bounds).
 """
 
 from __future__ import annotations
@@ -36,6 +40,111 @@ TRIGGER_OUT = T.StructType([
 ])
 
 
+WAITING = T.StructType([
+    T.StructField("us", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("text", T.StringType()),
+    T.StructField("status", T.StringType()), T.StructField("number", T.DoubleType()),
+])
+
+LIMITER_US_OUT = T.StructType([T.StructField("us", T.LongType()), *[f for f in LIMITER_OUT.fields if f.name != "ts"]])
+TRIGGER_US_OUT = T.StructType([T.StructField("us", T.LongType()), *[f for f in TRIGGER_OUT.fields if f.name != "ts"]])
+
+
+class EventTimeFold(StatefulProcessor):
+    """Folds a key's rows in event time, whatever order they come in within the watermark's delay.
+
+    Input rows carry ``us`` (their time in microseconds, so no time zone is involved) and the fields of
+    ``WAITING``.  A timer is set for the earliest row that waits; when the watermark passes it, all rows up to
+    the watermark are folded, ordered by (time, event id).  Rows after the watermark wait on.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", WAITING)
+        self.open(handle)
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
+
+    def fold(self, key, rows):
+        raise NotImplementedError
+
+    def _wake(self, us: int) -> None:
+        self.handle.registerTimer(-(-us // 1000))
+
+    def handleInputRows(self, key, rows, timerValues):
+        first, held = None, []
+        for r in rows:
+            first = r["us"] if first is None else min(first, r["us"])
+            held.append((r["us"], r["event_id"], r["text"], r["status"], r["number"]))
+            if len(held) == 1000:
+                self.waiting.appendList(held)
+                held = []
+        if held:
+            self.waiting.appendList(held)
+        if first is not None:
+            self._wake(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        due, later = [], []
+        if self.waiting.exists():
+            for row in self.waiting.get():
+                (due if row[0] <= passed else later).append(tuple(row))
+        if not due:
+            return
+        if later:
+            self.waiting.put(later)
+            self._wake(min(r[0] for r in later))
+        else:
+            self.waiting.clear()
+        due.sort(key=lambda r: r[:2])
+        yield from self.fold(key, due)
+
+    def close(self) -> None:
+        pass
+
+
+class OrderedRestartLimiter(EventTimeFold):
+    """W9/T3/F17 in event time; ``text`` is the incident."""
+
+    max_restarts = MAX_RESTARTS
+    window_us = RESTART_WINDOW_MINUTES * 60_000_000
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.granted = handle.getListState("granted", T.StructType([T.StructField("us", T.LongType())]))
+
+    def fold(self, key, rows):
+        held = [g[0] for g in self.granted.get()] if self.granted.exists() else []
+        for us, event_id, incident, status, _ in rows:
+            held = [g for g in held if g > us - self.window_us]
+            ok = len(held) < self.max_restarts
+            if ok:
+                held.append(us)
+            yield Row(us=us, event_id=event_id, container=key[0], status=status, action="restart" if ok else "alert",
+                      message=incident + ("; restarted" if ok else "; restart limit reached"))
+        self.granted.put([(g,) for g in held])
+
+
+class OrderedDriftTrigger(EventTimeFold):
+    """T4 in event time; ``number`` is the score, null for a finished run."""
+
+    threshold = 0.5
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.active = handle.getValueState("active", T.StructType([T.StructField("on", T.BooleanType())]))
+
+    def fold(self, key, rows):
+        on = bool(self.active.get()[0]) if self.active.exists() else False
+        for us, event_id, _, _, score in rows:
+            if score is None:
+                on = False
+            elif score > self.threshold and not on:
+                on = True
+                yield Row(us=us, user_id=key[0], event_id=event_id)
+        self.active.update((on,))
+
+
 class RestartLimiter(StatefulProcessor):
     """Grant a restart unless ``max_restarts`` grants lie in the trailing window."""
 

@@ -66,6 +66,30 @@ def test_restart_limiter_stream_processor_matches_batch(spark):
     assert out[6]["message"] == "Exited unexpectedly; restart limit reached"
 
 
+def test_monitor_stream_equals_batch_with_files_out_of_order(spark):
+    import random
+
+    from driftline.plans.streams import monitored
+    from driftline.streaming.runner import file_stream, run_available_now, use_rocksdb_state
+    rng = random.Random(5)
+    t0 = dt.datetime(2024, 1, 1, 10)
+    rows = [(i, t0 + dt.timedelta(seconds=rng.randrange(2 * 3600), microseconds=rng.randrange(10**6)), f"c{rng.randrange(2)}", True,
+             "exited", 1, "healthy", 0, 0, 0, 0, 1, 0, 1) for i in range(240)]
+    rows.append((999, t0 + dt.timedelta(hours=9), "c0", True, "running", 0, "healthy", 0, 0, 0, 0, 1, 0, 1))  # moves the watermark on
+    rows.append((1000, None, "c0", True, "exited", 1, "healthy", 0, 0, 0, 0, 1, 0, 1))
+    schema = ("event_id long, ts timestamp, container string, always_on boolean, status string, exit_code int, health string, cpu_total long, "
+              "precpu_total long, system_total long, presystem_total long, online_cpus int, mem_usage long, mem_limit long")
+    arrival = sorted(rows, key=lambda r: (r[1] or t0) + dt.timedelta(seconds=rng.randrange(240)))
+    landing = _scratch(spark, "monitor-landing")
+    for k in range(0, len(arrival), 61):
+        spark.createDataFrame(arrival[k:k + 61], schema).coalesce(1).write.mode("append").parquet(landing)
+    use_rocksdb_state(spark)
+    stream = file_stream(spark, landing, spark.read.parquet(landing).schema, max_files=1)
+    got = {r["event_id"]: r["action"] for r in run_available_now(monitored(stream), "monitor_test").collect()}
+    batch = incidents.restart_limiter(spark.createDataFrame(rows[:240], schema).select("event_id", "ts", "container"), "container", "ts", "event_id")
+    assert got == {r["event_id"]: "restart" if r["granted"] else "alert" for r in batch.collect()}
+
+
 def test_episodes_split_at_quiet_windows(spark):
     t0 = dt.datetime(2024, 1, 1, 23, 50)
     mins = [0, 5, 14, 30, 39, 49, 60, 61]   # gaps >= 10 start episodes; crosses midnight
