@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from driftline.functions import labels
 from driftline.operators import drift
 from driftline.plans.registry import query
-from driftline.session import scratch_path
+from driftline.session import cut_lineage, scratch_path
 from driftline.sources import catalog
 from driftline.sources.tables import Tables
 
@@ -149,3 +149,23 @@ def drift_reset(spark, sf):
     name = catalog.table_name(spark, "drift_reference")
     catalog.promote(ref.select(*FEATURES), name, scratch_path(spark, "drift_reference"))
     return catalog.promote(cur.select(*FEATURES), name, scratch_path(spark, "drift_reference"))
+
+
+@query("drift_forced_reset", _KS_SQL + f"""
+SELECT 'before' AS stage, feature, ROUND(least(1.0, d + {FORCED_PCT}), 9) AS drift_score FROM pv
+UNION ALL SELECT 'after', feature, 0.0 FROM pv
+""")
+def drift_forced_reset(spark, sf):
+    """A15 + K7: a forced drift is kept with the reference table and ends when the current sample is promoted."""
+    ref, cur = samples(spark, sf)
+    name = catalog.table_name(spark, "drift_reference")
+    catalog.promote(ref.select(*FEATURES), name, scratch_path(spark, "drift_reference"))
+    catalog.force_drift(spark, name, FORCED_PCT)
+
+    def scores(stage: str):
+        d = drift.feature_drift(spark.table(name), cur, FEATURES, catalog.forced_drift(spark, name))
+        return d.select(F.lit(stage).alias("stage"), "feature", F.round("drift_score", 9).alias("drift_score"))
+
+    before = cut_lineage(scores("before"))  # a row for each feature, read before the pointer moves
+    catalog.promote(cur.select(*FEATURES), name, scratch_path(spark, "drift_reference"))
+    return before.unionByName(scores("after"))

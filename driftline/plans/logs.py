@@ -152,10 +152,8 @@ def recent_problems(spark, sf):
 @query("log_retention", f"""
 WITH {LINES_SQL}
 SELECT event_id, ts, container_name, message FROM lines
-WHERE regexp_matches(message, '(?i)(error|warning)')
-  AND ts >= (SELECT max(ts) FROM events) - INTERVAL {RETENTION_DAYS} DAY
+WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL {RETENTION_DAYS} DAY
 """)
 def log_retention(spark, sf):
     ev = Tables(spark, sf).events
-    ln = log_lines(ev).filter(logs.problem_filter(F.col("message")))
-    return logs.retain(ln, as_of(ev), RETENTION_DAYS).select("event_id", "ts", "container_name", "message")
+    return logs.retain(log_lines(ev), as_of(ev), RETENTION_DAYS).select("event_id", "ts", "container_name", "message")

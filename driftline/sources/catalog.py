@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from driftline.session import cut_lineage, scratch_path
 
 DATABASE = "driftline"
+#: Table property that holds a forced drift.
+FORCED = "driftline.forced_drift"
 
 
 def table_name(spark: SparkSession, base: str) -> str:
@@ -42,17 +44,33 @@ def drop_and_replace(df: DataFrame, name: str) -> DataFrame:
 def promote(df: DataFrame, name: str, version: str) -> DataFrame:
     """K6 + K7: write ``df`` as a new version folder, then point table ``name`` at it.
 
-    The version is complete before the pointer moves, so readers see the old one or the new one whole.
+    The version is complete before the pointer moves, so readers see the old one or the new one whole. A
+    forced drift that was set for the old version ends with it.
     """
     spark = df.sparkSession
     df.write.parquet(version)
     if not spark.catalog.tableExists(name):
         return spark.catalog.createTable(name, path=version, source="parquet", schema=df.schema)
     spark.sql(f"ALTER TABLE {name} SET LOCATION '{version}'")
+    force_drift(spark, name, None)
     spark.catalog.refreshTable(name)
     return spark.table(name)
 
 
+def force_drift(spark: SparkSession, name: str, share: float | None) -> None:
+    """Keep a forced offset of the drift score with the reference table; None ends it."""
+    if share is None:
+        spark.sql(f"ALTER TABLE {name} UNSET TBLPROPERTIES IF EXISTS ('{FORCED}')")
+    else:
+        spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('{FORCED}' = '{share!r}')")
+
+
+def forced_drift(spark: SparkSession, name: str) -> float | None:
+    """The forced offset kept with the table, if one is set."""
+    row = spark.sql(f"SHOW TBLPROPERTIES {name}").filter(F.col("key") == FORCED).first()
+    return float(row["value"]) if row else None
+
+
 def analyze(spark: SparkSession, name: str) -> None:
     """Let the catalog keep the table's row count."""
     spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS")
