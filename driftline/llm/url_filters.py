@@ -68,13 +68,18 @@ def default_rules() -> list[UrlRule]:
     return [address_rule(*r) for r in ADDRESS_RULES] + [word_rule(w) for w in BLOCKED_WORDS]
 
 
+def _after_scheme(url: Column) -> Column:
+    """What follows the first ``://``; a later one belongs to the path, query or fragment."""
+    u = F.coalesce(url, F.lit(""))
+    return F.when(F.instr(u, "://") > 0, F.substr(u, F.instr(u, "://") + 3)).otherwise(F.lit(""))
+
+
 def host_of(url: Column) -> Column:
-    rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
-    return F.translate(rest, UPPER, LOWER)
+    return F.translate(F.regexp_extract(_after_scheme(url), r"^([^/?#]*)", 1), UPPER, LOWER)
 
 
 def path_of(url: Column) -> Column:
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1)
+    return F.regexp_extract(_after_scheme(url), r"^[^/?#]*(/[^?#]*)", 1)
 
 
 def tokens_of(host: Column, path: Column) -> Column:

@@ -212,6 +212,13 @@ def test_url_verdicts(spark):
     assert url_filters.judge(pages.limit(0)).count() == 0
 
 
+def test_url_path_ends_at_a_second_scheme_in_query_or_fragment(spark):
+    urls = ["http://x.com?u=http://y.com/de/1", "http://x.com#http://y.com/de/1", "http://x.com/fr/1?u=http://y.com/de/1", "a://b://c/d"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = sorted(map(tuple, url_filters.judge(pages).collect()))
+    assert got == [(0, "x.com", "", None, "allow"), (1, "x.com", "", None, "allow"), (2, "x.com", "/fr/1", "com/fr/", "allow"), (3, "b:", "//c/d", None, "allow")]
+
+
 def test_url_index_files_rules_under_rare_tokens(spark):
     rules = url_filters.rule_table(spark, url_filters.default_rules())
     tokens = spark.createDataFrame([("h:org",)] * 5 + [("h:example",)] * 9 + [("p:es",)] * 2, "token string")
