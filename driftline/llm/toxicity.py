@@ -34,10 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.llm.common import bounded_batches, fresh, map_arrow, named
+from driftline.session import cut_lineage
 
 #: Labelled documents to learn from, at most; the lowest hashes of their ids are taken.
 MAX_LABELLED = 50_000
-#: Stems to keep, those with the most evidence first.
+#: Stems to keep of those that pass the odds test, the highest odds first.
 MAX_STEMS = 5_000
 STEM_LETTERS = (4, 6)
 MIN_DOCS = 5
@@ -230,20 +231,20 @@ def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_stems(examples: DataFrame) -> tuple[dict[str, float], int, int]:
+    """Stems that pass the odds test, at most ``MAX_STEMS`` with the highest odds, and the clean and toxic documents behind them."""
     counts = (examples.mapInArrow(_count_stems, "stem string, clean long, toxic long, mask long").groupBy("stem")
               .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_count(F.bit_or("mask")).alias("beginnings")))
     all_ = F.col("stem") == "\n"
-    rows = counts.where(all_ | ((F.col("toxic") >= MIN_DOCS) & (F.col("beginnings") >= MIN_BEGINNINGS)
-                                & (F.col("toxic") > F.col("clean"))))
-    rows = rows.orderBy(all_.desc(), F.col("toxic").desc(), "stem").limit(MAX_STEMS + 1).collect()
-    if not rows or rows[0]["stem"] != "\n":
+    counts = cut_lineage(counts.where(all_ | ((F.col("toxic") >= MIN_DOCS) & (F.col("beginnings") >= MIN_BEGINNINGS)
+                                              & (F.col("toxic") > F.col("clean")))))  # read twice
+    totals = counts.where(all_).select("clean", "toxic").first()
+    if totals is None:
         return {}, 0, 0
-    clean, toxic = rows[0]["clean"], rows[0]["toxic"]
-    stems = {}
-    for r in rows[1:]:
-        odds = math.log((r["toxic"] + 0.5) / (toxic + 1)) - math.log((r["clean"] + 0.5) / (clean + 1))
-        if odds >= MIN_LOG_ODDS:
-            stems[r["stem"]] = odds
+    clean, toxic = totals
+    odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
+    passed = counts.where(~all_).withColumn("odds", odds).where(F.col("odds") >= MIN_LOG_ODDS)
+    rows = passed.orderBy(F.col("odds").desc(), F.col("toxic").desc(), "stem").limit(MAX_STEMS).collect()
+    stems = {r["stem"]: r["odds"] for r in rows}
     return stems, clean, toxic
 
 

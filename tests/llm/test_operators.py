@@ -464,6 +464,16 @@ def test_toxicity_learns_and_holds_out(spark):
     assert toxicity.filter_toxic(d, lab).count() == 1000
 
 
+def test_toxicity_spends_its_places_on_stems_that_pass_the_odds(spark, monkeypatch):
+    # labels in balance: 20 common words are in 30 toxic and 29 clean texts, the insult in 6 toxic ones
+    rows = [(f"begin{'abcdefghij'[i % 10]} {i} " + " ".join(f"com{c}" for c in "abcdefghijklmnopqrst") + (" zorgu" if i < 6 else ""), 1, i) for i in range(30)]
+    rows += [(f"start {i} " + " ".join(f"com{c}" for c in "abcdefghijklmnopqrst"), 0, 100 + i) for i in range(29)] + [("plain", 0, 200)]
+    examples = spark.createDataFrame(rows, "text string, toxic int, l_id long")
+    monkeypatch.setattr(toxicity, "MAX_STEMS", 5)
+    stems, clean, toxic = toxicity.learn_stems(examples)
+    assert (clean, toxic) == (30, 30) and {"zorg", "zorgu "} <= set(stems) and not any(s.startswith("com") for s in stems)
+
+
 def test_toxicity_collects_one_row_of_each_labelled_id(spark):
     d = spark.createDataFrame([(1 + i % 3, f"You idiot number {i}.") for i in range(600)] + [(4, None)], "doc_id long, text string")
     lab = spark.createDataFrame([(i, 1, int(i < 3)) for i in range(1, 5)], "doc_id long, quality int, toxic int")
