@@ -214,6 +214,19 @@ def metric_latest(spark, sf):
     return lt.select("series", "value", "ts_latest", F.round(F.col("value") * 1e6 / 1024 / 1024, 6).alias("value_mib"))
 
 
+@query("metric_series", """
+SELECT event_type AS series, date_trunc('hour', ts) AS step, arg_max(value, (ts, event_id)) AS value, max(ts) AS ts_latest,
+       round(arg_max(value, (ts, event_id)) * 1e6 / 1024 / 1024, 6) AS value_mib
+FROM events WHERE ts IS NOT NULL GROUP BY event_type, date_trunc('hour', ts)
+""")
+def metric_series(spark, sf):
+    """The gauge's newest value of each step."""
+    ev = (Tables(spark, sf).events.withColumnRenamed("event_type", "series").filter(F.col("ts").isNotNull())
+          .withColumn("step", F.date_trunc("hour", "ts")))
+    lt = metrics.latest(ev, ["series", "step"], "value", ["ts", "event_id"])
+    return lt.select("series", "step", "value", "ts_latest", F.round(F.col("value") * 1e6 / 1024 / 1024, 6).alias("value_mib"))
+
+
 @query("threshold_bands", f"""
 WITH a AS (SELECT event_type, round(avg(value), 6) AS avg_ms, round(max(value) / 500.0, 6) AS score
            FROM events GROUP BY event_type)

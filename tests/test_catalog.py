@@ -70,3 +70,14 @@ def test_required_columns(spark):
     clean.require_columns(spark.range(1), ["id"])
     with pytest.raises(ValueError, match="a, b"):
         clean.require_columns(spark.range(1), ["id", "b", "a"])
+
+
+def test_gauge_series_has_the_newest_value_of_every_step(spark):
+    import __spark_entry__ as E
+    sf = "/root/testdata/sf0.001"
+    want = {}
+    for r in spark.read.parquet(f"{sf}/events.parquet").collect():
+        step = r["ts"].replace(minute=0, second=0, microsecond=0)
+        want[r["event_type"], step] = max(want.get((r["event_type"], step), (dt.datetime.min, -1, 0.0)), (r["ts"], r["event_id"], r["value"]))
+    got = {(r["series"], r["step"]): (r["ts_latest"], r["value"]) for r in E.queries()["metric_series"](spark, sf).collect()}
+    assert got == {k: (t, v) for k, (t, _i, v) in want.items()} and len(got) > 100
