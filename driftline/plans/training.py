@@ -26,8 +26,6 @@ KEY = ["l_orderkey", "l_linenumber"]
 # that tie on the draw are identical and the split is deterministic
 SPLIT_KEY = [*KEY, "l_quantity", "l_extendedprice", "l_discount", "l_tax", "y"]
 SALT = "driftline-split"
-NUM_TREES = 20
-MAX_DEPTH = 8
 # The scoring-time domain of the coded inputs.
 REPORT_DOMAIN = {"l_linenumber": list(range(1, 8)), "l_discount": (0.0, 0.1), "l_tax": (0.0, 0.07),
                  "l_quantity": (1.0, 50.0), "l_extendedprice": (0.0, 1e6)}
@@ -58,7 +56,7 @@ def hash_split(spark, sf) -> DataFrame:
 def rf_train_eval(spark, sf):
     """M3 + A11: fit on the train split, report on the test split."""
     s = split(spark, sf)
-    m = model.fit_forest(s.filter(F.col("split") == "train"), FEATURES, "y", NUM_TREES, MAX_DEPTH)
+    m = model.fit_forest(s.filter(F.col("split") == "train"), FEATURES, "y")
     scored = model.score(m, s.filter(F.col("split") == "test"), ["y"])
     return evaluate.classification_report(scored, "y", "prediction")
 
@@ -72,7 +70,7 @@ def batch_score(spark, sf):
     """
     s = split(spark, sf)
     path = scratch_path(spark, "rf_model")
-    model.save(model.fit_forest(s.filter(F.col("split") == "train"), FEATURES, "y", NUM_TREES, MAX_DEPTH), path)
+    model.save(model.fit_forest(s.filter(F.col("split") == "train"), FEATURES, "y"), path)
     live = model.load(path)
     # The rows to score arrive as an uploaded comma-separated file with a header
     landing = scratch_path(spark, "score_upload")
@@ -110,7 +108,7 @@ FROM t
 def batch_report(spark, sf):
     """M5 + K9: predictions and report written as files; the facts below are taken from the files read back."""
     s = hash_split(spark, sf)
-    m = model.fit_forest(s.filter(F.col("split") == "train"), FEATURES, "y", NUM_TREES, MAX_DEPTH)
+    m = model.fit_forest(s.filter(F.col("split") == "train"), FEATURES, "y")
     test = clean.validate(s.filter(F.col("split") == "test"), REPORT_DOMAIN)
     folder = scratch_path(spark, "batch_report")
     scored = model.score(m, test.filter(F.size("violations") == 0), [*KEY, "y"])
@@ -145,10 +143,11 @@ UNION ALL SELECT 2, FALSE, CAST(1 AS BIGINT), TRUE, n_test FROM n
 def model_publish(spark, sf):
     """K10 + M8: the first model beats 0.0 and is saved with its metadata; an equal one is not."""
     s = hash_split(spark, sf)
-    m = model.fit_forest(s.filter(F.col("split") == "train"), FEATURES, "y", NUM_TREES, MAX_DEPTH)
+    m = model.fit_forest(s.filter(F.col("split") == "train"), FEATURES, "y")
     test = s.filter(F.col("split") == "test")
     folder = scratch_path(spark, "model_publish")
-    facts = {"model_name": "forest", "num_trees": NUM_TREES, "max_depth": MAX_DEPTH, "features": FEATURES}
+    forest = m.stages[-1]
+    facts = {"model_name": "forest", "num_trees": forest.getNumTrees, "max_depth": forest.getMaxDepth(), "features": FEATURES}
     acc = evaluate.accuracy(model.score(m, test, ["y"]), "y", "prediction").first()["accuracy"] or 0.0
     best, rows = 0.0, []
     for attempt in (1, 2):

@@ -352,6 +352,25 @@ def test_saved_pipeline_scores_like_the_live_one(spark):
     assert all(0.5 <= r[3] <= 1.0 and r[2] in (0, 1) for r in a)
 
 
+@pytest.mark.parametrize("name", ["rf_train_eval", "batch_score", "batch_report", "model_publish"])
+def test_forest_queries_train_the_full_forest(spark, monkeypatch, name):
+    import __spark_entry__ as E
+    from driftline.operators import model
+    asked = []
+
+    class Asked(Exception):
+        pass
+
+    def forest(**params):
+        asked.append((params["numTrees"], params["maxDepth"]))
+        raise Asked
+
+    monkeypatch.setattr(model, "RandomForestClassifier", forest)
+    with pytest.raises(Asked):
+        E.queries()[name](spark, "/root/testdata/sf0.001")
+    assert asked == [(100, model.SPARK_MAX_DEPTH)]
+
+
 def test_batch_score_keeps_every_test_row(spark):
     import __spark_entry__ as E
     from driftline.plans import training
