@@ -5,6 +5,7 @@ Fixed cutoffs that suit one language or source reject good documents of another.
 bulk of that group. A sketch is a log-linear histogram (2^-10 relative error) kept as rows
 ``(group, rule, bucket, count)``, so sketches of any partial data merge by adding counts: a group
 with too few documents uses the merged sketch of its language, and below that the one of the corpus.
+The wider sketch also bounds a group's fence: where junk is the bulk of a source, its own quantiles are junk.
 
 All figures are integers (thousandths), so every engine and every rerun gives the same verdicts.
 
@@ -34,6 +35,8 @@ WINDOW_WORDS = 3
 SKETCH_BITS = 11
 #: Groups with fewer documents use the next wider sketch.
 MIN_GROUP = 200
+#: No fence is above so many times that of the next wider sketch, so junk that fills a group cannot set its own limit.
+WIDER_REACH = 3
 
 
 @dataclass(frozen=True)
@@ -168,8 +171,8 @@ def thresholds(sketch: DataFrame, lang: str, source: str, rules: Sequence[Rule]
     whole = fences(merge(by_lang, []), [], rules).alias("w")
     same_lang = F.col(f"o.`{lang}`").eqNullSafe(F.col(f"l.`{lang}`")) & (F.col("o.rule") == F.col("l.rule"))
     x = own.join(wider, same_lang).join(F.broadcast(whole), F.col("o.rule") == F.col("w.rule"))  # a row for each rule
-    limit = F.when(F.col("o.docs") >= min_group, F.col("o.fence")).when(
-        F.col("l.docs") >= min_group, F.col("l.fence")).otherwise(F.col("w.fence"))
+    of_lang = F.when(F.col("l.docs") >= min_group, F.least(F.col("l.fence"), WIDER_REACH * F.col("w.fence"))).otherwise(F.col("w.fence"))
+    limit = F.when(F.col("o.docs") >= min_group, F.least(F.col("o.fence"), WIDER_REACH * of_lang)).otherwise(of_lang)
     return (x.select(F.col(f"o.`{lang}`").alias("g_lang"), F.col(f"o.`{source}`").alias("g_source"),
                      F.col("o.rule").alias("rule"), limit.alias("limit"))
             .groupBy("g_lang", "g_source")

@@ -96,6 +96,14 @@ def test_quality_limits_adapt_and_merge(spark):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, merged.collect()))
 
 
+def test_quality_junk_that_fills_a_source_is_bounded_by_the_wider_sketch(spark):
+    text = lambda i, s: " ".join(f"w{i}x{k}{s}" for k in range(60))
+    rows = [(i, text(i, ""), "en", "prose", 0) for i in range(1200)]
+    rows += [(2000 + i, text(2000 + i, "#$" if i % 5 < 2 else ""), "en", "dump", 0) for i in range(300)]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(kept[i] for i in range(1200)) and all(kept[2000 + i] == (i % 5 >= 2) for i in range(300))
+
+
 def test_quality_bucket_error(spark):
     values = [0, 1, 999, 2047, 2048, 4095, 4096, 10**6, 10**12 + 12345]
     d = spark.createDataFrame([(v,) for v in values], "x long")
