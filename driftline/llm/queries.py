@@ -6,16 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import (
-    licenses, mixing, quality_rules, sampled_pieces, simhash, token_counts, token_output, toxicity, url_filters, winnowing)
+    licenses, mixing, quality_rules, sampled_pieces, simhash, text_queries, token_counts, token_output, toxicity, url_filters, winnowing)
+from driftline.llm.text_queries import table
 
 #: Vocabulary files of the queries; every machine has them at this place.
 VOCABULARY = "/opt/tokenizers"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents mixed to source weights 3, 1, 2, ... at 150 % of all words."""
     return mixing.mix(table(spark, sf_dir, "documents")).documents.select(
@@ -75,7 +72,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_token_output, op3_url_filters, op4_winnowing, op5_license_scan, op6_simhash, op7_token_counts,
-    op8_sampled_pieces, op9_toxicity, op10_quality_rules)}
+    op8_sampled_pieces, op9_toxicity, op10_quality_rules)} | text_queries.QUERIES
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -206,4 +203,4 @@ FROM f LEFT JOIN over_limit USING (rid)
 
 
 ORACLES = {"op1_mix_sources": MIX_SQL, "op3_url_filters": URL_SQL, "op5_license_scan": _license_sql(),
-           "op10_quality_rules": _quality_sql()}
+           "op10_quality_rules": _quality_sql()} | text_queries.ORACLES
