@@ -1,76 +1,210 @@
-"""Model operators: random-forest pipeline fit, scoring, save/load.
+"""Model operators: random forest fit, scoring, save/load, publishing.
 
-The pipeline carries its own scaler (population mean / deviation fitted by
-one distributed aggregate, applied by a ``SQLTransformer``), so scoring
-raw rows uses exactly the training transformation.  Trees are trained by
-Spark ML (distributed over partitions); scoring is ``model.transform``,
-a narrow per-row map.
+A forest is a table with one row per tree.  ``fit_forest`` draws the training rows (at most
+``max_train_rows``, a documented bound, so that they can be handed to every task), grows each tree in a
+task of its own on its own bootstrap draw and lets the tasks write the trees; the driver never sees them.
+Trees are grown to the end: no depth limit unless one is given.
+
+``score`` adds votes group by group: a group holds as many trees as ``GROUP_BYTES`` allow, goes to the
+tasks as one broadcast, and the votes so far are written before the next group is read.  Neither the
+driver nor a broadcast ever holds more than one group, however many trees there are.
+
+The scaler (population mean / deviation of all training rows, F7) is kept with the model, so scoring raw
+rows uses exactly the training transformation.
+
+Defined cases: a null or NaN feature counts as lower than every number; rows without a label are not
+trained on; a forest fitted on no rows knows no class and predicts null.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import math
+from collections.abc import Iterator, Sequence
+from dataclasses import asdict, dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from driftline.functions.hashing import DRAW_BITS, draw_fast
 from driftline.operators.prepare import fit_standard
-
-METADATA = "model_name string, num_trees int, max_depth int, features array<string>, accuracy double, previous_best double"
-SPARK_MAX_DEPTH = 30  # an unlimited depth maps to Spark's maximum
-
-
-def scaler_stage(stats: dict[str, tuple[float, float]], suffix: str = "_z") -> SQLTransformer:
-    """F7 as a pipeline stage: ``(x - mean) / (std or 1)`` into ``<x><suffix>``."""
-    exprs = ", ".join(f"(CAST(`{c}` AS DOUBLE) - {float(mu)!r}) / {float(sd) if sd else 1.0!r} AS `{c}{suffix}`"
-                      for c, (mu, sd) in stats.items())
-    return SQLTransformer(statement=f"SELECT *, {exprs} FROM __THIS__")
-
-
-def fit_forest(train: DataFrame, features: Sequence[str], label: str, num_trees: int = 100,
-               max_depth: int | None = None, min_instances: int = 1, seed: int = 42) -> PipelineModel:
-    """M3: scaler + assembler + random forest (sqrt feature subsets)."""
+from driftline.operators.tree import FIELDS, Tree, bootstrap, grow
+from driftline.session import scratch_path
+
+METADATA = ("version int, path string, model_name string, num_trees int, max_depth int, features array<string>, "
+            "accuracy double, previous_best double")
+
+#: Labelled rows a forest is fitted on at most.
+MAX_TRAIN_ROWS = 100_000
+#: Bytes of trees that are broadcast at once.
+GROUP_BYTES = 32 << 20
+
+TREES = "tree int, feature binary, threshold binary, left binary, shares binary"
+
+
+@dataclass(frozen=True)
+class Forest:
+    """A fitted forest: where its trees lie and what scoring needs to know. ``max_depth`` 0: unlimited."""
+
+    path: str
+    features: tuple[str, ...]
+    means: tuple[float, ...]
+    scales: tuple[float, ...]
+    classes: tuple[int, ...]
+    num_trees: int
+    max_depth: int
+    largest: int  # bytes of the largest tree
+
+    def groups(self) -> list[tuple[int, int]]:
+        """[first, last) numbers of the trees that are voted on together."""
+        size = max(1, GROUP_BYTES // max(1, self.largest))
+        return [(at, min(at + size, self.num_trees)) for at in range(0, self.num_trees, size)]
+
+
+def _inputs(model_features: Sequence[str], means: Sequence[float], scales: Sequence[float]) -> list[Column]:
+    """the scaled features; what is missing lies below everything."""
+    below = F.lit(float("-inf"))
+    value = [F.col(f"`{c}`").cast("double") for c in model_features]
+    return [F.when(v.isNull() | F.isnan(v), below).otherwise((v - F.lit(m)) / F.lit(s)) for v, m, s in zip(value, means, scales)]
+
+
+def training_rows(train: DataFrame, features: Sequence[str], label: str, max_rows: int) -> pa.Table:
+    """The labelled rows to train on as f0.. and y; ``max_rows`` of them by a hash draw where there are more."""
+    rows = train.select(*[F.col(f"`{c}`").cast("double").alias(f"f{i}") for i, c in enumerate(features)],
+                        F.col(f"`{label}`").cast("int").alias("y")).filter(F.col("y").isNotNull())
+    n = rows.count()
+    if n > max_rows:  # equal rows draw apart by their place in the input
+        rows = rows.withColumn("_draw", draw_fast(*rows.columns, F.monotonically_increasing_id()))
+        share = min(1.0, (max_rows + 10 * math.sqrt(max_rows)) / n)
+        rows = rows.filter(F.col("_draw") < int(share * (1 << DRAW_BITS))).orderBy("_draw").limit(max_rows).drop("_draw")
+    return rows.toArrow().combine_chunks()
+
+
+def fit_forest(train: DataFrame, features: Sequence[str], label: str, num_trees: int = 100, max_depth: int | None = None,
+               min_instances: int = 1, seed: int = 42, max_train_rows: int = MAX_TRAIN_ROWS, path: str | None = None) -> Forest:
+    """M3: scaler + random forest (square-root feature subsets, bootstrap draws, Gini)."""
+    spark = train.sparkSession
+    path = path or scratch_path(spark, "forest")
     stats = fit_standard(train, features)
-    asm = VectorAssembler(inputCols=[f"{c}_z" for c in features], outputCol="features", handleInvalid="keep")
-    rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=num_trees,
-                                maxDepth=SPARK_MAX_DEPTH if max_depth is None else max_depth,
-                                minInstancesPerNode=min_instances, featureSubsetStrategy="sqrt", seed=seed,
-                                # more nodes per pass over the data, node ids cached between levels
-                                maxMemoryInMB=1024, cacheNodeIds=True)
-    return Pipeline(stages=[scaler_stage(stats), asm, rf]).fit(train)
-
-
-def score(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """M4 + F8: prediction and the largest class probability (NaN/inf -> 0)."""
-    out = model.transform(df)
-    probs = F.transform(vector_to_array("probability"),
-                        lambda x: F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(0.0)).otherwise(x))
-    return out.select(*keep, F.col("prediction").cast("int").alias("prediction"),
-                      F.array_max(probs).alias("p_max"))
-
-
-def save(model: PipelineModel, path: str) -> None:
-    """Persist the whole pipeline (scaler included)."""
-    model.write().overwrite().save(path)
+    # nine digits, so that the order of a sum does not show in a cut that falls on a value
+    means, scales = (tuple(float(f"{stats[c][k] or 0.0:.9g}") for c in features) for k in (0, 1))
+    scales = tuple(s or 1.0 for s in scales)
+    table = training_rows(train, features, label, max_train_rows)
+    x = np.column_stack([table.column(i).to_numpy(zero_copy_only=False) for i in range(len(features))]) if len(features) else np.zeros((0, 0))
+    x = np.where(np.isnan(x), -np.inf, (x - np.array(means)) / np.array(scales))
+    labels = table.column("y").to_numpy()
+    order = np.lexsort((labels, *x.T))  # the same trees whatever order the rows came in
+    x, labels = np.ascontiguousarray(x[order]), labels[order]
+    classes, y = np.unique(labels, return_inverse=True)
+    tried = max(1, round(math.sqrt(len(features))))
+    n_classes = max(1, len(classes))
+
+    def grow_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number in batch.column(0).to_pylist():
+                rng = np.random.default_rng([seed, number])
+                tree = grow(x, y, bootstrap(len(x), rng), n_classes, rng, tried, max_depth, min_instances)
+                arrays = [pa.array([getattr(tree, k).tobytes()], pa.binary()) for k in FIELDS]
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *arrays], names=["tree", *FIELDS])
+
+    spark.range(0, num_trees, 1, num_trees).mapInArrow(grow_trees, TREES).write.mode("overwrite").parquet(f"{path}/trees")
+    size = sum((F.octet_length(k) for k in FIELDS), F.lit(0))
+    largest = _trees(spark, path).agg(F.max(size).alias("b")).first()["b"] or 0
+    forest = Forest(path, tuple(features), means, scales, tuple(int(c) for c in classes), num_trees, max_depth or 0, largest)
+    _write_about(spark, forest)
+    return forest
+
+
+def _trees(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(TREES).parquet(f"{path}/trees")
+
+
+def _write_about(spark: SparkSession, forest: Forest) -> None:
+    spark.createDataFrame([(json.dumps(asdict(forest)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{forest.path}/about")
+
+
+def _group(spark: SparkSession, forest: Forest, first: int, end: int) -> list[Tree]:
+    rows = _trees(spark, forest.path).filter(F.col("tree").between(first, end - 1)).collect()  # GROUP_BYTES at most, or one tree
+    return [Tree(**{k: np.frombuffer(bytes(r[k]), dtype=t) for k, t in FIELDS.items()}) for r in sorted(rows, key=lambda r: r["tree"])]
+
+
+def votes(forest: Forest, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``keep`` and ``votes``: each class's share of the votes of all trees."""
+    spark = df.sparkSession
+    inputs = [f"_f{i}" for i in range(len(forest.features))]
+    n_classes = len(forest.classes)
+    rows = df.select(*[F.col(f"`{c}`") for c in keep], *[c.alias(i) for c, i in zip(_inputs(forest.features, forest.means, forest.scales), inputs)],
+                     F.array_repeat(F.lit(0.0), n_classes).alias("votes"))
+    names, schema = rows.columns, T.StructType(rows.schema.fields)
+    groups = forest.groups() if n_classes else []
+    for k, (first, end) in enumerate(groups):
+        trees = _group(spark, forest, first, end)
+
+        def add(batches: Iterator[pa.RecordBatch], trees: list[Tree] = trees) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                columns = batch.columns
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns[len(keep):-1]])
+                total = columns[-1].flatten().to_numpy(zero_copy_only=False).reshape(-1, n_classes).copy()
+                for tree in trees:
+                    total += tree.vote(x, n_classes)
+                offsets = pa.array(np.arange(0, total.size + 1, n_classes, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([*columns[:-1], pa.ListArray.from_arrays(offsets, pa.array(total.ravel()))], names=names)
+
+        rows = rows.mapInArrow(add, schema)
+        if k + 1 < len(groups):  # written, so that the next group does not keep this one alive
+            held = scratch_path(spark, "votes")
+            rows.write.parquet(held)
+            rows = spark.read.schema(schema).parquet(held)
+    share = F.transform("votes", lambda v: v / F.lit(float(max(1, forest.num_trees))))
+    return rows.select(*[F.col(f"`{c}`") for c in keep], share.alias("votes"))
+
+
+def score(forest: Forest, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """M4 + F8: the class with most votes (ties: the smallest) and its share of the votes (NaN/inf -> 0)."""
+    clean = F.transform("votes", lambda v: F.when(F.isnan(v) | (F.abs(v) == F.lit(float("inf"))), F.lit(0.0)).otherwise(v))
+    best = F.array_max(F.col("votes"))
+    classes = F.array(*[F.lit(c) for c in forest.classes]).cast("array<int>")
+    return votes(forest, df, keep).select(*[F.col(f"`{c}`") for c in keep],
+                                          F.get(classes, (F.array_position("votes", best) - 1).cast("int")).alias("prediction"), F.array_max(clean).alias("p_max"))
+
+
+def save(forest: Forest, path: str) -> Forest:
+    """The whole model below ``path``, scaler included."""
+    spark = SparkSession.active()
+    _trees(spark, forest.path).write.mode("overwrite").parquet(f"{path}/trees")
+    saved = Forest(**{**asdict(forest), "path": path})
+    _write_about(spark, saved)
+    return saved
 
 
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load(path: str) -> Forest:
+    facts = json.loads(SparkSession.active().read.text(f"{path}/about").first()["value"])
+    return Forest(**{k: tuple(v) if isinstance(v, list) else v for k, v in facts.items()} | {"path": path})
 
 
-def publish_if_better(model: PipelineModel, accuracy: float, best: float, folder: str, metadata: dict) -> bool:
+def publish_if_better(forest: Forest, accuracy: float, best: float, folder: str, metadata: dict) -> bool:
     """K10 + M8: save the model and append its metadata row only if its accuracy beats the best one strictly.
 
-    ``folder`` holds ``model`` (the newest best one) and ``metadata`` (JSON lines, one per published model).
+    Each published model has a folder of its own; the metadata row (JSON lines) names it and is written last, so a
+    reader of the newest row finds a whole model or the one before.
     """
     if accuracy <= best:
         return False
     spark = SparkSession.active()
-    save(model, f"{folder}/model")
-    row = {**metadata, "accuracy": accuracy, "previous_best": best}
+    version = (newest(spark, folder) or {"version": 0})["version"] + 1
+    saved = save(forest, f"{folder}/models/{version}-{scratch_path(spark, 'v').rsplit('-', 1)[1]}")
+    row = {**metadata, "version": version, "path": saved.path, "accuracy": accuracy, "previous_best": best}
     spark.createDataFrame([row], METADATA).coalesce(1).write.mode("append").json(f"{folder}/metadata")
     return True
+
+
+def newest(spark: SparkSession, folder: str) -> dict | None:
+    """The metadata row of the model published last, if there is one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/metadata")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    row = spark.read.schema(METADATA).json(f"{folder}/metadata").orderBy(F.col("version").desc()).first()
+    return row.asDict() if row else None

@@ -328,60 +328,6 @@ def test_row_cap_prefilter_keeps_the_exact_first_rows(spark):
 
 # ---------------------------------------------------------------- model (no SQL oracle: invariants)
 
-def test_forest_report_shape_and_bounds(spark):
-    import __spark_entry__ as E
-    rep = {r["label"]: r for r in E.queries()["rf_train_eval"](spark, "/root/testdata/sf0.001").collect()}
-    assert set(rep) == {"0", "1", "accuracy", "macro avg", "weighted avg"}
-    for r in rep.values():
-        assert all(0.0 <= r[m] <= 1.0 for m in ("precision", "recall", "f1_score"))
-    assert rep["0"]["support"] + rep["1"]["support"] == rep["accuracy"]["support"]
-
-
-def test_saved_pipeline_scores_like_the_live_one(spark):
-    from driftline.operators import model
-    from driftline.plans import training
-    sf = "/root/testdata/sf0.001"
-    s = training.split(spark, sf)
-    live = model.fit_forest(s.filter("split = 'train'"), training.FEATURES, "y", 5, 4)
-    path = _scratch(spark, "rf")
-    model.save(live, path)
-    test = s.filter("split = 'test'")
-    a = sorted(tuple(r) for r in model.score(live, test, training.KEY).collect())
-    b = sorted(tuple(r) for r in model.score(model.load(path), test, training.KEY).collect())
-    assert a == b and len(a) == test.count()
-    assert all(0.5 <= r[3] <= 1.0 and r[2] in (0, 1) for r in a)
-
-
-@pytest.mark.parametrize("name", ["rf_train_eval", "batch_score", "batch_report", "model_publish"])
-def test_forest_queries_train_the_full_forest(spark, monkeypatch, name):
-    import __spark_entry__ as E
-    from driftline.operators import model
-    asked = []
-
-    class Asked(Exception):
-        pass
-
-    def forest(**params):
-        asked.append((params["numTrees"], params["maxDepth"]))
-        raise Asked
-
-    monkeypatch.setattr(model, "RandomForestClassifier", forest)
-    with pytest.raises(Asked):
-        E.queries()[name](spark, "/root/testdata/sf0.001")
-    assert asked == [(100, model.SPARK_MAX_DEPTH)]
-
-
-def test_batch_score_keeps_every_test_row(spark):
-    import __spark_entry__ as E
-    from driftline.plans import training
-    sf = "/root/testdata/sf0.001"
-    out = E.queries()["batch_score"](spark, sf)
-    n_test = training.split(spark, sf).filter("split = 'test'").count()
-    assert out.count() == n_test
-    labels_seen = {r[0] for r in out.select("label_text").distinct().collect()}
-    assert labels_seen <= {"Grave", "Pas Grave", None}
-
-
 def test_one_hot_columns_and_vector_path_agree(spark):
     from pyspark.ml.functions import vector_to_array
     df = spark.createDataFrame([(i, lv) for i, lv in enumerate(["b", "a", "c", "b", "c"])], "id int, t string")
