@@ -107,6 +107,17 @@ def recent_problems(logs: DataFrame, as_of: Column, hours: int = 24,
     )
 
 
+def top_of_window(counts: DataFrame, window: str = "window_start", message: str = "message", cnt: str = "cnt") -> DataFrame:
+    """A7 per window: the ``TOP_PROBLEMS`` most frequent messages of each, with the total of those.
+
+    The rank filter keeps at most that many rows of a window in each partition before they are shuffled.
+    """
+    by = Window.partitionBy(window)
+    top = (counts.withColumn("_place", F.row_number().over(by.orderBy(F.col(cnt).desc(), F.col(message)))).filter(F.col("_place") <= TOP_PROBLEMS))
+    return top.select(window, F.left(F.col(message), F.lit(SUMMARY_CAP)).alias(message), F.col(cnt).cast("bigint").alias(cnt),
+                      (F.col(cnt) >= URGENT_COUNT).alias("is_urgent"), F.sum(cnt).over(by).cast("bigint").alias("total_top"))
+
+
 def retain(logs: DataFrame, as_of: Column, days: int, ts: str = "ts") -> DataFrame:
     """K8: keep the lines not older than ``days`` before ``as_of``.
 

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from driftline.plans.logs import LINES_SQL, RETENTION_DAYS, as_of, log_lines
 from driftline.plans.registry import query
+from driftline.session import scratch_path
 from driftline.sources import catalog
 from driftline.sources.tables import Tables
+from driftline.sources.versions import VersionedTable
 
 
 @query("table_replace", """
@@ -54,10 +56,9 @@ SELECT event_id, ts, container_name, message FROM lines
 WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL {RETENTION_DAYS} DAY
 """)
 def log_purge(spark, sf):
-    """K8: the log table keeps the last days; older date partitions are deleted."""
+    """K8: the log table keeps the last days: older days leave the manifest, the cutoff's day is rewritten, in one step."""
     ev = Tables(spark, sf).events
-    name = catalog.table_name(spark, "logs")
-    lines = log_lines(ev).select("event_id", "ts", "container_name", "message", F.to_date("ts").alias("day"))
-    catalog.replace_table(lines, name, partition_by="day")
+    table = VersionedTable(spark, scratch_path(spark, "logs"))
+    table.append_days(log_lines(ev).select("event_id", "ts", "container_name", "message", F.to_date("ts").alias("day")), "day")
     cutoff = as_of(ev) - F.make_dt_interval(days=F.lit(RETENTION_DAYS))
-    return catalog.purge_before(spark, name, "day", "ts", cutoff).drop("day")
+    return table.read(table.purge_before("ts", cutoff)).drop("day")

@@ -13,11 +13,13 @@ from driftline.functions import labels
 from driftline.operators import drift
 from driftline.plans.registry import query
 from driftline.session import cut_lineage, scratch_path
-from driftline.sources import catalog
 from driftline.sources.tables import Tables
+from driftline.sources.versions import VersionedTable
 
 FEATURES = ["l_discount", "l_extendedprice", "l_linenumber", "l_quantity", "l_tax"]
 FORCED_PCT = 0.25
+#: Property of the reference table that holds a forced drift.
+FORCED = "forced_drift"
 
 
 def samples(spark, sf):
@@ -143,12 +145,12 @@ def drift_histogram(spark, sf):
 SELECT l_discount, l_extendedprice, l_linenumber, l_quantity, l_tax FROM lineitem WHERE l_quantity > 20
 """)
 def drift_reset(spark, sf):
-    """K6 + K7: the reference table points at the old sample; the current one is written as a new
-    version, the table is pointed at it and read back."""
+    """K6 + K7: the reference table holds the old sample; the current one is written beside it, becomes the table in one
+    step and is read back."""
     ref, cur = samples(spark, sf)
-    name = catalog.table_name(spark, "drift_reference")
-    catalog.promote(ref.select(*FEATURES), name, scratch_path(spark, "drift_reference"))
-    return catalog.promote(cur.select(*FEATURES), name, scratch_path(spark, "drift_reference"))
+    table = VersionedTable(spark, scratch_path(spark, "drift_reference"))
+    table.replace(ref.select(*FEATURES))
+    return table.read(table.replace(cur.select(*FEATURES)))
 
 
 @query("drift_forced_reset", _KS_SQL + f"""
@@ -158,14 +160,14 @@ UNION ALL SELECT 'after', feature, 0.0 FROM pv
 def drift_forced_reset(spark, sf):
     """A15 + K7: a forced drift is kept with the reference table and ends when the current sample is promoted."""
     ref, cur = samples(spark, sf)
-    name = catalog.table_name(spark, "drift_reference")
-    catalog.promote(ref.select(*FEATURES), name, scratch_path(spark, "drift_reference"))
-    catalog.force_drift(spark, name, FORCED_PCT)
+    table = VersionedTable(spark, scratch_path(spark, "drift_reference"))
+    table.replace(ref.select(*FEATURES))
+    table.set_property(FORCED, FORCED_PCT)
 
     def scores(stage: str):
-        d = drift.feature_drift(spark.table(name), cur, FEATURES, catalog.forced_drift(spark, name))
+        d = drift.feature_drift(table.read(), cur, FEATURES, table.manifest().properties.get(FORCED))
         return d.select(F.lit(stage).alias("stage"), "feature", F.round("drift_score", 9).alias("drift_score"))
 
-    before = cut_lineage(scores("before"))  # a row for each feature, read before the pointer moves
-    catalog.promote(cur.select(*FEATURES), name, scratch_path(spark, "drift_reference"))
+    before = cut_lineage(scores("before"))  # a row for each feature, read before the table changes
+    table.replace(cur.select(*FEATURES))  # one step: the new sample, without the forced drift
     return before.unionByName(scores("after"))

@@ -1,4 +1,4 @@
-"""Tables of the session catalog: replace loads, retention purge, estimated counts (K2, K3, K6-K8, A2).
+"""Tables of the session catalog: replace loads and estimated counts (K2, K3, A2).
 
 Managed tables live in a database whose location lies below the shared
 checkpoint folder, so every machine sees their files.
@@ -9,14 +9,12 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.session import cut_lineage, scratch_path
+from driftline.session import scratch_path
 
 DATABASE = "driftline"
-#: Table property that holds a forced drift.
-FORCED = "driftline.forced_drift"
 
 
 def table_name(spark: SparkSession, base: str) -> str:
@@ -41,36 +39,6 @@ def drop_and_replace(df: DataFrame, name: str) -> DataFrame:
     return replace_table(df, name)
 
 
-def promote(df: DataFrame, name: str, version: str) -> DataFrame:
-    """K6 + K7: write ``df`` as a new version folder, then point table ``name`` at it.
-
-    The version is complete before the pointer moves, so readers see the old one or the new one whole. A
-    forced drift that was set for the old version ends with it.
-    """
-    spark = df.sparkSession
-    df.write.parquet(version)
-    if not spark.catalog.tableExists(name):
-        return spark.catalog.createTable(name, path=version, source="parquet", schema=df.schema)
-    spark.sql(f"ALTER TABLE {name} SET LOCATION '{version}'")
-    force_drift(spark, name, None)
-    spark.catalog.refreshTable(name)
-    return spark.table(name)
-
-
-def force_drift(spark: SparkSession, name: str, share: float | None) -> None:
-    """Keep a forced offset of the drift score with the reference table; None ends it."""
-    if share is None:
-        spark.sql(f"ALTER TABLE {name} UNSET TBLPROPERTIES IF EXISTS ('{FORCED}')")
-    else:
-        spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('{FORCED}' = '{share!r}')")
-
-
-def forced_drift(spark: SparkSession, name: str) -> float | None:
-    """The forced offset kept with the table, if one is set."""
-    row = spark.sql(f"SHOW TBLPROPERTIES {name}").filter(F.col("key") == FORCED).first()
-    return float(row["value"]) if row else None
-
-
 def analyze(spark: SparkSession, name: str) -> None:
     """Let the catalog keep the table's row count."""
     spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS")
@@ -83,25 +51,3 @@ def estimated_count(spark: SparkSession, name: str) -> tuple[int, bool]:
     if rows and int(rows.group(1)) > 0:
         return int(rows.group(1)), True
     return spark.table(name).count(), False
-
-
-def purge_before(spark: SparkSession, name: str, day: str, ts: str, cutoff: Column) -> DataFrame:
-    """K8: delete the rows older than the literal ``cutoff`` from a table partitioned by the date column ``day``.
-
-    Whole days before the cutoff's are dropped with their files; only the
-    cutoff's own day is rewritten.
-    """
-    edge = spark.range(1).select(F.to_date(cutoff).alias("day")).first()["day"]
-    if edge is None:
-        return spark.table(name)
-    held = [r[0] for r in spark.table(name).select(day).distinct().collect()]  # one row per day
-    old = sorted(d for d in held if d is not None and d < edge)
-    if old:
-        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS " + ", ".join(f"PARTITION ({day} = DATE '{d}')" for d in old))
-    if edge in held:
-        table = spark.table(name)
-        on_edge = table.filter(F.col(day) == F.lit(edge))
-        kept = cut_lineage(on_edge.filter(F.col(ts) >= cutoff))
-        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({day} = DATE '{edge}')")
-        kept.select(*table.columns).write.insertInto(name)
-    return spark.table(name)

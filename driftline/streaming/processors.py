@@ -1,19 +1,13 @@
-"""Stateful stream processors (``transformWithState``, row form).
-
-State per key is O(1): the limiter keeps at most ``max_restarts`` granted
-times, the drift trigger one flag.  ``RestartLimiter`` and ``DriftTrigger``
-order the rows of a key within one micro-batch; across micro-batches their
-source has to deliver each key in time order (as a per-key partitioned log
-does).  ``OrderedRestartLimiter`` and ``OrderedDriftTrigger`` take rows in any
-order within the watermark's delay: rows wait in the state until the watermark
-has passed them and are folded in event time.  They hold the rows of one key
-within the delay (and of one micro-batch, which the source's ``max_files``
-bounds).
+"""Stateful stream processors (``transformWithState``, row form) that fold a key's rows in event time.
+
+Rows may come in any order within the watermark's delay. They wait in the state, filed by time bucket, until
+the watermark has passed them; a timer that expires reads the one bucket it was set for, however many rows of
+the key wait in others. What a processor keeps besides is O(1): the limiter at most ``max_restarts`` granted
+times, the trigger one flag, the alert the start and length of the present run.
 """
 
 from __future__ import annotations
 
-import datetime as dt
 import sys
 
 from pyspark import cloudpickle
@@ -28,38 +22,48 @@ from driftline.operators.incidents import MAX_RESTARTS, RESTART_WINDOW_MINUTES
 # module's classes by value makes them self-contained.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-LIMITER_OUT = T.StructType([
-    T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()),
-    T.StructField("container", T.StringType()), T.StructField("status", T.StringType()),
-    T.StructField("action", T.StringType()), T.StructField("message", T.StringType()),
-])
-
-TRIGGER_OUT = T.StructType([
-    T.StructField("user_id", T.LongType()), T.StructField("event_id", T.LongType()),
-    T.StructField("ts", T.TimestampType()),
-])
-
-
 WAITING = T.StructType([
     T.StructField("us", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("text", T.StringType()),
     T.StructField("status", T.StringType()), T.StructField("number", T.DoubleType()),
 ])
+#: A chunk of waiting rows, column by column.
+CHUNK = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in WAITING.fields])
+
+LIMITER_OUT = T.StructType([
+    T.StructField("us", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("container", T.StringType()),
+    T.StructField("status", T.StringType()), T.StructField("action", T.StringType()), T.StructField("message", T.StringType()),
+])
+TRIGGER_OUT = T.StructType([T.StructField("us", T.LongType()), T.StructField("user_id", T.LongType()), T.StructField("event_id", T.LongType())])
+ALERT_OUT = T.StructType([
+    T.StructField("us", T.LongType()), T.StructField("series", T.StringType()), T.StructField("state", T.StringType()),
+    T.StructField("start_us", T.LongType()), T.StructField("n_samples", T.LongType()),
+])
 
-LIMITER_US_OUT = T.StructType([T.StructField("us", T.LongType()), *[f for f in LIMITER_OUT.fields if f.name != "ts"]])
-TRIGGER_US_OUT = T.StructType([T.StructField("us", T.LongType()), *[f for f in TRIGGER_OUT.fields if f.name != "ts"]])
+
+def _columns(rows: list[tuple]) -> tuple:
+    return tuple(list(c) for c in zip(*rows))
 
 
 class EventTimeFold(StatefulProcessor):
     """Folds a key's rows in event time, whatever order they come in within the watermark's delay.
 
     Input rows carry ``us`` (their time in microseconds, so no time zone is involved) and the fields of
-    ``WAITING``.  A timer is set for the earliest row that waits; when the watermark passes it, all rows up to
-    the watermark are folded, ordered by (time, event id).  Rows after the watermark wait on.
+    ``WAITING``. Rows are appended to their bucket in chunks; a chunk is never read before it is due. A timer
+    stands at the earliest row of every bucket. When the watermark passes it, the bucket's rows up to the
+    watermark are folded, ordered by (time, event id); later ones wait on. Timers expire in time order, and
+    so do the buckets.
     """
 
+    bucket_us = 60_000_000
+    chunk_rows = 1000
+    held_rows = 10_000
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        bucket = T.StructField("bucket", T.LongType())
         self.handle = handle
-        self.waiting = handle.getListState("waiting", WAITING)
+        self.chunks = handle.getMapState("chunks", T.StructType([bucket, T.StructField("number", T.IntegerType())]), CHUNK)
+        self.buckets = handle.getMapState("buckets", T.StructType([bucket]), T.StructType(
+            [T.StructField("chunks", T.IntegerType()), T.StructField("first", T.LongType()), *CHUNK.fields]))
         self.open(handle)
 
     def open(self, handle: StatefulProcessorHandle) -> None:
@@ -68,44 +72,55 @@ class EventTimeFold(StatefulProcessor):
     def fold(self, key, rows):
         raise NotImplementedError
 
-    def _wake(self, us: int) -> None:
-        self.handle.registerTimer(-(-us // 1000))
+    def _append(self, bucket: int, rows: list[tuple]) -> None:
+        n, first, *head = self.buckets.getValue((bucket,)) or (0, None)
+        earliest = min(r[0] for r in rows)
+        if first is None or earliest < first:
+            first = earliest
+            self.handle.registerTimer(-(-first // 1000))
+        rows = [*zip(*head), *rows]  # the first chunk stands with the bucket and is filled up
+        for at in range(self.chunk_rows, len(rows), self.chunk_rows):
+            self.chunks.updateValue((bucket, n), _columns(rows[at:at + self.chunk_rows]))
+            n += 1
+        self.buckets.updateValue((bucket,), (n, first, *_columns(rows[:self.chunk_rows])))
 
     def handleInputRows(self, key, rows, timerValues):
-        first, held = None, []
+        held: dict[int, list[tuple]] = {}
+        n = 0
         for r in rows:
-            first = r["us"] if first is None else min(first, r["us"])
-            held.append((r["us"], r["event_id"], r["text"], r["status"], r["number"]))
-            if len(held) == 1000:
-                self.waiting.appendList(held)
-                held = []
-        if held:
-            self.waiting.appendList(held)
-        if first is not None:
-            self._wake(first)
+            held.setdefault(r["us"] // self.bucket_us, []).append((r["us"], r["event_id"], r["text"], r["status"], r["number"]))
+            n += 1
+            if n == self.held_rows:
+                for bucket, some in held.items():
+                    self._append(bucket, some)
+                held, n = {}, 0
+        for bucket, some in held.items():
+            self._append(bucket, some)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        due, later = [], []
-        if self.waiting.exists():
-            for row in self.waiting.get():
-                (due if row[0] <= passed else later).append(tuple(row))
-        if not due:
-            return
-        if later:
-            self.waiting.put(later)
-            self._wake(min(r[0] for r in later))
-        else:
-            self.waiting.clear()
-        due.sort(key=lambda r: r[:2])
-        yield from self.fold(key, due)
+        at = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        # the timer's millisecond is rounded up and may lie in the next bucket
+        for bucket in sorted({(at - 999) // self.bucket_us, at // self.bucket_us}):
+            found = self.buckets.getValue((bucket,))
+            if found is None or found[1] > passed:
+                continue
+            n, _, *head = found
+            rows = [*zip(*head), *(row for i in range(n) for row in zip(*self.chunks.getValue((bucket, i))))]
+            for i in range(n):
+                self.chunks.removeKey((bucket, i))
+            self.buckets.removeKey((bucket,))
+            later = [r for r in rows if r[0] > passed]
+            if later:
+                self._append(bucket, later)
+            yield from self.fold(key, sorted((r for r in rows if r[0] <= passed), key=lambda r: r[:2]))
 
     def close(self) -> None:
         pass
 
 
-class OrderedRestartLimiter(EventTimeFold):
+class RestartLimiter(EventTimeFold):
     """W9/T3/F17 in event time; ``text`` is the incident."""
 
     max_restarts = MAX_RESTARTS
@@ -126,7 +141,7 @@ class OrderedRestartLimiter(EventTimeFold):
         self.granted.put([(g,) for g in held])
 
 
-class OrderedDriftTrigger(EventTimeFold):
+class DriftTrigger(EventTimeFold):
     """T4 in event time; ``number`` is the score, null for a finished run."""
 
     threshold = 0.5
@@ -145,52 +160,34 @@ class OrderedDriftTrigger(EventTimeFold):
         self.active.update((on,))
 
 
-class RestartLimiter(StatefulProcessor):
-    """Grant a restart unless ``max_restarts`` grants lie in the trailing window."""
-
-    max_restarts = MAX_RESTARTS
-    window = dt.timedelta(minutes=RESTART_WINDOW_MINUTES)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.granted = handle.getListState("granted", T.StructType([T.StructField("ts", T.TimestampType())]))
+class SustainedAlert(EventTimeFold):
+    """Pending at the first sample above ``threshold``, firing once the run above it has lasted ``for_us``, resolved at the
+    first sample that is not above. ``number`` is the value; a missing one is not above."""
 
-    def handleInputRows(self, key, rows, timerValues):
-        held = [r[0] for r in self.granted.get()] if self.granted.exists() else []
-        for r in sorted(rows, key=lambda x: (x["ts"], x["event_id"])):
-            t = r["ts"]
-            held = [g for g in held if g > t - self.window]
-            ok = len(held) < self.max_restarts
-            if ok:
-                held.append(t)
-            suffix = "; restarted" if ok else "; restart limit reached"
-            yield Row(event_id=r["event_id"], ts=t, container=key[0], status=r["status"],
-                      action="restart" if ok else "alert", message=r["incident"] + suffix)
-        self.granted.clear()
-        if held:
-            self.granted.put([(g,) for g in held])
+    def __init__(self, threshold: float, for_seconds: float) -> None:
+        self.threshold, self.for_us = threshold, round(for_seconds * 1_000_000)
 
-    def close(self) -> None:
-        pass
-
-
-class DriftTrigger(StatefulProcessor):
-    """T4: emit a trigger on a score above the threshold unless a run is active;
-    a finish event ends the run."""
-
-    threshold = 0.5
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.active = handle.getValueState("active", T.StructType([T.StructField("on", T.BooleanType())]))
-
-    def handleInputRows(self, key, rows, timerValues):
-        on = bool(self.active.get()[0]) if self.active.exists() else False
-        for r in sorted(rows, key=lambda x: (x["ts"], x["event_id"])):
-            if r["finished"]:
-                on = False
-            elif r["score"] > self.threshold and not on:
-                on = True
-                yield Row(user_id=key[0], event_id=r["event_id"], ts=r["ts"])
-        self.active.update((on,))
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.run = handle.getValueState("run", T.StructType([
+            T.StructField("start", T.LongType()), T.StructField("n", T.LongType()), T.StructField("fires", T.BooleanType())]))
 
-    def close(self) -> None:
-        pass
+    def fold(self, key, rows):
+        start, n, fires = self.run.get() if self.run.exists() else (None, 0, False)
+        for us, _, _, _, value in rows:
+            states = []
+            if value is not None and value > self.threshold:
+                if start is None:
+                    start, n, fires = us, 0, False
+                    states.append("pending")
+                n += 1
+                if not fires and us - start >= self.for_us:
+                    fires = True
+                    states.append("firing")
+                yield from (Row(us=us, series=key[0], state=s, start_us=start, n_samples=n) for s in states)
+            elif start is not None:
+                yield Row(us=us, series=key[0], state="resolved", start_us=start, n_samples=n)
+                start = None
+        if start is None:
+            self.run.clear()
+        else:
+            self.run.update((start, n, fires))

@@ -9,7 +9,10 @@ queries here are checked against their batch twins.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.session import scratch_path
@@ -28,6 +31,31 @@ def file_stream(spark: SparkSession, folder: str, schema: T.StructType, fmt: str
     return r.load(folder)
 
 
+def landed(rows: DataFrame, name: str, ts: str = "ts") -> str:
+    """Write ``rows`` to a fresh folder for a stream to read, and a last row with nothing but a time one day later.
+
+    A source that has gone idle moves the watermark on with such a row, so that what waits in the state is folded.
+    """
+    spark = rows.sparkSession
+    folder = scratch_path(spark, name)
+    rows.write.parquet(folder)
+    last = spark.read.schema(rows.schema).parquet(folder).agg((F.max(ts) + F.expr("INTERVAL 1 DAY")).alias(ts)).first()[0]
+    if last is not None:
+        schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])
+        spark.createDataFrame([tuple(last if f.name == ts else None for f in schema)], schema).write.mode("append").parquet(folder)
+    return folder
+
+
+def arrivals(rows: DataFrame, folder: str, parts: int, arrival: Column) -> Iterator[int]:
+    """Write ``rows`` to ``folder`` in ``parts`` that follow each other in ``arrival``; yields after each part."""
+    held = rows.withColumn("_arrival", arrival)
+    cuts = held.approxQuantile("_arrival", [k / parts for k in range(1, parts)], 0.001)
+    for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None])):
+        part = held.filter((F.lit(True) if low is None else F.col("_arrival") >= low) & (F.lit(True) if high is None else F.col("_arrival") < high))
+        part.drop("_arrival").write.mode("append").parquet(folder)
+        yield k
+
+
 def use_rocksdb_state(spark: SparkSession) -> None:
     """State store for ``transformWithState`` (set before the query starts)."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)

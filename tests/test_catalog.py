@@ -9,27 +9,91 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline.operators import clean, metrics, profile
+from driftline.session import scratch_path
 from driftline.sources import catalog
+from driftline.sources.versions import Conflict, VersionedTable
 
 T0 = dt.datetime(2024, 1, 1)
 
 
+def _table(spark):
+    return VersionedTable(spark, scratch_path(spark, "versions"))
+
+
+def _ids(table):
+    return sorted(r["id"] for r in table.read().collect())
+
+
 def test_purge_drops_old_days_and_rewrites_the_edge(spark):
     rows = [(i, T0 + dt.timedelta(hours=7 * i)) for i in range(40)] + [(99, None)]
     df = spark.createDataFrame(rows, "id int, ts timestamp").withColumn("day", F.to_date("ts"))
-    name = catalog.table_name(spark, "purge")
-    catalog.replace_table(df, name, partition_by="day")
+    table = _table(spark)
+    table.append_days(df, "day")
+    table.append_days(df.filter("id % 2 = 0").withColumn("id", F.col("id") + 1000), "day")
     cutoff = T0 + dt.timedelta(days=3, hours=5)
-    left = catalog.purge_before(spark, name, "day", "ts", F.lit(cutoff))
-    assert {r["id"] for r in left.collect()} == {i for i, t in rows if t is None or t >= cutoff}
-    assert {r["id"] for r in spark.table(name).collect()} == {r["id"] for r in left.collect()}
+    table.purge_before("ts", F.lit(cutoff))
+    left = [i for i, t in rows if t is None or t >= cutoff]
+    assert _ids(table) == sorted(left + [i + 1000 for i in left if i % 2 == 0])
+    table.purge_before("ts", F.lit(cutoff))  # again: nothing changes
+    assert _ids(table) == sorted(left + [i + 1000 for i in left if i % 2 == 0])
 
 
 def test_purge_without_cutoff_or_rows(spark):
-    name = catalog.table_name(spark, "empty")
-    catalog.replace_table(spark.createDataFrame([], "id int, ts timestamp, day date"), name, partition_by="day")
-    assert catalog.purge_before(spark, name, "day", "ts", F.lit(T0)).count() == 0
-    assert catalog.purge_before(spark, name, "day", "ts", F.lit(None).cast("timestamp")).count() == 0
+    table = _table(spark)
+    assert table.purge_before("ts", F.lit(T0)).number == 0  # no version yet
+    table.append_days(spark.createDataFrame([], "id int, ts timestamp, day date"), "day")
+    table.purge_before("ts", F.lit(T0))
+    table.purge_before("ts", F.lit(None).cast("timestamp"))
+    assert table.read().count() == 0 and table.read().columns == ["id", "ts", "day"]
+
+
+@pytest.mark.parametrize("lost", ["write", "commit", "rename"])
+def test_a_lost_writer_leaves_either_state_whole(spark, monkeypatch, lost):
+    rows = [(i, T0 + dt.timedelta(hours=i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, ts timestamp").withColumn("day", F.to_date("ts"))
+    table = _table(spark)
+    table.append_days(df, "day")
+    table.set_property("forced", 0.25)
+    before = _ids(table)
+
+    class Lost(Exception):
+        pass
+
+    def gone(*args, **kwargs):
+        raise Lost
+
+    if lost == "rename":  # the draft is written, the step itself is not made
+        real = table._fs
+
+        class NoRename:
+            def __getattr__(self, name):
+                return gone if name == "rename" else getattr(real, name)
+        table._fs = NoRename()
+    else:
+        monkeypatch.setattr(table, lost, gone)
+    for change in (lambda: table.purge_before("ts", F.lit(T0 + dt.timedelta(hours=30))), lambda: table.replace(df.limit(3))):
+        with pytest.raises(Lost):
+            change()
+        fresh = VersionedTable(spark, table.root)
+        assert _ids(fresh) == before and fresh.manifest().properties == {"forced": 0.25}
+    fresh.purge_before("ts", F.lit(T0 + dt.timedelta(hours=30)))
+    assert _ids(fresh) == list(range(30, 60))
+    fresh.replace(df.limit(3))
+    assert len(_ids(fresh)) == 3 and not fresh.manifest().properties
+    assert fresh.vacuum() == [] and len(fresh.vacuum(older_than_hours=0)) >= 2 and len(_ids(fresh)) == 3
+
+
+def test_two_writers_cannot_take_one_version(spark):
+    table = _table(spark)
+    table.replace(spark.range(3))
+    base = table.manifest()
+    table.commit(base, base.folders, {"who": "first"}, base.schema)
+    with pytest.raises(Conflict):
+        table.commit(base, base.folders, {"who": "second"}, base.schema)
+    assert table.manifest().properties == {"who": "first"}
+    kept = table.manifest()
+    table.replace(spark.range(9))
+    assert table.read(kept).count() == 3 and table.read().count() == 9  # a reader keeps its version
 
 
 def test_replace_changes_the_schema_and_estimates_fall_back(spark):

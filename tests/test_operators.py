@@ -52,16 +52,15 @@ def test_restart_limiter_reproduces_recorded_events(spark):
 
 
 def test_restart_limiter_stream_processor_matches_batch(spark):
-    from driftline.streaming import processors
-    from driftline.streaming.runner import file_stream, run_available_now, use_rocksdb_state
+    from driftline.plans.streams import limited
+    from driftline.streaming.runner import file_stream, landed, run_available_now, use_rocksdb_state
     rows = [(i, c, _ts(t), "exited", "Exited unexpectedly") for i, (c, t, _) in enumerate(AGENT_EVENTS)]
-    df = spark.createDataFrame(rows, "event_id long, container string, ts timestamp, status string, incident string")
-    landing = _scratch(spark, "limiter-landing")
-    df.write.parquet(landing)
+    df = spark.createDataFrame(rows, "event_id long, container string, ts timestamp, status string, text string")
+    landing = landed(df, "limiter-landing")
     use_rocksdb_state(spark)
-    acted = (file_stream(spark, landing, df.schema).groupBy("container")
-             .transformWithState(processors.RestartLimiter(), processors.LIMITER_OUT, "Append", "None"))
-    out = run_available_now(acted, "limiter_test").orderBy("event_id").collect()
+    stream = file_stream(spark, landing, df.schema).withWatermark("ts", "10 minutes")
+    stream = stream.filter(F.when(F.col("ts").isNotNull(), F.col("text")).isNotNull())
+    out = run_available_now(limited(stream), "limiter_test").orderBy("event_id").collect()
     assert [r["action"] for r in out] == [a for _, _, a in AGENT_EVENTS]
     assert out[6]["message"] == "Exited unexpectedly; restart limit reached"
 
