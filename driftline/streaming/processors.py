@@ -48,10 +48,10 @@ class EventTimeFold(StatefulProcessor):
     """Folds a key's rows in event time, whatever order they come in within the watermark's delay.
 
     Input rows carry ``us`` (their time in microseconds, so no time zone is involved) and the fields of
-    ``WAITING``. Rows are appended to their bucket in chunks; a chunk is never read before it is due. A timer
-    stands at the earliest row of every bucket. When the watermark passes it, the bucket's rows up to the
-    watermark are folded, ordered by (time, event id); later ones wait on. Timers expire in time order, and
-    so do the buckets.
+    ``WAITING``. Rows are appended to their bucket in chunks; a bucket is never read before rows of it are due
+    or more come in. A short index holds the earliest time of each waiting bucket, and a timer stands at the
+    earliest of all. When the watermark passes it, the buckets that are due are read one after the other
+    and their rows up to the watermark folded, ordered by (time, event id); later ones wait on.
     """
 
     bucket_us = 60_000_000
@@ -60,10 +60,12 @@ class EventTimeFold(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         bucket = T.StructField("bucket", T.LongType())
+        longs = T.ArrayType(T.LongType())
         self.handle = handle
+        self.index = handle.getValueState("index", T.StructType([T.StructField("buckets", longs), T.StructField("firsts", longs)]))
+        # the first chunk of a bucket, with the number of those that follow it
+        self.buckets = handle.getMapState("buckets", T.StructType([bucket]), T.StructType([T.StructField("more", T.IntegerType()), *CHUNK.fields]))
         self.chunks = handle.getMapState("chunks", T.StructType([bucket, T.StructField("number", T.IntegerType())]), CHUNK)
-        self.buckets = handle.getMapState("buckets", T.StructType([bucket]), T.StructType(
-            [T.StructField("chunks", T.IntegerType()), T.StructField("first", T.LongType()), *CHUNK.fields]))
         self.open(handle)
 
     def open(self, handle: StatefulProcessorHandle) -> None:
@@ -72,19 +74,40 @@ class EventTimeFold(StatefulProcessor):
     def fold(self, key, rows):
         raise NotImplementedError
 
-    def _append(self, bucket: int, rows: list[tuple]) -> None:
-        n, first, *head = self.buckets.getValue((bucket,)) or (0, None)
-        earliest = min(r[0] for r in rows)
-        if first is None or earliest < first:
-            first = earliest
+    def _waiting(self) -> dict[int, int]:
+        return dict(zip(*self.index.get())) if self.index.exists() else {}
+
+    def _keep(self, waiting: dict[int, int], alarm: int | None) -> None:
+        """Write the index; ``alarm`` is the time that a timer stands at already."""
+        if not waiting:
+            self.index.clear()
+            return
+        self.index.update((list(waiting), list(waiting.values())))
+        first = min(waiting.values())
+        if alarm is None or first < alarm:
             self.handle.registerTimer(-(-first // 1000))
-        rows = [*zip(*head), *rows]  # the first chunk stands with the bucket and is filled up
+
+    def _append(self, waiting: dict[int, int], bucket: int, rows: list[tuple]) -> None:
+        more, *head = self.buckets.getValue((bucket,)) if bucket in waiting else (0,)
+        earliest = min(r[0] for r in rows)
+        waiting[bucket] = min(earliest, waiting.get(bucket, earliest))
+        rows = [*zip(*head), *rows]
         for at in range(self.chunk_rows, len(rows), self.chunk_rows):
-            self.chunks.updateValue((bucket, n), _columns(rows[at:at + self.chunk_rows]))
-            n += 1
-        self.buckets.updateValue((bucket,), (n, first, *_columns(rows[:self.chunk_rows])))
+            self.chunks.updateValue((bucket, more), _columns(rows[at:at + self.chunk_rows]))
+            more += 1
+        self.buckets.updateValue((bucket,), (more, *_columns(rows[:self.chunk_rows])))
+
+    def _take(self, bucket: int) -> list[tuple]:
+        more, *head = self.buckets.getValue((bucket,))
+        rows = [*zip(*head), *(row for i in range(more) for row in zip(*self.chunks.getValue((bucket, i))))]
+        for i in range(more):
+            self.chunks.removeKey((bucket, i))
+        self.buckets.removeKey((bucket,))
+        return rows
 
     def handleInputRows(self, key, rows, timerValues):
+        waiting = self._waiting()
+        alarm = min(waiting.values(), default=None)
         held: dict[int, list[tuple]] = {}
         n = 0
         for r in rows:
@@ -92,29 +115,26 @@ class EventTimeFold(StatefulProcessor):
             n += 1
             if n == self.held_rows:
                 for bucket, some in held.items():
-                    self._append(bucket, some)
+                    self._append(waiting, bucket, some)
                 held, n = {}, 0
         for bucket, some in held.items():
-            self._append(bucket, some)
+            self._append(waiting, bucket, some)
+        self._keep(waiting, alarm)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        at = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        # the timer's millisecond is rounded up and may lie in the next bucket
-        for bucket in sorted({(at - 999) // self.bucket_us, at // self.bucket_us}):
-            found = self.buckets.getValue((bucket,))
-            if found is None or found[1] > passed:
-                continue
-            n, _, *head = found
-            rows = [*zip(*head), *(row for i in range(n) for row in zip(*self.chunks.getValue((bucket, i))))]
-            for i in range(n):
-                self.chunks.removeKey((bucket, i))
-            self.buckets.removeKey((bucket,))
+        waiting = self._waiting()
+        due = sorted(b for b, first in waiting.items() if first <= passed)
+        for bucket in due:
+            rows = self._take(bucket)
+            del waiting[bucket]
             later = [r for r in rows if r[0] > passed]
             if later:
-                self._append(bucket, later)
+                self._append(waiting, bucket, later)
             yield from self.fold(key, sorted((r for r in rows if r[0] <= passed), key=lambda r: r[:2]))
+        if due:
+            self._keep(waiting, None)
 
     def close(self) -> None:
         pass

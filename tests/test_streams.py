@@ -62,18 +62,33 @@ def test_alert_stream_with_files_out_of_order(spark, monkeypatch, bucket_us, chu
     assert sorted(map(tuple, out.collect())) == plain_alerts(rows, 0.5, 900)
 
 
-def test_a_timer_reads_only_what_is_due(spark):
-    """The fold's own calls, against a state that counts what it hands out."""
+def test_a_timer_reads_only_what_is_due():
+    """The fold's own calls, against a state that notes the buckets it hands out."""
     read, timers, handing_out = [], [], []
 
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+        def clear(self):
+            self.held = None
+
     class Map:
         def __init__(self):
             self.held = {}
 
         def getValue(self, key):
-            if key in self.held and handing_out:
+            if handing_out:
                 read.append(key[0])
-            return self.held.get(key)
+            return self.held[key]
 
         def updateValue(self, key, value):
             self.held[key] = value
@@ -83,13 +98,16 @@ def test_a_timer_reads_only_what_is_due(spark):
 
     class Handle:
         getMapState = staticmethod(lambda *a: Map())
+        getValueState = staticmethod(lambda *a: Value())
         registerTimer = staticmethod(timers.append)
 
     class Times:
         def __init__(self, ms):
-            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+            self.getCurrentWatermarkInMs = lambda: ms
 
     class Collect(processors.EventTimeFold):
+        chunk_rows = 7
+
         def open(self, handle):
             pass
 
@@ -98,14 +116,19 @@ def test_a_timer_reads_only_what_is_due(spark):
 
     fold, seen = Collect(), []
     fold.init(Handle())
-    rows = [{"us": k * 1_000_000, "event_id": k, "text": None, "status": None, "number": 1.0} for k in range(6000)]
+    rows = [{"us": k * 1_000_000, "event_id": k, "text": None, "status": None, "number": 1.0} for k in range(1, 6000)]
     random.Random(1).shuffle(rows)
-    list(fold.handleInputRows(("k",), iter(rows), None))
+    for k in range(0, len(rows), 500):
+        list(fold.handleInputRows(("k",), iter(rows[k:k + 500]), None))
     handing_out.append(True)
-    for ms in sorted(timers):
-        if ms <= 600_000:
-            seen += fold.handleExpiredTimer(("k",), Times(600_000), Times(ms))
-    assert [r[1] for r in seen] == list(range(601)) and set(read) <= set(range(11))
+    assert timers[-1] <= 1000 * min(r["event_id"] for r in rows)
+    for ms in (600_500, 600_500, 3_000_000, 10**9):
+        del read[:]
+        before = len(seen)
+        seen += fold.handleExpiredTimer(("k",), Times(ms), None)
+        assert set(read) <= set(range((before + 1) // 60, ms // 60_000 + 1))
+        assert len(seen) == min(5999, ms // 1000)
+    assert [r[1] for r in seen] == list(range(1, 6000)) and timers[-1] == 3_001_000
 
 
 def test_top_of_window(spark):
