@@ -11,7 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +23,8 @@ from driftline.session import cut_lineage
 P_THRESHOLD = 0.05
 DATASET_SHARE = 0.3
 KS_TERMS = 100
+#: The exact p-value is used up to this size of the larger sample.
+EXACT_SAMPLES = 10_000
 
 
 def common_numeric_features(ref: DataFrame, cur: DataFrame, min_count: int = 10) -> list[str]:
@@ -56,9 +60,14 @@ def ks_statistic(ref: DataFrame, cur: DataFrame, features: Sequence[str] | None
     """Per feature ``D = max_x |F_ref(x) - F_cur(x)|`` with the sample sizes."""
     if features is None:
         features = common_numeric_features(ref, cur)
+    return ks_of_counts(value_counts(ref, cur, features), buckets)
+
+
+def ks_of_counts(counts: DataFrame, buckets: int = 64) -> DataFrame:
+    """A13 from (feature, value, n_ref, n_cur), one row per distinct value; a feature with an empty side has no score."""
     # distinct (feature, value) counts feed four consumers; written once to the
     # shared checkpoint folder instead of re-aggregating the input for each
-    counts = cut_lineage(value_counts(ref, cur, features))
+    counts = cut_lineage(counts)
     cum = running_sum(counts, ["feature"], ["value"], ["n_ref", "n_cur"], buckets=buckets, few_keys=True)
     tot = counts.groupBy("feature").agg(F.sum("n_ref").alias("tot_ref"), F.sum("n_cur").alias("tot_cur"))
     gap = cum.join(F.broadcast(tot), "feature").select(  # a row for each feature
@@ -82,6 +91,51 @@ def ks_pvalue_expr(d: str = "drift_score", n: str = "n_ref", m: str = "n_cur"):
     return F.when(lam < 0.2, F.lit(1.0)).otherwise(p)
 
 
+def _share_of_paths(n: int, m: int, h: int) -> float:
+    """Share of the lattice paths from (0, 0) to (n, m) with a point (i, j) where |i*m - j*n| >= h.
+
+    A random path is followed diagonal by diagonal: ``at[i]`` is the chance to be at (i, k - i) without having
+    touched such a point. What steps onto one is added up, so small shares come without cancellation and no
+    number leaves the range of doubles.
+    """
+    if h <= 0:
+        return 1.0
+    i = np.arange(n + 1)
+    at = np.zeros(n + 1)
+    at[0], touched = 1.0, 0.0
+    for k in range(n + m):
+        left = n + m - k
+        right = at * np.maximum(m - (k - i), 0) / left  # to (i, j + 1)
+        up = at * (n - i) / left  # to (i + 1, j)
+        at = right
+        at[1:] += up[:-1]
+        outside = np.abs(i * m - (k + 1 - i) * n) >= h
+        touched += at[outside].sum()
+        at[outside] = 0.0
+    return float(min(1.0, touched))
+
+
+def ks_pvalue_exact(d: Column, n: Column, m: Column) -> Column:
+    """A14 for small samples: the chance of a gap of at least ``d`` under equal distributions, by counting lattice paths.
+
+    Takes n*m steps a row, so it belongs on result rows (one per feature) with bounded n and m; null gives null.
+    """
+    @F.pandas_udf("double")
+    def share(gap: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(g) or pd.isna(x) or pd.isna(y) or not x or not y
+                          else _share_of_paths(min(int(x), int(y)), max(int(x), int(y)), round(g * x * y))
+                          for g, x, y in zip(gap, a, b)], dtype="float64")
+
+    return share(d, n, m)
+
+
+def with_pvalue(ks: DataFrame, exact_samples: int = EXACT_SAMPLES) -> DataFrame:
+    """``p_value`` exact where neither sample is larger than ``exact_samples``, else by the limiting series."""
+    small = F.greatest("n_ref", "n_cur") <= exact_samples
+    exact = ks_pvalue_exact(F.when(small, F.col("drift_score")), F.col("n_ref").cast("double"), F.col("n_cur").cast("double"))
+    return ks.withColumn("_exact", exact).withColumn("p_value", F.when(small, F.col("_exact")).otherwise(ks_pvalue_expr())).drop("_exact")
+
+
 def feature_drift(ref: DataFrame, cur: DataFrame, features: Sequence[str] | None = None,
                   forced_pct: float | None = None) -> DataFrame:
     """Per feature score, p-value and flag (forced offset moves the score only)."""

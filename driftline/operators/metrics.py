@@ -56,6 +56,51 @@ def sliding_increase(df: DataFrame, series: Sequence[str], order: Sequence[str],
             .filter(F.col("_n") >= 2).drop("_n"))
 
 
+EXTRAPOLATION_LIMIT = 1.1
+
+
+def range_rate(df: DataFrame, series: Sequence[str], order: Sequence[str], value: str, step: str, range_steps: int, step_seconds: int,
+               chunk: Column | None = None) -> DataFrame:
+    """W1 with the edge rule of ``rate()``: per second over ``[eval_at - range, eval_at)`` at every step ``eval_at``.
+
+    The increase between the first and last sample of a range is carried on to the range's edges: to an edge
+    that is nearer than 1.1 mean gaps between the samples, else by half a mean gap; before the first
+    sample no further than to where the counter would have been zero. ``increase`` is the sampled increase, ``rate``
+    the extrapolated one per second. Ranges with fewer than two samples or no time between them have no row.
+    Samples are summed per step first, so only step rows are spread over ranges.
+    """
+    series = list(series)
+    x = lag_exact(df, series, order, [value], chunk if chunk is not None else time_chunk(order[0]), prefix="_prev_")
+    v, p = F.col(value), F.col(f"_prev_{value}")
+    inc = F.when(p.isNull(), F.lit(0)).when(v >= p, v - p).otherwise(v)
+    place = F.struct(*[F.col(c) for c in order])
+    per = x.groupBy(*series, step).agg(
+        F.sum(inc).alias("_inc"), F.count(F.lit(1)).alias("_n"), F.max(order[0]).alias("_last"),
+        F.min_by(F.struct(inc.alias("into"), F.col(order[0]).alias("ts"), v.cast("double").alias("v")), place).alias("_first"))
+    one = F.make_dt_interval(secs=F.lit(step_seconds))
+    spread = per.withColumn("eval_at", F.explode(F.sequence(F.col(step) + one, F.col(step) + one * range_steps, one)))
+    r = (spread.groupBy(*series, "eval_at")
+         .agg((F.sum("_inc") - F.min_by("_first.into", step)).alias("increase"), F.sum("_n").alias("_n"), F.max("_last").alias("_last"),
+              F.min_by("_first", step).alias("_first")).filter(F.col("_n") >= 2))
+
+    def seconds(ts: Column) -> Column:
+        return F.unix_micros(ts) / F.lit(1e6)
+
+    width = float(range_steps * step_seconds)
+    sampled = seconds(F.col("_last")) - seconds(F.col("_first.ts"))
+    r = r.withColumn("_sampled", sampled).filter(F.col("_sampled") > 0).withColumn("_gap", F.col("_sampled") / (F.col("_n") - 1))
+    limit = F.col("_gap") * EXTRAPOLATION_LIMIT
+
+    def carried(distance: Column) -> Column:
+        return F.when(distance < limit, distance).otherwise(F.col("_gap") / 2)
+
+    start = carried(seconds(F.col("_first.ts")) - (seconds(F.col("eval_at")) - F.lit(width)))
+    to_zero = F.when((F.col("increase") > 0) & (F.col("_first.v") >= 0), F.col("_sampled") * F.col("_first.v") / F.col("increase"))
+    end = carried(seconds(F.col("eval_at")) - seconds(F.col("_last")))
+    total = F.col("_sampled") + F.least(start, F.coalesce(to_zero, start)) + end
+    return r.select(*series, "eval_at", "increase", (F.col("increase") * (total / F.col("_sampled")) / F.lit(width)).alias("rate"))
+
+
 def per_second(increase: str | Column, seconds: int, digits: int = 9) -> Column:
     """Increase over the range / range seconds."""
     c = F.col(increase) if isinstance(increase, str) else increase

@@ -171,3 +171,35 @@ def drift_forced_reset(spark, sf):
     before = cut_lineage(scores("before"))  # a row for each feature, read before the table changes
     table.replace(cur.select(*FEATURES))  # one step: the new sample, without the forced drift
     return before.unionByName(scores("after"))
+
+
+EXACT_GROUPS = 60
+
+# An independent count: whole numbers of paths that stay inside the band, row by row, over all paths.
+_EXACT_SQL = f"""
+WITH RECURSIVE e AS (SELECT CAST(user_id % {EXACT_GROUPS} AS VARCHAR) AS feature, value, day(ts) > 15 AS is_cur FROM events WHERE value IS NOT NULL),
+c AS (SELECT feature, value, count(*) FILTER (NOT is_cur) AS r, count(*) FILTER (is_cur) AS q FROM e GROUP BY feature, value),
+a AS (SELECT feature, sum(r) OVER w AS r, sum(q) OVER w AS q, sum(r) OVER (PARTITION BY feature) AS n, sum(q) OVER (PARTITION BY feature) AS m
+      FROM c WINDOW w AS (PARTITION BY feature ORDER BY value)),
+s AS (SELECT feature, CAST(n AS BIGINT) AS n, CAST(m AS BIGINT) AS m, CAST(max(abs(r * m - q * n)) AS BIGINT) AS h FROM a WHERE n > 0 AND m > 0 GROUP BY feature, n, m),
+p AS (
+  SELECT feature, n, m, h, CAST(0 AS BIGINT) AS i, list_transform(range(m + 1), lambda j: CASE WHEN j * n < h THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS u FROM s
+  UNION ALL
+  SELECT feature, n, m, h, i + 1,
+         list_transform(range(m + 1), lambda j: CASE WHEN abs((i + 1) * m - j * n) < h THEN
+           list_sum(list_transform(range(j + 1), lambda l: CASE WHEN abs((i + 1) * m - l * n) < h THEN u[l + 1] ELSE 0.0::DOUBLE END)) ELSE 0.0::DOUBLE END)
+  FROM p WHERE i < n)
+SELECT feature, n AS n_ref, m AS n_cur, round(h / (n * m), 9) AS drift_score,
+       round(1 - u[m + 1] / exp(lgamma(n + m + 1) - lgamma(n + 1) - lgamma(m + 1)), 6) AS p_value
+FROM p WHERE i = n"""
+
+
+@query("drift_pvalue_exact", _EXACT_SQL)
+def drift_pvalue_exact(spark, sf):
+    """A14 on small samples: the values of user groups before and after the middle of the month, exact p-values."""
+    ev = Tables(spark, sf).events.filter(F.col("value").isNotNull())
+    late = F.dayofmonth("ts") > 15
+    counts = ev.groupBy((F.col("user_id") % EXACT_GROUPS).cast("string").alias("feature"), "value").agg(
+        F.count_if(~late).alias("n_ref"), F.count_if(late).alias("n_cur"))
+    ks = drift.with_pvalue(drift.ks_of_counts(counts).filter((F.col("n_ref") > 0) & (F.col("n_cur") > 0)))
+    return ks.select("feature", "n_ref", "n_cur", F.round("drift_score", 9).alias("drift_score"), F.round("p_value", 6).alias("p_value"))

@@ -104,6 +104,32 @@ def counter_rate_range(spark, sf):
                       metrics.per_second("increase", RANGE_STEPS * STEP_SECONDS).alias("rate"))
 
 
+@query("counter_rate_edges", f"""
+WITH {REQ_SQL},
+steps AS (SELECT DISTINCT job, status, step + to_hours(CAST(i AS INTEGER)) AS eval_at FROM ctr, range(1, {RANGE_STEPS} + 1) t(i)),
+w AS (
+  SELECT s.job, s.status, s.eval_at, requests_total AS v, epoch_us(ts) / 1e6 AS t, epoch_us(s.eval_at) / 1e6 AS t_end,
+         lag(requests_total) OVER (PARTITION BY s.job, s.status, s.eval_at ORDER BY ts, event_id) AS p,
+         first_value(requests_total) OVER (PARTITION BY s.job, s.status, s.eval_at ORDER BY ts, event_id) AS v0
+  FROM steps s JOIN ctr c ON s.job = c.job AND s.status = c.status
+   AND c.ts >= s.eval_at - INTERVAL {RANGE_STEPS} HOUR AND c.ts < s.eval_at),
+g AS (SELECT job, status, eval_at, t_end, any_value(v0) AS v0, count(*) AS n, min(t) AS a, max(t) AS b,
+             sum(CASE WHEN p IS NULL THEN 0 WHEN v >= p THEN v - p ELSE v END) AS increase
+      FROM w GROUP BY job, status, eval_at, t_end HAVING count(*) >= 2 AND max(t) > min(t)),
+h AS (SELECT *, (b - a) / (n - 1) AS gap, a - (t_end - {RANGE_STEPS * STEP_SECONDS}) AS to_start, t_end - b AS to_end FROM g),
+k AS (SELECT *, CASE WHEN to_start >= 1.1::DOUBLE * gap THEN gap / 2 ELSE to_start END AS s0, CASE WHEN to_end >= 1.1::DOUBLE * gap THEN gap / 2 ELSE to_end END AS s1 FROM h)
+SELECT job, status, eval_at, CAST(increase AS BIGINT) AS increase,
+       round(increase * ((b - a) + CASE WHEN increase > 0 AND v0 >= 0 AND (b - a) * v0 / increase < s0 THEN (b - a) * v0 / increase ELSE s0 END + s1)
+             / (b - a) / {RANGE_STEPS * STEP_SECONDS}, 9) AS rate
+FROM k
+""")
+def counter_rate_edges(spark, sf):
+    """W1 with extrapolation to the range's edges: rate over the last four hours, at every hour."""
+    r = metrics.range_rate(request_counter(requests(spark, sf)), ["job", "status"], ["ts", "event_id"], "requests_total", "step",
+                           RANGE_STEPS, STEP_SECONDS)
+    return r.select("job", "status", "eval_at", F.col("increase").cast("bigint").alias("increase"), F.round("rate", 9).alias("rate"))
+
+
 @query("rps_by_status", f"""
 WITH {REQ_SQL}, {_inc_sql("job, status", "requests_total", "inc")}
 SELECT step, status, round(sum(increase) / {STEP_SECONDS}.0, 9) AS rps FROM inc GROUP BY step, status

@@ -145,3 +145,60 @@ def test_gauge_series_has_the_newest_value_of_every_step(spark):
         want[r["event_type"], step] = max(want.get((r["event_type"], step), (dt.datetime.min, -1, 0.0)), (r["ts"], r["event_id"], r["value"]))
     got = {(r["series"], r["step"]): (r["ts_latest"], r["value"]) for r in E.queries()["metric_series"](spark, sf).collect()}
     assert got == {k: (t, v) for k, (t, _i, v) in want.items()} and len(got) > 100
+
+
+def test_range_rate_against_every_window(spark):
+    """Ranges with gaps at either edge, resets and counters that start near zero, by the rule written out in a loop."""
+    rng = random.Random(9)
+    rows, value, t = [], 0, 0.0
+    for i in range(120):
+        t += rng.choice([20, 300, 5000])  # dense and sparse stretches
+        value = 0 if rng.random() < 0.1 else value + rng.randrange(5)
+        rows.append(("s", T0 + dt.timedelta(seconds=t), i, value))
+    df = spark.createDataFrame(rows, "s string, ts timestamp, i int, v int").withColumn("step", F.date_trunc("hour", "ts"))
+    got = {r["eval_at"]: (r["increase"], round(r["rate"], 9)) for r in metrics.range_rate(df, ["s"], ["ts", "i"], "v", "step", 3, 3600).collect()}
+    want, carried = {}, set()
+    for h in range(int(t // 3600) + 5):
+        at = T0 + dt.timedelta(hours=h)
+        inside = [(x.timestamp(), v) for _, x, _, v in rows if at - dt.timedelta(hours=3) <= x < at]
+        if len(inside) < 2:
+            continue
+        (a, v0), (b, _) = inside[0], inside[-1]
+        inc = sum(y - x if y >= x else y for (_, x), (_, y) in zip(inside, inside[1:]))
+        gap = (b - a) / (len(inside) - 1)
+        start, end = a - (at.timestamp() - 3 * 3600), at.timestamp() - b
+        carried |= {("start", start < 1.1 * gap), ("end", end < 1.1 * gap)}
+        start, end = (x if x < 1.1 * gap else gap / 2 for x in (start, end))
+        if inc > 0 and (b - a) * v0 / inc < start:
+            start = (b - a) * v0 / inc
+            carried.add("zero")
+        want[at] = inc, round(inc * (b - a + start + end) / (b - a) / (3 * 3600), 9)
+    assert len(carried) == 5 and set(got) == set(want)
+    assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=2e-9) for k in want)
+
+
+def test_exact_pvalue_counts_paths(spark):
+    from math import comb
+
+    from driftline.operators import drift
+
+    def share(n, m, h):
+        """Paths inside the band as whole numbers."""
+        row = [1 if j * n < h else 0 for j in range(m + 1)]
+        row = [int(all(row[:j + 1])) for j in range(m + 1)]
+        for i in range(1, n + 1):
+            new = []
+            for j in range(m + 1):
+                new.append(0 if abs(i * m - j * n) >= h else row[j] + (new[j - 1] if j else 0))
+            row = new
+        return 1 - row[m] / comb(n + m, n)
+
+    cases = [(n, m, h) for n in (1, 2, 3, 5, 8) for m in (1, 2, 4, 7, 12) for h in range(0, n * m + 1)]
+    for n, m, h in cases:
+        assert drift._share_of_paths(n, m, h) == pytest.approx(share(n, m, h) if h else 1.0, abs=1e-12), (n, m, h)
+    assert drift._share_of_paths(120, 300, 120 * 300) == pytest.approx(2 / comb(420, 120), rel=1e-9)  # tiny shares stay exact
+    big = drift._share_of_paths(3000, 3000, round(0.03 * 3000 * 3000))
+    assert big == pytest.approx(0.133, abs=0.01)  # the limiting series gives 0.134
+    d = spark.createDataFrame([("a", 0.5, 4, 6), ("b", 0.5, 40_000, 60_000), ("c", None, 4, 6)], "feature string, drift_score double, n_ref long, n_cur long")
+    p = {r["feature"]: r["p_value"] for r in drift.with_pvalue(d).collect()}
+    assert p["a"] == pytest.approx(share(4, 6, 12)) and p["b"] == 0.0 and p["c"] is None
