@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftline.plans.registry import query
 from driftline.schemas import TABLES
-from driftline.session import scratch_path
+from driftline.session import cut_lineage, scratch_path
 from driftline.sources import delimited
 from driftline.sources.tables import Tables
 
@@ -68,6 +68,38 @@ def csv_header_lines(spark, sf):
     return t.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "note", "o_orderstatus")
 
 
+SPLIT_BYTES = 1 << 16
+
+
+@query("csv_quoted_breaks", """
+SELECT CASE WHEN o_orderkey % 50 = 7 THEN 'key' ELSE CAST(o_orderkey AS VARCHAR) END AS key,
+       CASE WHEN o_orderkey % 50 = 7 THEN 'note'
+            WHEN o_orderkey % 3 = 0 THEN 'first; line' || chr(10) || 'second "' || o_orderpriority || '" line' || chr(10) || chr(10) || 'end'
+            WHEN o_orderkey % 3 = 1 THEN o_orderpriority ELSE NULL END AS note,
+       CASE WHEN o_orderkey % 50 = 7 THEN 'status' WHEN o_orderkey % 3 = 2 THEN NULL ELSE o_orderstatus END AS status
+FROM orders WHERE o_orderkey % 50 = 7 OR o_orderkey % 11 <> 0
+""")
+def csv_quoted_breaks(spark, sf):
+    """S2 with line breaks, separators and quotes inside quoted fields, over several splits of each file: surplus fields are
+    skipped, short records padded, and data rows that read like the header are kept."""
+    o = Tables(spark, sf).orders
+    key, quote = F.col("o_orderkey").cast("string"), F.lit('"')
+    note = F.concat(quote, F.lit('first; line\nsecond ""'), "o_orderpriority", F.lit('"" line\n\nend'), quote)
+    record = (F.when(F.col("o_orderkey") % 3 == 0, F.concat_ws(";", key, note, "o_orderstatus"))
+              .when(F.col("o_orderkey") % 3 == 1, F.concat_ws(";", key, "o_orderpriority", "o_orderstatus")).otherwise(key))
+    record = F.when(F.col("o_orderkey") % 11 == 0, F.concat(record, F.lit(';;;x;"y\nz"'))).otherwise(record)
+    record = F.when(F.col("o_orderkey") % 50 == 7, F.lit("key;note;status")).otherwise(record)
+    path = scratch_path(spark, "quoted")
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # every file begins with the header
+    o.select(F.when(first, F.concat(F.lit("key;note;status\n"), record)).otherwise(record).alias("value")).write.text(f"{path}/files")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(SPLIT_BYTES))
+    try:
+        return cut_lineage(delimited.read_skip_long_lines(spark, f"{path}/files", sep=";", header=True, breaks=True))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
 @query("encoding_fallback", """
 SELECT p_partkey, 'pièce ' || p_name AS label FROM part
 """)

@@ -438,3 +438,49 @@ def test_bootstrap_preserves_marginals(spark):
         assert set(got) <= set(want)
         # each share within 5 binomial standard errors of the source share
         assert all(abs(got.get(v, 0.0) - p) <= 5 * (p * (1 - p) / n) ** 0.5 for v, p in want.items())
+
+
+# ---------------------------------------------------------------- records with line breaks
+
+@pytest.mark.parametrize("split", [13, 64, 1 << 20])
+def test_quoted_records_over_splits_match_a_csv_reader(spark, monkeypatch, tmp_path, split):
+    import csv
+    import random
+
+    from driftline.sources import delimited
+    monkeypatch.setattr(delimited, "MAX_RECORD_CHARS", 400)
+    rng = random.Random(split)
+    want = []
+    for k in range(3):
+        records, text = [], "a;b;c\n"
+        for i in range(40):
+            fields = ["".join(rng.choice('xy;\n"é ') for _ in range(rng.randrange(12))) for _ in range(rng.choice([2, 3, 3, 3, 4]))]
+            if i == 5:
+                fields = ["a", "b", "c"]  # like the header
+            if i == 9:
+                fields = ["w" * 500 + "\n", "", ""]  # longer than a record may be
+            text += ";".join(f if f.isalnum() else '"' + f.replace('"', '""') + '"' for f in fields) + "\n"
+            records.append(fields)
+        path = tmp_path / f"part{k}.csv"
+        path.write_text(text, newline="")
+        with open(path, newline="") as f:
+            read = list(csv.reader(f, delimiter=";"))[1:]
+        assert read == records
+        want += [tuple((v or None) for v in (r + [""] * 3)[:3]) for r in read if len(r) <= 3 and len(r[0]) < 400]
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = delimited.read_skip_long_lines(spark, str(tmp_path), sep=";", header=True, breaks=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", was[1])
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_rows_like_the_header_are_data(spark, tmp_path):
+    from driftline.sources import delimited
+    for k in range(2):
+        (tmp_path / f"f{k}.csv").write_text("a;b\n1;2\na;b\n")
+    got = delimited.read_skip_long_lines(spark, str(tmp_path), sep=";", header=True).collect()
+    assert sorted(map(tuple, got)) == [("1", "2")] * 2 + [("a", "b")] * 2
