@@ -191,10 +191,12 @@ def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: st
     need = list(dict.fromkeys([*own, lang, source]))
     counts = staged(figures(docs, text=text, carry=need), "quality")
     limits = thresholds(sketches(counts, [lang, source], rules), lang, source, rules, min_group)
-    on = named(lang).eqNullSafe(F.col("g_lang")) & named(source).eqNullSafe(F.col("g_source"))
+    limits = limits.toDF(*fresh(counts, *limits.columns))
+    of_lang, of_source, *of_rules = limits.columns
+    on = named(lang).eqNullSafe(named(of_lang)) & named(source).eqNullSafe(named(of_source))
     ok = F.lit(True)
-    for r in rules:
-        ok = ok & (figure(r) <= F.coalesce(F.col(f"limit_{r.name}"), F.lit((1 << 62))))
+    for r, limit in zip(rules, of_rules):
+        ok = ok & (figure(r) <= F.coalesce(named(limit), F.lit((1 << 62))))
     kept = [c for c in own if c in counts.columns]
     names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
     return join_checked(counts, limits, on).select(

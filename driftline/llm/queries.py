@@ -78,7 +78,7 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 MIX_SQL = rf"""
 WITH d AS (
-  SELECT doc_id, source, len({_WORDS})::BIGINT AS size,
+  SELECT row_number() OVER () AS rid, doc_id, source, len({_WORDS})::BIGINT AS size,
          ('0x' || substr(md5(concat_ws('|', coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, ''))), 'mix')), 1, 15))::BIGINT AS draw
   FROM documents
 ), s AS (
@@ -94,15 +94,15 @@ WITH d AS (
   SELECT *, least(ceiling, coalesce((SELECT arg_min(level, (ratio, rank)) FROM l WHERE level < ratio) * weight, ceiling)) AS target FROM l
 ), e AS (
   SELECT d.*, t.rank, t.source_size, t.target, t.total, k.k,
-         (k.k * t.source_size + sum(d.size) OVER (PARTITION BY t.rank, k.k ORDER BY d.draw, d.size))::DOUBLE / t.target AS finish
+         (k.k * t.source_size + sum(d.size) OVER (PARTITION BY t.rank, k.k ORDER BY d.draw, d.size, d.rid ROWS UNBOUNDED PRECEDING))::DOUBLE / t.target AS finish
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source CROSS JOIN (VALUES (0), (1)) k(k)
 ), x AS (
-  SELECT *, sum(CASE WHEN size > 0 THEN size ELSE 0 END) OVER (ORDER BY finish, rank, draw, size, k) AS upto FROM e
+  SELECT *, sum(CASE WHEN size > 0 THEN size ELSE 0 END) OVER (ORDER BY finish, rank, draw, size, k, rid ROWS UNBOUNDED PRECEDING) AS upto FROM e
 )
 SELECT doc_id, any_value(size)::BIGINT AS size, any_value(source_size)::BIGINT AS source_size, any_value(target) AS target,
        sum(CASE WHEN size > 0 AND upto <= 1.5::DOUBLE * total THEN size ELSE 0 END)::BIGINT AS taken, any_value(source) AS source,
        sum(CASE WHEN size > 0 AND upto <= 1.5::DOUBLE * total THEN 1 ELSE 0 END)::INTEGER AS copies
-FROM x GROUP BY doc_id, source, draw
+FROM x GROUP BY rid, doc_id
 """
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filters.ADDRESS_RULES)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from driftline.llm.common import map_arrow
+from driftline.llm.common import fresh, map_arrow
 
 ALPHA = 1.0
 SEED = 7
@@ -290,9 +290,15 @@ def lattices(path: str, alpha: float = ALPHA) -> Lattices:
 
 def encode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", out: str = "pieces",
            lossless: str | None = None, keep: Sequence[str] | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """The columns in ``keep`` (all), the sampled pieces as array<int>, and whether decoding them gives the text."""
+    """The columns in ``keep`` (all), the sampled pieces as array<int>, and whether decoding them gives the text.
+
+    A carried column that has the name of a result, in upper or lower case, is carried as ``own_`` and its name.
+    """
     kept = [docs.schema[c] for c in (docs.columns if keep is None else keep)]
-    names = [*[f.name for f in kept], out, *([lossless] if lossless else [])]
+    results = {out.lower(), *([lossless.lower()] if lossless else [])}
+    clash = [f.name for f in kept if f.name.lower() in results]
+    carried = dict(zip(clash, fresh(docs, *[f"own_{c}" for c in clash])))
+    names = [*[carried.get(f.name, f.name) for f in kept], out, *([lossless] if lossless else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattices(path, alpha)
@@ -307,7 +313,7 @@ def encode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text
                                      pa.bool_()))
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    fields = [*kept, T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(lossless, T.BooleanType())] if lossless else [])]
+    fields = [*[T.StructField(carried.get(f.name, f.name), f.dataType) for f in kept], T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(lossless, T.BooleanType())] if lossless else [])]
     return map_arrow(docs, run, T.StructType(fields))
 
 

@@ -311,11 +311,12 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("rid"))
     first = marked.groupBy("fp").agg(F.min(order).alias("o"))
     of_root = first.join(rooted(marked, max_bits=max_bits, rows=rows), "fp").groupBy("root").agg(F.min("o").alias("o"))
-    kept = cut_lineage(of_root.select(F.col("o.rid").alias("kept_rid")))
-    dropped = marked.join(kept, F.col("rid") == F.col("kept_rid"), "left_anti").select(F.col("rid").alias("dropped_rid"))
+    kept_rid, dropped_rid = fresh(full, "kept_rid", "dropped_rid")
+    kept = cut_lineage(of_root.select(F.col("o.rid").alias(kept_rid)))
+    dropped = marked.join(kept, F.col("rid") == named(kept_rid), "left_anti").select(F.col("rid").alias(dropped_rid))
     if full.count() <= 2 * kept.count():
         dropped = cut_lineage(dropped)
-        rest = join_checked(full, dropped, named(rid) == F.col("dropped_rid"), "left_anti")
+        rest = join_checked(full, dropped, named(rid) == named(dropped_rid), "left_anti")
     else:
-        rest = join_checked(full, kept, named(rid) == F.col("kept_rid"), "left_semi")
+        rest = join_checked(full, kept, named(rid) == named(kept_rid), "left_semi")
     return rest.select(*[named(c) for c in docs.columns])

@@ -153,6 +153,31 @@ def test_mix_copies_match_rows(docs, odd, clashing):
         assert sorted((str(r["doc_id"]), len(WORD.findall(r["text"]))) for r in taken.collect()) == want
 
 
+@pytest.mark.parametrize("ids", [7777, None])
+@pytest.mark.parametrize("least", [10**9, 16])
+def test_mix_takes_part_of_a_group_of_equal_rows(spark, monkeypatch, ids, least):
+    monkeypatch.setattr(mixing, "REPEAT_ROWS", least)
+    rows = [(i, f"w{i} " * 10, "en", "a", 0) for i in range(600)] + [(ids, "same text of just ten words in all, is it", "en", "b", k) for k in range(400)]
+    rows += [(5000 + i, f"v{i} " * 10, "en", "b", 0) for i in range(200)] + [(9000 + i, f"u{i} " * 10, "en", "c", 0) for i in range(600)]
+    d = spark.createDataFrame(rows, DOCS).repartition(5)
+    mixed = mixing.mix(d).documents.collect()
+    taken = {}
+    for r in mixed:
+        taken.setdefault(r["source"], [0, r["target"]])[0] += r["size"] * r["copies"]
+    assert len(mixed) == len(rows) and all(abs(t - target) <= 10 for t, target in taken.values())
+    assert sum(t for t, _ in taken.values()) > 1.5 * 10 * len(rows) - 10
+    out = mixing.take(d).collect()
+    words = {}
+    for r in out:
+        words[r["source"]] = words.get(r["source"], 0) + len(WORD.findall(r["text"]))
+    assert words == {s: t for s, (t, _) in taken.items()}
+    copies = {}
+    for r in out:
+        copies[r["doc_id"], r["n_chars"]] = copies.get((r["doc_id"], r["n_chars"]), 0) + 1
+    want = sorted(r["copies"] for r in mixed if r["doc_id"] == ids)
+    assert sorted(copies.get((ids, k), 0) for k in range(400)) == want and max(want) <= 2
+
+
 def test_mix_odd_tables(none, odd, spark):
     assert mixing.mix(none).documents.count() == 0 and mixing.take(none).count() == 0
     rows = mixing.mix(odd).documents.collect()
@@ -502,6 +527,28 @@ def test_toxicity_odd_tables(spark, odd, none, clashing):
 
 # pipeline
 
+def test_pipeline_with_clashing_names(spark, docs):
+    """Every working and result name of all stages as a column of the documents, some in upper case."""
+    import corpus_pipeline
+
+    lab = spark.read.parquet(f"{SF}/labels.parquet")
+    names = ("g_lang g_source limit_symbols limit_dup_lines limit_repeats limit_word_length n_words word_chars n_symbols n_lines n_dup_lines "
+             "n_repeat_words base_failed kept body of_lines by_word rule limit docs fence b n Score held_out predicted l_id toxic rid fp kept_rid "
+             "dropped_rid root o cut_source cut_copies cut_draw cut_size cut_there cut_of cut_row cut_upto copy draw size chunk source_size target "
+             "bound_source PIECES own_pieces text_").split()
+    wide = docs.select("*", *[F.lit(n).alias(n) for n in names])
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        plain, after = stage(spark, docs, SF), stage(spark, wide, SF)
+        got, want = ([(r["doc_id"], r["text"]) for r in x.select("doc_id", "text").collect()] for x in (after, plain))
+        assert sorted(got) == sorted(want), name
+        if k < 4:
+            assert after.columns == wide.columns
+        else:
+            assert [c for c in after.columns if c.lower() != "pieces"][:5] == docs.columns and {"pieces", "_own_PIECES"} <= set(after.columns)
+        assert all(after.where(F.col(f"`{n}`") != n).limit(1).count() == 0 for n in ("kept_rid", "g_lang", "cut_row"))
+        docs, wide = spark.createDataFrame(plain.collect(), plain.schema), spark.createDataFrame(after.collect(), after.schema)
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline
 
