@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from driftline.llm import mixing, quality_rules, sampled_pieces, simhash, toxicity
-from driftline.llm.queries import VOCABULARY, table
+from driftline.llm.queries import table, vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a sampled segmentation."""
-    return sampled_pieces.encode(docs, f"{VOCABULARY}/piece_bpe_32k.model")
+    return sampled_pieces.encode(docs, vocabulary("piece_bpe_32k.model"))
 
 
 STAGES = [("quality rules", quality), ("toxicity", clean), ("simhash near-dedup", distinct), ("mixing sources", mixed),

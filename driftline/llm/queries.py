@@ -9,8 +9,13 @@ from driftline.llm import (
     licenses, mixing, quality_rules, sampled_pieces, simhash, text_queries, token_counts, token_output, toxicity, url_filters, winnowing)
 from driftline.llm.text_queries import table
 
-#: Vocabulary files of the queries; every machine has them at this place.
-VOCABULARY = "/opt/tokenizers"
+
+
+def vocabulary(name: str) -> str:
+    """A public tokenizer's file; the package lies at the same place on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +26,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' sequences in training order, written as shards and read back: slot, document, ids."""
-    return token_output.materialised(table(spark, sf_dir, "documents"), f"{VOCABULARY}/byte_bpe_50k.tiktoken").select(
+    return token_output.materialised(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken")).select(
         "slot", "shard", "place", "doc_id", "part", "used", F.xxhash64("ids").alias("ids_hash"))
 
 
@@ -50,12 +55,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), f"{VOCABULARY}/word_bpe_49k.json")
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op8_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sampled segmentation of every document, and whether decoding it gives the text."""
-    return sampled_pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), f"{VOCABULARY}/piece_bpe_32k.model",
+    return sampled_pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("piece_bpe_32k.model"),
                                  keep=["doc_id"], lossless="lossless")
 
 
@@ -106,13 +111,13 @@ FROM x GROUP BY rid, doc_id
 """
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filters.ADDRESS_RULES)
-_BLOCKED = "|".join(url_filters.BLOCKED_WORDS)
+_BLOCKED, _TOPICS, _LURES = ("|".join(x) for x in (url_filters.BLOCKED_WORDS, url_filters.TOPICS, url_filters.LURES))
 
 URL_SQL = rf"""
 WITH p AS (
-  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*(/[^?#]*)', 1) AS path
-  FROM pages
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '(?s)^[^/?#]*(/[^?#]*)', 1) AS path
+  FROM (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)
 ), r AS (SELECT * FROM (VALUES {_RULES}) r(rhost, rpath, verdict)
 ), b AS (
   SELECT p.page_id, p.host, p.path, arg_max(r.rhost || r.rpath, (length(r.rhost || r.rpath), r.rhost || r.rpath)) AS rule,
@@ -121,32 +126,29 @@ WITH p AS (
   GROUP BY p.page_id, p.host, p.path
 )
 SELECT page_id, host, path, rule,
-       coalesce(verdict, CASE WHEN regexp_matches(host, '(^|[.-])({_BLOCKED})([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(verdict, CASE WHEN regexp_matches(host, '(^|[.-])({_BLOCKED})([.-]|$)') OR regexp_matches(host, '(^|[.-])({_TOPICS})-({_LURES})([.-]|$)')
+                                OR regexp_matches(host, '(^|[.-])({_LURES})-({_TOPICS})([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
 FROM b
 """
 
 
 def _license_sql() -> str:
-    rows = ", ".join(f"('{name}', {i}, '{gram}')" for name in sorted(licenses.TEMPLATES)
-                     for i, gram in enumerate(licenses.bigrams(licenses.TEMPLATES[name])))
+    own = licenses.prepared(licenses.TEMPLATES)
+    rows = ", ".join(f"('{t.name}', '{g}', {p}, {str(g in t.anchors).upper()}, {t.length}, {len(t.grams)})" for t in own for g, p in zip(t.grams, t.places))
     return rf"""
-WITH t(licence, i, gram) AS (VALUES {rows}
-), ts AS (SELECT licence, count(*) AS b FROM t GROUP BY licence
-), u AS (
-  SELECT DISTINCT doc_id, trim(regexp_replace(lower(unit), '[^a-z0-9]+', ' ', 'g')) AS unit FROM (
-    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10)) || regexp_split_to_array(coalesce(text, ''), '\n[\x20\x09-\x0D]*\n') || [coalesce(text, '')]) AS unit
-    FROM documents)
-), w AS (SELECT doc_id, unit, string_split(unit, ' ') AS ws FROM u
+WITH t(licence, gram, place, anchor, length, b) AS (VALUES {rows}
+), w AS (
+  SELECT row_number() OVER () AS rid, doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), ' ') AS ws FROM documents
 ), g AS (
-  SELECT doc_id, unit, unnest(list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS gram FROM w WHERE len(ws) > 1
-), a AS (SELECT doc_id, unit, count(*) AS a FROM g GROUP BY doc_id, unit
-), o AS (
-  SELECT g.doc_id, g.unit, t.licence, count(*) AS both_n FROM g JOIN t USING (gram) GROUP BY ALL
+  SELECT rid, doc_id, i - 1 AS i, ws[i] || ' ' || ws[i + 1] AS gram FROM (SELECT *, unnest(range(1, len(ws))) AS i FROM w WHERE len(ws) > 1)
 ), s AS (
-  SELECT o.doc_id, o.unit, o.licence, 2.0::DOUBLE * both_n / (a.a + ts.b) AS dice FROM o JOIN a USING (doc_id, unit) JOIN ts USING (licence)
-)
-SELECT doc_id, arg_min(licence, (-dice, licence)) AS licence, max(dice) AS dice, count(DISTINCT unit) AS n_units
-FROM s WHERE dice >= {licenses.THRESHOLD}::DOUBLE GROUP BY doc_id
+  SELECT DISTINCT g.rid, g.doc_id, t.licence, t.length, t.b, g.i - t.place AS start FROM g JOIN t ON g.gram = t.gram AND t.anchor
+), x AS (
+  SELECT s.rid, s.doc_id, s.licence, s.b, s.start, count(DISTINCT g.gram) AS a, count(DISTINCT t.gram) AS both_n
+  FROM s JOIN g ON g.rid = s.rid AND g.i >= s.start AND g.i < s.start + s.length LEFT JOIN t ON t.licence = s.licence AND t.gram = g.gram
+  GROUP BY ALL
+), d AS (SELECT rid, doc_id, licence, max(2.0::DOUBLE * both_n / (a + b)) AS dice FROM x GROUP BY ALL HAVING max(2.0::DOUBLE * both_n / (a + b)) >= {licenses.THRESHOLD}::DOUBLE)
+SELECT doc_id, arg_min(licence, (-dice, licence)) AS licence, max(dice) AS dice, count(*) AS n_licences FROM d GROUP BY rid, doc_id
 """
 
 
@@ -189,8 +191,9 @@ WITH d AS (
   SELECT lang, source, rule, greatest(length(bin(x)) - {quality_rules.SKETCH_BITS}, 0) * {top} + (x >> greatest(length(bin(x)) - {quality_rules.SKETCH_BITS}, 0)::INTEGER) AS b
   FROM (SELECT lang, source, c.rule AS rule, c.x AS x FROM (SELECT lang, source, unnest([{cells}]) AS c FROM f WHERE n_words > 0))
 ), lim AS (
-  SELECT o.lang, o.source, o.rule, CASE WHEN o.docs >= {quality_rules.MIN_GROUP} THEN o.fence WHEN l.docs >= {quality_rules.MIN_GROUP} THEN l.fence ELSE a.fence END AS lim
-  FROM {fence("lang, source")} o JOIN {fence("lang")} l ON o.lang IS NOT DISTINCT FROM l.lang AND o.rule = l.rule JOIN {fence("")} a ON o.rule = a.rule
+  SELECT lang, source, rule, CASE WHEN docs >= {quality_rules.MIN_GROUP} THEN least(fence, {quality_rules.WIDER_REACH} * of_lang) ELSE of_lang END AS lim
+  FROM (SELECT o.*, CASE WHEN l.docs >= {quality_rules.MIN_GROUP} THEN least(l.fence, {quality_rules.WIDER_REACH} * a.fence) ELSE a.fence END AS of_lang
+  FROM {fence("lang, source")} o JOIN {fence("lang")} l ON o.lang IS NOT DISTINCT FROM l.lang AND o.rule = l.rule JOIN {fence("")} a ON o.rule = a.rule)
 ), over_limit AS (
   SELECT DISTINCT x.rid FROM (SELECT rid, lang, source, unnest([{cells}]) AS c FROM f) x
   JOIN lim ON x.lang IS NOT DISTINCT FROM lim.lang AND x.source IS NOT DISTINCT FROM lim.source AND x.c.rule = lim.rule WHERE x.c.x > lim.lim

@@ -5,8 +5,8 @@ contain. Each rule is filed under the one of its tokens that the fewest URLs of
 looks up its own tokens in that index; only the rules it fetches run their expression.
 
 Two kinds of rules: address rules (a host with all its subdomains, and a path prefix), of which the longest
-that fits decides, and word rules (a label of the host contains one of some words), which decide where no
-address rule fits. What no rule fits is allowed.
+that fits decides, and word and pair rules (a label of the host contains one of some words, or two of them
+side by side), which decide where no address rule fits. What no rule fits is allowed.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and is allowed by the
 method; equal URLs are judged once and give equal rows; rules of equal length go by their text; an empty table
@@ -41,6 +41,11 @@ ADDRESS_RULES = (
 #: Words of a host label that mark betting and advertising hosts.
 BLOCKED_WORDS = ("casino", "bets", "ads")
 
+#: A topic and a lure, joined by a hyphen in either order in a host label, are blocked together.
+TOPICS = ("poker", "slots", "roulette", "betting", "lottery", "jackpot", "loans", "payday", "pills", "pharmacy",
+          "replica", "adult", "escort", "dating", "torrents", "warez", "cracks", "keygen", "forex", "sweepstakes")
+LURES = ("win", "free", "best", "bonus", "cheap", "online", "club", "live", "hot", "instant")
+
 
 @dataclass(frozen=True)
 class UrlRule:
@@ -64,8 +69,15 @@ def word_rule(word: str, verdict: str = "block") -> UrlRule:
     return UrlRule("", verdict, rf"^([^/]*[.-])?{re.escape(word)}([.-]|/|$)", (f"h:{word}",))
 
 
+def pair_rule(a: str, b: str, verdict: str = "block") -> UrlRule:
+    """Two words next to each other in a host label; a URL must hold both tokens, the index files the rarer one."""
+    a_, b_ = re.escape(a), re.escape(b)
+    return UrlRule("", verdict, rf"^([^/]*[.-])?({a_}-{b_}|{b_}-{a_})([.-]|/|$)", (f"h:{a}", f"h:{b}"))
+
+
 def default_rules() -> list[UrlRule]:
-    return [address_rule(*r) for r in ADDRESS_RULES] + [word_rule(w) for w in BLOCKED_WORDS]
+    return ([address_rule(*r) for r in ADDRESS_RULES] + [word_rule(w) for w in BLOCKED_WORDS]
+            + [pair_rule(t, x) for t in TOPICS for x in LURES])
 
 
 def _after_scheme(url: Column) -> Column:
