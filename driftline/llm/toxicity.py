@@ -38,11 +38,10 @@ from driftline.session import cut_lineage
 
 #: Labelled documents to learn from, at most; the lowest hashes of their ids are taken.
 MAX_LABELLED = 50_000
-#: Stems to keep of those that pass the odds test, the highest odds first.
-MAX_STEMS = 5_000
 STEM_LETTERS = (4, 6)
 MIN_DOCS = 5
-MIN_BEGINNINGS = 5
+#: Different toxic texts that hold a stem, at least (counted by 60 marks, so never too many).
+MIN_TEXTS = 5
 MIN_LOG_ODDS = 2.5
 PREDICT_AT = 0.3
 FOLDS, HELD_OUT = 4, 2
@@ -211,14 +210,14 @@ def learnable(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, limit:
 
 
 def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch: stem, toxic and clean documents that hold it, and a 60-bit mask of their beginnings."""
+    """Per batch: stem, toxic and clean documents that hold it, and a 60-bit mask of the toxic texts' hashes."""
     for b in batches:
         found: dict[str, list[int]] = {}
         totals = [0, 0]
         for text, toxic in zip(b.column(0), b.column(1)):
             low, toxic = (text.as_py() or "").lower(), int(bool(toxic.as_py()))
             totals[toxic] += 1
-            mark = 1 << zlib.crc32(low[:48].encode()) % 60
+            mark = 1 << zlib.crc32(low.encode()) % 60
             for stem in {s for w in set(WORD.findall(low)) for s in stems_of(w)}:
                 row = found.setdefault(stem, [0, 0, 0])
                 row[toxic] += 1
@@ -231,11 +230,14 @@ def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_stems(examples: DataFrame) -> tuple[dict[str, float], int, int]:
-    """Stems that pass the odds test, at most ``MAX_STEMS`` with the highest odds, and the clean and toxic documents behind them."""
+    """All stems that pass the odds test, and the clean and toxic documents behind them.
+
+    They come from the labelled documents alone, whose number is bounded, and so is theirs.
+    """
     counts = (examples.mapInArrow(_count_stems, "stem string, clean long, toxic long, mask long").groupBy("stem")
-              .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_count(F.bit_or("mask")).alias("beginnings")))
+              .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_count(F.bit_or("mask")).alias("texts")))
     all_ = F.col("stem") == "\n"
-    counts = cut_lineage(counts.where(all_ | ((F.col("toxic") >= MIN_DOCS) & (F.col("beginnings") >= MIN_BEGINNINGS)
+    counts = cut_lineage(counts.where(all_ | ((F.col("toxic") >= MIN_DOCS) & (F.col("texts") >= MIN_TEXTS)
                                               & (F.col("toxic") > F.col("clean")))))  # read twice
     totals = counts.where(all_).select("clean", "toxic").first()
     if totals is None:
@@ -243,9 +245,7 @@ def learn_stems(examples: DataFrame) -> tuple[dict[str, float], int, int]:
     clean, toxic = totals
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     passed = counts.where(~all_).withColumn("odds", odds).where(F.col("odds") >= MIN_LOG_ODDS)
-    rows = passed.orderBy(F.col("odds").desc(), F.col("toxic").desc(), "stem").limit(MAX_STEMS).collect()
-    stems = {r["stem"]: r["odds"] for r in rows}
-    return stems, clean, toxic
+    return {r["stem"]: r["odds"] for r in passed.orderBy("stem").collect()}, clean, toxic
 
 
 def _figures_of(model: Model):

@@ -575,14 +575,82 @@ def test_toxicity_learns_and_holds_out(spark):
     assert toxicity.filter_toxic(d, lab).count() == 1000
 
 
-def test_toxicity_spends_its_places_on_stems_that_pass_the_odds(spark, monkeypatch):
-    # labels in balance: 20 common words are in 30 toxic and 29 clean texts, the insult in 6 toxic ones
-    rows = [(f"begin{'abcdefghij'[i % 10]} {i} " + " ".join(f"com{c}" for c in "abcdefghijklmnopqrst") + (" zorgu" if i < 6 else ""), 1, i) for i in range(30)]
-    rows += [(f"start {i} " + " ".join(f"com{c}" for c in "abcdefghijklmnopqrst"), 0, 100 + i) for i in range(29)] + [("plain", 0, 200)]
-    examples = spark.createDataFrame(rows, "text string, toxic int, l_id long")
-    monkeypatch.setattr(toxicity, "MAX_STEMS", 5)
-    stems, clean, toxic = toxicity.learn_stems(examples)
-    assert (clean, toxic) == (30, 30) and {"zorg", "zorgu "} <= set(stems) and not any(s.startswith("com") for s in stems)
+def plain_stems(rows):
+    """{stem: log odds} from (text, toxic), by sets and counts of whole documents."""
+    clean, toxic = sum(not t for _, t in rows), sum(bool(t) for _, t in rows)
+    held = {}
+    for text, t in rows:
+        low = (text or "").lower()
+        for stem in {s for w in re.findall(r"[^\W\d_]+", low) for s in ([w[:4], w[:6]] if len(w) >= 6 else [w[:4], w + " "] if len(w) >= 4 else [w + " "])}:
+            a, b, texts = held.setdefault(stem, ([], [], set()))
+            (b if t else a).append(1)
+            if t:
+                texts.add(zlib.crc32(low.encode()) % 60)
+    odds = {s: float(np.log((len(b) + 0.5) / (toxic + 1)) - np.log((len(a) + 0.5) / (clean + 1)))
+            for s, (a, b, texts) in held.items() if len(b) >= 5 and len(texts) >= 5 and len(b) > len(a)}
+    return {s: v for s, v in odds.items() if v >= toxicity.MIN_LOG_ODDS}
+
+
+def plain_figures(text, stems):
+    """A document's figures by looking back from every word of every clause, without automaton and transducers."""
+    scores = []
+    for clause in re.split(r"[.!?;:\n]", (text or "").lower()):
+        kinds = []
+        for w in re.findall(r"[^\W\d_]+", clause):
+            known = [w[:4], w[:6]] if len(w) >= 6 else [w[:4], w + " "] if len(w) >= 4 else [w + " "]
+            weight = max([stems.get(s, 0.0) for s in known])
+            kinds.append(("insult" if weight else "threat" if w in toxicity.THREATS else "aim" if w in toxicity.TARGETS else
+                          "not" if w in toxicity.NEGATIONS else "report" if w in toxicity.REPORTS else "", weight))
+        score = 0.0
+        for i, (kind, weight) in enumerate(kinds):
+            before = [k for k, _ in kinds[:i]]
+            worth = weight if kind == "insult" else 0.0
+            if kind == "aim":
+                near = before[-3:]
+                if "threat" in near and "aim" not in near[len(near) - near[::-1].index("threat"):]:
+                    worth = toxicity.THREAT
+            worth *= (0.6 if "not" in before[-3:] else 1) * (1.3 if kind != "aim" and "aim" in before[-4:] else 1) * (0.7 if "report" in before else 1)
+            score += worth
+        if score > 0:
+            scores.append(score)
+    return np.log1p(sum(scores)), max(scores, default=0.0), np.log1p(len(scores))
+
+
+def test_toxicity_against_plain_counts_and_clauses(spark):
+    """Stems, figures, curve and scores over all documents of a table, by a second, plain version."""
+    d, lab = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    flags = {r["doc_id"]: r["toxic"] for r in lab.collect() if r["toxic"] is not None}
+    rows = [(r["doc_id"], r["text"]) for r in d.select("doc_id", "text").collect()]
+    known = [(i, t, flags[i]) for i, t in rows if i in flags and zlib.crc32(str(i).encode()) % 4 != 2]
+    stems = plain_stems([(t, y) for _, t, y in known])
+    model = toxicity.learn(d, lab)
+    assert len(stems) > 5 and set(model.stems) == set(stems) and all(model.stems[s] == pytest.approx(v) for s, v in stems.items())
+    extra = ["You will not kill time, you idiot. They said he is no idiot! kill them; never hurt you you", "not never you said IDIOTS", ""]
+    words = sorted(s.strip() for s in stems)[:6]
+    extra += [f"you {w}s are not {w} he wrote {w}; kill a b you, kill you a b c d {w}" for w in words]
+    for text in [t for _, t in rows] + extra:
+        assert model.figures(text) == pytest.approx(plain_figures(text, stems)), text
+    x = np.array([plain_figures(t, stems) for _, t, _ in known])
+    y = np.array([f for *_, f in known], float)
+    shift = x.mean(axis=0)
+    w = np.zeros(4)  # ridge logistic regression by plain gradient steps
+    a = np.column_stack([np.ones(len(x)), x - shift])
+    for _ in range(400):
+        p = 1 / (1 + np.exp(-a @ w))
+        w += np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + np.diag([1e-9, 1, 1, 1]), a.T @ (y - p) - np.array([0, 1, 1, 1]) * w) * 0.5
+    want = {i: 1 / (1 + np.exp(-np.clip(w[0] + (np.array(plain_figures(t, stems)) - shift) @ w[1:], -30, 30))) for i, t in rows}
+    got = {r["doc_id"]: r["score"] for r in toxicity.predictions(d, lab).collect()}
+    assert set(got) == set(want) and all(got[i] == pytest.approx(want[i], abs=1e-6) for i in want)
+
+
+def test_toxicity_stems_pass_the_odds_whatever_the_header(spark):
+    # labels in balance: 20 common words are in 30 toxic and 29 clean texts, the insult in 8 toxic ones; all begin alike
+    head = "The same long header line stands above every document of this source. "
+    rows = [(head + f"{i} " + " ".join(f"com{c}" for c in "abcdefghijklmnopqrst") + (" zorgu" if i < 8 else ""), 1, i) for i in range(30)]
+    rows += [(head + f"start {i} " + " ".join(f"com{c}" for c in "abcdefghijklmnopqrst"), 0, 100 + i) for i in range(29)] + [("plain", 0, 200)]
+    rows += [(head + "copied qwert", 1, 300)] * 9  # copies of one text are one text
+    stems, clean, toxic = toxicity.learn_stems(spark.createDataFrame(rows, "text string, toxic int, l_id long"))
+    assert (clean, toxic) == (30, 39) and {"zorg", "zorgu "} <= set(stems) and not any(s.startswith(("com", "qwer")) for s in stems)
 
 
 def test_toxicity_collects_one_row_of_each_labelled_id(spark):
