@@ -23,13 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import bounded_batches, named
+from driftline.llm.common import join_checked, bounded_batches, named
 from driftline.session import scratch_path
 
 LENGTH = 256
+#: Rows of (shard, first slot) that are broadcast at most.
+SHARD_ROWS = 500_000
 PAD = 0xFFFF
 ROUNDS = 6
 KEY = 0x5EED
@@ -149,23 +151,27 @@ def write(docs: DataFrame, path: str, out: str, *, doc_id: str = "doc_id", text:
 def read(spark: SparkSession, out: str, length: int = LENGTH, start: int = 0) -> DataFrame:
     """The records of the shards with their slots, from slot ``start`` on: slot, shard, doc_id, part, used, ids.
 
-    A shard's first slot follows from the lengths of the files before it, which Spark lists; shards before the
-    start are not opened.
+    A shard's first slot follows from the lengths of the files before it, which Spark lists: a running sum over
+    them is joined to the files (a row for each file, nothing goes through the driver), and files before the start
+    are not read.
     """
     record = record_type(length)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(out)
-    sizes = sorted((r["shard"], r["length"] // record.itemsize) for r in files.select("shard", "length").collect())
-    first, n = {}, 0
-    for shard, count in sizes:
-        first.setdefault(shard, n)
-        n += count
-    wanted = [s for k, (s, c) in enumerate(sizes) if first[s] + c > start]
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(out)
+             .withColumn("n", F.floor(F.col("length") / record.itemsize)))
+    listed = files.select(F.col("shard").alias("l_shard"), "n")  # a shard is one file
+    # running sums by thousands of shards, then within: no window holds the whole listing of a large table
+    listed = listed.withColumn("block", F.floor(F.col("l_shard") / 1000))
+    blocks = listed.groupBy("block").agg(F.sum("n").alias("rows"))
+    blocks = blocks.withColumn("base", F.coalesce(F.sum("rows").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = Window.partitionBy("block").orderBy("l_shard").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = (listed.join(blocks.drop("rows"), "block").withColumn("first", F.col("base") + F.coalesce(F.sum("n").over(within), F.lit(0)))
+              .where(F.col("first") + F.col("n") > start).select("l_shard", "first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for shard, content in zip(b.column(0).to_pylist(), b.column(1)):
+            for shard, first, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 rows = np.frombuffer(content.as_buffer(), record)
-                slots = np.arange(len(rows), dtype=np.int64) + first[shard]
+                slots = np.arange(len(rows), dtype=np.int64) + first
                 for k in range(0, len(rows), 4096):
                     part, slot = rows[k:k + 4096], slots[k:k + 4096]
                     part, slot = part[slot >= start], slot[slot >= start]
@@ -179,7 +185,9 @@ def read(spark: SparkSession, out: str, length: int = LENGTH, start: int = 0) ->
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
                         names=["slot", "shard", "place", "doc_id", "part", "used", "ids"])
 
-    return files.where(F.col("shard").isin(wanted)).select(F.col("shard").cast("bigint"), "content").mapInArrow(
+    # two numbers a shard: broadcast up to SHARD_ROWS of them, so that the contents are not shuffled
+    found = join_checked(files, firsts, F.col("shard") == F.col("l_shard"), "inner", SHARD_ROWS)
+    return found.select(F.col("shard").cast("bigint"), F.col("first").cast("bigint"), "content").mapInArrow(
         run, "slot long, shard long, place long, doc_id long, part int, used int, ids array<int>")
 
 

@@ -1,15 +1,21 @@
 """Document fingerprints by winnowing.
 
-Every run of ``GRAM`` words is hashed; of each ``WINDOW`` consecutive hashes the least is chosen, the rightmost
+Every run of ``GRAM`` tokens is hashed; of each ``WINDOW`` consecutive hashes the least is chosen, the rightmost
 of equal ones; the fingerprint is the chosen hashes with their positions. Any passage of at least
-``GRAM + WINDOW - 1`` words that two texts share puts a common hash into both fingerprints.
+``GRAM + WINDOW - 1`` tokens that two texts share puts a common hash into both fingerprints. Tokens are words;
+a word of more than ``TOKEN_CHARS`` characters is several tokens.
+
+Few words give few runs, so short texts are read by characters as well: up to ``SHORT_CHARS`` by runs of
+``SHORT_GRAM``, all of which are kept, up to ``MIDDLE_CHARS`` by winnowed runs of ``CHAR_GRAM``. The kinds overlap
+in length: a text and another of two thirds to one and a half of its length always have one in common beside
+the words. Where there are fewer runs than two windows, all are kept.
 
 A hash and its position are one number: 39 bits of the hash, then 24 bits of the position, reversed, so that
 the least number in a window is its least hash, the rightmost of equal ones. Positions wrap at 2^24 words,
 which changes nothing but the tie of equal hashes across the wrap.
 
 Defined cases: null texts count as empty; texts without words have an empty fingerprint, texts with fewer
-words than a gram have one gram, texts with fewer grams than a window have one window; two empty
+tokens than a gram have one gram; two empty
 fingerprints are equal (1.0), an empty and another are not alike (0.0); documents with equal ids follow each
 other by the hash of their text, null ids come last; an empty table gives an empty result; further
 columns are ignored.
@@ -20,11 +26,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import let, named, words
+from driftline.llm.common import BLANKS, let, named
 from driftline.session import cut_lineage
 
 GRAM = 5
 WINDOW = 8
+TOKEN_CHARS = 16
+#: Runs of characters, and the lengths of text (code points) that they serve: [1, 96], [65, 1024]; words serve all.
+SHORT_GRAM, SHORT_CHARS = 3, 96
+CHAR_GRAM, CHAR_FROM, MIDDLE_CHARS = 8, 65, 1024
 POSITION_BITS = 24
 HASH_SHIFT = 64 - 39
 
@@ -42,21 +52,31 @@ def fingerprint(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
         high = F.shiftleft(F.shiftrightunsigned(h, HASH_SHIFT), POSITION_BITS)
         return high.bitwiseOR((F.lit(top) - i.bitwiseAND(F.lit(top))).cast("bigint"))
 
-    def of_words(t: Column) -> Column:
-        grams = F.transform(
-            F.slice(t, 1, F.greatest(F.size(t) - (gram - 1), F.least(F.size(t), F.lit(1)))),
-            lambda w, i: packed(F.xxhash64(w, *[F.get(t, i + k) for k in range(1, gram)]), i))
-        return let(grams, of_grams)
+    def runs(tokens: Column, size: int) -> Column:
+        return F.transform(
+            F.slice(tokens, 1, F.greatest(F.size(tokens) - (size - 1), F.least(F.size(tokens), F.lit(1)))),
+            lambda w, i: packed(F.xxhash64(w, *[F.get(tokens, i + k) for k in range(1, size)]), i))
+
+    def winnowed(g: Column) -> Column:
+        least = F.transform(F.slice(g, 1, F.greatest(F.size(g) - (window - 1), F.lit(0))),
+                            lambda x, i: F.least(x, *[F.get(g, i + k) for k in range(1, window)]))
+        return F.array_distinct(F.when(F.size(g) < 2 * window, g).otherwise(least))
 
-    def of_grams(g: Column) -> Column:
-        ends = F.slice(g, 1, F.greatest(F.size(g) - (window - 1), F.least(F.size(g), F.lit(1))))
-        return F.array_distinct(F.transform(ends, lambda x, i: F.least(x, *[F.get(g, i + k) for k in range(1, window)])))
+    def of_length(n: Column) -> Column:
+        none = F.array().cast("array<bigint>")
+        chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+        tokens = F.regexp_extract_all(text, F.lit(rf"[^\x20\x09-\x0D]{{1,{TOKEN_CHARS}}}"), F.lit(0))
+        return F.concat(
+            F.when(n <= SHORT_CHARS, let(chars, lambda c: F.array_distinct(runs(c, SHORT_GRAM)))).otherwise(none),
+            F.when(n.between(CHAR_FROM, MIDDLE_CHARS), let(chars, lambda c: let(runs(c, CHAR_GRAM), winnowed))).otherwise(none),
+            let(tokens, lambda t: let(runs(t, gram), winnowed)))
 
-    return let(words(text), of_words)
+    core = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
+    return F.when(core == "", F.array().cast("array<bigint>")).otherwise(let(F.length(text), of_length))
 
 
 def positions(print_: Column) -> Column:
-    """Word positions of the chosen hashes."""
+    """Positions of the chosen hashes, in tokens or characters."""
     top = (1 << POSITION_BITS) - 1
     return F.transform(print_, lambda x: F.lit(top) - x.bitwiseAND(F.lit(top)))
 

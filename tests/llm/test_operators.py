@@ -265,19 +265,25 @@ def test_url_index_files_rules_under_rare_tokens(spark):
 # winnowing
 
 def brute_print(text):
-    w = WORD.findall(text)
-    if not w:
+    if not WORD.search(text):
         return []
-    size = max(len(w) - 4, 1)
 
-    def gram(i):  # Spark hashes the words one after the other, each seeded by the hash before it
-        h = 42
-        for x in w[i:i + 5]:
-            h = xxhash.xxh64_intdigest(x.encode(), h)
-        return (h >> 25) << 24 | (1 << 24) - 1 - (i & (1 << 24) - 1)
+    def runs(tokens, n):
+        out = []
+        for i in range(max(len(tokens) - n + 1, 1)):  # Spark hashes the tokens one after the other, each seeded by the hash before it
+            h = 42
+            for x in tokens[i:i + n]:
+                h = xxhash.xxh64_intdigest(x.encode(), h)
+            out.append((h >> 25) << 24 | (1 << 24) - 1 - (i & (1 << 24) - 1))
+        return out
 
-    g = [gram(i) for i in range(size)]
-    return list(dict.fromkeys(min(g[i:i + 8]) for i in range(max(len(g) - 7, 1))))
+    def winnowed(g):
+        return list(dict.fromkeys(g if len(g) < 16 else [min(g[i:i + 8]) for i in range(len(g) - 7)]))
+
+    out = list(dict.fromkeys(runs(text, 3))) if len(text) <= 96 else []
+    if 65 <= len(text) <= 1024:
+        out += winnowed(runs(text, 8))
+    return out + winnowed(runs(re.findall(r"[^\x20\x09-\x0D]{1,16}", text), 5))
 
 
 def alike(a, b):
@@ -308,6 +314,19 @@ def test_winnowing_guarantee(spark):
     assert all(len(r["positions"]) == len(r["print"]) for r in got)
 
 
+def test_winnowing_sees_the_unchanged_two_thirds(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = []
+    for n in [4, 5, 9, 30, 64, 65, 90, 96, 97, 140, 256, 257, 300, 500, 1024, 1025, 1300, 1540, 3000]:
+        for alphabet in ("abc  d", "日本語中文字", "x", "ab\n c"):
+            rows.append("".join(rng.choice(alphabet) for _ in range(n - 1)) + "e")
+    rng.shuffle(rows)
+    got = winnowing.edited(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all(r["near_edited"] > 0 for r in got)
+
+
 def test_winnowing_odd_tables(none, clashing):
     assert winnowing.edited(none).count() == 0
     assert winnowing.edited(clashing.select("doc_id", "text")).count() == 6 and winnowing.fingerprints(clashing).count() == 6
