@@ -16,23 +16,26 @@ def strip_quotes_to_number(col: str | Column) -> Column:
 
 
 def _finite(number: Column) -> Column:
-    """The number, or NULL for NaN and the infinities."""
-    return F.when(~F.isnan(number) & (F.abs(number) != F.lit(float("inf"))), number)
+    """The number, or NULL for NaN and the infinities; names its argument once, so that it is computed once."""
+    inf = float("inf")
+    return F.nullif(F.nullif(F.nanvl(number, F.lit(inf)), F.lit(inf)), F.lit(-inf))
 
 
 def coerce_int(col: str | Column, kind: str = "int") -> Column:
     """F2: empty, junk, NaN and infinite -> 0, else truncated to ``kind`` ('7.0' -> 7).
 
-    Whole numbers are read as they are, so identifiers keep all digits; a value beyond ``kind`` is 0.
+    Whole numbers are read as they are, so identifiers keep all digits; a value beyond ``kind`` is 0, and so are NaN and
+    the infinities, which no whole number holds.
     """
-    txt = F.trim(_c(col).cast("string"))
-    return F.coalesce(txt.try_cast("decimal(38,0)").try_cast(kind) if kind != "int" else txt.try_cast(kind),
-                      _finite(txt.try_cast("double")).try_cast(kind), F.lit(0).cast(kind))
+    txt = F.nullif(F.trim(_c(col).cast("string")), F.lit(""))  # an empty text costs no failed parse
+    # a text like '7.0' is no whole number; finding that out by a failed parse would cost an exception a row
+    whole = F.when(F.translate(txt, "0123456789+-", "") == "", txt)
+    return F.coalesce(whole.try_cast(kind), txt.try_cast("double").try_cast(kind), F.lit(0).cast(kind))
 
 
 def decimal_comma(col: str | Column) -> Column:
     """'12,5' -> 12.5; empty, junk, NaN and infinite -> 0.0."""
-    txt = F.regexp_replace(_c(col).cast("string"), ",", ".")
+    txt = F.nullif(F.replace(_c(col).cast("string"), F.lit(","), F.lit(".")), F.lit(""))
     return F.coalesce(_finite(txt.try_cast("double")), F.lit(0.0))
 
 

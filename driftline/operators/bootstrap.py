@@ -28,6 +28,9 @@ from driftline.operators.sequence import running_sum
 from driftline.session import cut_lineage
 
 BLOCK_CAP = 4096
+#: Columns with so few values are drawn in the projection, without the block join.
+FEW_VALUES = 16
+FEW_KINDS = ("string", "boolean", "tinyint", "smallint", "int", "bigint")
 #: Text columns are cut into ranges at some of their values, taken from a bounded number of them;
 #: the cuts only spread the work.
 TEXT_CUTS = 64
@@ -104,22 +107,48 @@ def bootstrap_columns(carriers: DataFrame, source: DataFrame, key: Sequence[str]
     # indexes, so a column with few values still spreads its carriers over n / BLOCK_CAP keys
     ranges = ranges.withColumn("W", F.greatest(F.lit(1), F.least(F.lit(BLOCK_CAP),
                                                                   F.floor(F.col("n") / F.col("d")))))
+    few = _few_values(ranges, {c: k for k, cs in groups.items() for c in cs})
+    many = [c for c in columns if c not in few]
+    ranges = ranges.filter(~F.col("column").isin(list(few))) if few else ranges
     lookup = unfolded(ranges.select("column", *fields, "lo", "hi", "W"), F.floor(F.col("lo") / F.col("W")),
                       F.floor((F.col("hi") - 1) / F.col("W")), "block").drop("W")
     sizes = F.broadcast(ranges.select("column", "n", "W").distinct())  # a row for each column
     same = carriers.groupBy(*key).agg(F.count(F.lit(1)).alias("_same"))
     numbered = unfolded(same, F.lit(1).cast("bigint"), F.col("_same"), "_nth").drop("_same")
-    cols = F.array(*[F.lit(c) for c in columns])
-    car = numbered.select(*key, "_nth", F.explode(cols).alias("column")).join(sizes, "column", "left")
     again = F.when(F.col("_nth") > 1, F.col("_nth"))  # nothing for the first
+    near = {c: _drawn(few[c], F.pmod(draw(*key, again, F.lit(c), F.lit(salt)), F.lit(few[c][-1][1]))) for c in few}
+    if not many:
+        return numbered.select(*key, *[near[c].cast(source.schema[c].dataType).alias(c) for c in columns])
+    cols = F.array(*[F.lit(c) for c in many])
+    car = numbered.select(*key, "_nth", F.explode(cols).alias("column")).join(sizes, "column", "left")
     car = car.withColumn("i", F.pmod(draw(*key, again, F.col("column"), F.lit(salt)), F.col("n")))
     car = car.withColumn("block", F.floor(F.col("i") / F.col("W")))
     hit = (car.join(lookup, ["column", "block"], "left")
               .filter(F.col("lo").isNull() | ((F.col("i") >= F.col("lo")) & (F.col("i") < F.col("hi")))))
-    wide = (hit.groupBy(*key, "_nth").pivot("column", list(columns))
+    wide = (hit.groupBy(*key, "_nth").pivot("column", many)
                .agg(F.first(F.struct(*fields), ignorenulls=True)))
     own = {c: _field(k) for k, cs in groups.items() for c in cs}
-    return wide.select(*key, *[F.col(c)[own[c]].alias(c) for c in columns])
+    return wide.select(*key, *[near[c].cast(source.schema[c].dataType).alias(c) if c in near else F.col(c)[own[c]].alias(c) for c in columns])
+
+
+def _few_values(ranges: DataFrame, kinds: dict[str, str]) -> dict[str, list[tuple]]:
+    """(value, hi) in order, of the plain columns with at most ``FEW_VALUES`` distinct values; one row per value comes to the driver."""
+    plain = [c for c, k in kinds.items() if k in FEW_KINDS]
+    if not plain:
+        return {}
+    small = ranges.filter(F.col("column").isin(plain) & (F.col("d") <= FEW_VALUES)).orderBy("column", "hi").collect()
+    out: dict[str, list[tuple]] = {}
+    for r in small:
+        out.setdefault(r["column"], []).append((r[_field(kinds[r["column"]])], r["hi"]))
+    return out
+
+
+def _drawn(values: list[tuple], i: Column) -> Column:
+    """The value whose index range holds ``i``: a chain of comparisons, as there are few."""
+    out = F.lit(values[-1][0])
+    for value, hi in reversed(values[:-1]):
+        out = F.when(i < hi, F.lit(value)).otherwise(out)
+    return out
 
 
 def synthetic_mix(df: DataFrame, key: Sequence[str], columns: Sequence[str], salt: str,
@@ -130,7 +159,8 @@ def synthetic_mix(df: DataFrame, key: Sequence[str], columns: Sequence[str], sal
     synthetic half has the required size without any generated input.
     """
     key, values = list(key), [c for c in columns if c not in key]
-    marked = sample_exact(df.select(*key, *values), key, frac, salt, keep_unselected=True)
+    # both halves read it
+    marked = cut_lineage(sample_exact(df.select(*key, *values), key, frac, salt, keep_unselected=True))
     real = marked.filter("selected").drop("selected").withColumn("provenance", F.lit("real"))
     carriers = marked.filter(~F.col("selected")).select(*key)
     synth = bootstrap_columns(carriers, df, key, columns, salt).withColumn("provenance", F.lit("synthetic"))
