@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.llm.common import BLANKS, fresh, join_checked, let, named, staged, words
+from driftline.session import cut_lineage
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -190,7 +191,8 @@ def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: st
     own = list(docs.columns if carry is None else carry)
     need = list(dict.fromkeys([*own, lang, source]))
     counts = staged(figures(docs, text=text, carry=need), "quality")
-    limits = thresholds(sketches(counts, [lang, source], rules), lang, source, rules, min_group)
+    sketch = cut_lineage(sketches(counts, [lang, source], rules))  # some buckets a group; three levels read them
+    limits = thresholds(sketch, lang, source, rules, min_group)
     limits = limits.toDF(*fresh(counts, *limits.columns))
     of_lang, of_source, *of_rules = limits.columns
     on = named(lang).eqNullSafe(named(of_lang)) & named(source).eqNullSafe(named(of_source))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import join_checked, bounded_batches, named
+from driftline.llm.common import bounded_batches, join_checked, named
 from driftline.session import scratch_path
 
 LENGTH = 256
