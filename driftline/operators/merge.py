@@ -29,7 +29,7 @@ def full_outer_salted(left: DataFrame, right: DataFrame, key: str, hot_rows: int
     broadcast.  All other keys take the plain full outer join.
     """
     if hot is None:
-        hot = _hot_keys(_key_counts(left, key), _key_counts(right, key), key, hot_rows)
+        hot = _hot_steps(_counts_by_input([left, right], key), key, hot_rows)[0]
     hot = F.broadcast(hot.withColumn("_s", F.ceil(F.greatest("_nl", "_nr") / F.lit(hot_rows)).cast("int")))
     # (the hot table has <= (rows of both sides) / hot_rows entries)
     lt = left.join(hot, key, "left")
@@ -55,22 +55,32 @@ def full_outer_salted(left: DataFrame, right: DataFrame, key: str, hot_rows: int
                .unionByName(only_right, allowMissingColumns=True)
 
 
-def _key_counts(df: DataFrame, key: str) -> DataFrame:
-    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+def _counts_by_input(frames: Sequence[DataFrame], key: str) -> DataFrame:
+    """(key, _n0, _n1, ..): the rows of each non-null key in every input; one shuffle of counts (doubles: their products are large)."""
+    every = None
+    for i, f in enumerate(frames):
+        own = f.filter(F.col(key).isNotNull()).groupBy(key).agg(
+            *[(F.count(F.lit(1)) if i == j else F.lit(0)).cast("double").alias(f"_n{j}") for j in range(len(frames))])
+        every = own if every is None else every.unionByName(own)
+    return every.groupBy(key).agg(*[F.sum(f"_n{j}").alias(f"_n{j}") for j in range(len(frames))])
 
 
-def _hot_keys(left_counts: DataFrame, right_counts: DataFrame, key: str, hot_rows: int) -> DataFrame:
-    j = left_counts.withColumnRenamed("_n", "_nl").join(right_counts.withColumnRenamed("_n", "_nr"), key,
-                                                         "full_outer")
-    j = j.select(key, F.coalesce("_nl", F.lit(0)).alias("_nl"), F.coalesce("_nr", F.lit(0)).alias("_nr"))
-    return j.filter(F.greatest("_nl", "_nr") > hot_rows)
+def _hot_steps(counts: DataFrame, key: str, hot_rows: int) -> list[DataFrame]:
+    """For each step of the chain its keys with more than ``hot_rows`` rows on a side: (key, _nl, _nr)."""
+    steps, held = [], F.col("_n0")
+    for j in range(1, len(counts.columns) - 1):
+        own = F.col(f"_n{j}")
+        steps.append(counts.filter(F.greatest(held, own) > hot_rows).select(key, held.alias("_nl"), own.alias("_nr")))
+        held = F.when(held == 0, own).when(own == 0, held).otherwise(held * own)
+    return steps
 
 
-def merge_outer(frames: Sequence[DataFrame], key: str, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+def merge_outer(frames: Sequence[DataFrame], key: str, hot_rows: int = HOT_KEY_ROWS,
+                counts: DataFrame | None = None) -> DataFrame:
     """Chained full outer equi-joins on ``key`` (SQL NULL semantics).
 
     Hot keys are found before any join: per-key row counts of every input
-    (partial aggregates) give the per-key size of each intermediate result
+    (one table, written once, or ``counts`` where the caller has it) give the per-key size of each intermediate result
     without computing it (a full outer join of n and m rows of one key has
     n*m rows, or the non-empty side).  The product of the inputs' largest
     per-key counts bounds them all; when that bound, or else the exact
@@ -90,29 +100,17 @@ def merge_outer(frames: Sequence[DataFrame], key: str, hot_rows: int = HOT_KEY_R
         seen |= set(frames[i].columns)
     keyless = [f.filter(F.col(key).isNull()) for f in frames]
     frames = [f.filter(F.col(key).isNotNull()) for f in frames]
-    counts = [_key_counts(f, key) for f in frames]
-    # Upper bound first (one job over per-input maxima): the largest key of any
-    # intermediate result has at most prod(max rows per key of each input) rows.
-    maxima = counts[0].agg(F.max("_n").alias("m"))
-    for cnt in counts[1:]:
-        maxima = maxima.unionByName(cnt.agg(F.max("_n").alias("m")))
-    bound = 1
-    for r in maxima.collect():           # one row per input
-        bound *= max(1, r["m"] or 0)
-    hots: list[DataFrame] = []
-    if bound > hot_rows:                 # exact per-step hot keys only when they can exist
-        acc = counts[0]
-        for cnt in counts[1:]:
-            hots.append(_hot_keys(acc, cnt, key, hot_rows))
-            j = acc.withColumnRenamed("_n", "_l").join(cnt.withColumnRenamed("_n", "_r"), key, "full_outer")
-            l, r = F.coalesce("_l", F.lit(0)), F.coalesce("_r", F.lit(0))
-            acc = j.select(key, F.when(l == 0, r).when(r == 0, l).otherwise(l * r).alias("_n"))
+    if counts is None:
+        counts = cut_lineage(_counts_by_input(frames, key))
+    # Upper bound first: the largest key of any intermediate result has at most
+    # prod(max rows per key of each input) rows.
+    bound = 1.0
+    for most in counts.agg(*[F.max(f"_n{j}") for j in range(len(frames))]).first():
+        bound *= max(1.0, most or 0.0)
     any_hot = False
-    if hots:
-        probe = hots[0].select(key)
-        for h in hots[1:]:
-            probe = probe.unionByName(h.select(key))
-        any_hot = len(probe.limit(1).collect()) > 0   # one job over the count tables
+    if bound > hot_rows:                 # exact per-step hot keys only when they can exist
+        hots = _hot_steps(counts, key, hot_rows)
+        any_hot = any(not h.isEmpty() for h in hots)
     out = frames[0]
     for i, f in enumerate(frames[1:]):
         if any_hot:
@@ -124,29 +122,19 @@ def merge_outer(frames: Sequence[DataFrame], key: str, hot_rows: int = HOT_KEY_R
     return out
 
 
-def _rows_per_key(frames: Sequence[DataFrame], key: str) -> DataFrame:
-    """(key, n): how many rows of each non-null key the outer merge of ``frames`` has; one shuffle of counts."""
-    tagged = [f.filter(F.col(key).isNotNull()).groupBy(key).agg(
-        *[(F.count(F.lit(1)) if i == j else F.lit(0)).cast("double").alias(f"_n{j}") for j in range(len(frames))])
-        for i, f in enumerate(frames)]
-    every = tagged[0]
-    for t in tagged[1:]:
-        every = every.unionByName(t)
-    sums = every.groupBy(key).agg(*[F.sum(f"_n{j}").alias(f"_n{j}") for j in range(len(frames))])
-    n = F.lit(1.0)
-    for j in range(len(frames)):
-        n = n * F.greatest(F.col(f"_n{j}"), F.lit(1.0))
-    return sums.select(key, n.alias("_n"))
-
-
-def cut_key(frames: Sequence[DataFrame], key: str, limit: int, slack: float = 4.0):
+def cut_key(frames: Sequence[DataFrame], key: str, limit: int, slack: float = 4.0, counts: DataFrame | None = None):
     """A key up to which the outer merge has at least ``limit`` rows, or None where it has no more than that in all.
 
-    Reads the per-key row counts only.  Each round looks at halving shares of the keys that are left and
+    Reads the per-key row counts (:func:`_counts_by_input`) only.  Each round looks at halving shares of the keys that are left and
     takes the least that still holds ``limit`` rows; it ends when that is within ``slack`` times the limit,
     or when a round gains nothing (a hot key, or the accuracy of the quantiles).
     """
-    left = cut_lineage(_rows_per_key(frames, key))
+    if counts is None:
+        counts = cut_lineage(_counts_by_input(frames, key))
+    n = F.lit(1.0)
+    for c in counts.columns:
+        n = n if c == key else n * F.greatest(F.col(c), F.lit(1.0))
+    left = counts.select(key, n.alias("_n"))
     held, cut = left.agg(F.sum("_n").alias("n")).first()["n"] or 0.0, None
     if held <= limit:
         return None
@@ -172,11 +160,13 @@ def merge_cap(frames: Sequence[DataFrame], key: str, order: Sequence[str], limit
     """
     if order[0] != key:
         raise ValueError(f"the order must begin with {key}")
+    counts = cut_lineage(_counts_by_input(frames, key))
     if isinstance(frames[0].schema[key].dataType, (T.NumericType, T.DateType, T.TimestampType)):
-        cut = cut_key(frames, key, limit)
+        cut = cut_key(frames, key, limit, counts=counts)
         if cut is not None:
             frames = [f.filter(F.col(key) <= F.lit(cut)) for f in frames]
-    return merge_outer(frames, key, hot_rows).orderBy(*[F.col(c).asc_nulls_last() for c in order]).limit(limit)
+            counts = counts.filter(F.col(key) <= F.lit(cut))
+    return merge_outer(frames, key, hot_rows, counts).orderBy(*[F.col(c).asc_nulls_last() for c in order]).limit(limit)
 
 
 def cap_rows(df: DataFrame, order: Sequence[str], limit: int, slack: float = 1.1) -> DataFrame:
