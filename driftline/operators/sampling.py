@@ -8,8 +8,12 @@ Exact "k smallest draws per group" without a global sort
 (:func:`mark_smallest`): draws are bucketed by their top ``bits`` bits;
 the bucket-count table (at most ``2^bits`` rows per group) gives each
 group's boundary bucket and how many of its rows are still needed; only
-the rows of that one bucket are ranked.  Every other row is decided by a
+the rows of that one bucket are ranked, equal ones counted first.  Every other row is decided by a
 comparison, so no task ever holds a whole group.
+
+The counts and the ranks read the draw, the ties and the groups only and
+leave one row per group: the last row taken.  The whole rows are then read
+once, compared with that row and flagged in place, without a shuffle.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.hashing import DRAW_BITS, draw, draw_fast
+from driftline.session import cut_lineage
 
 #: Groups whose boundaries are broadcast; with more, they are joined by a shuffle.
 FEW_GROUPS = 10_000
@@ -37,8 +42,9 @@ def mark_smallest(df: DataFrame, draw_col: str, k: KRule | DataFrame, groups: Se
     """
     groups = list(groups) or ["_g"]
     x = df if "_g" not in groups else df.withColumn("_g", F.lit(0))
-    x = x.withColumn("_bucket", F.shiftright(F.col(draw_col), DRAW_BITS - bits))
-    bc = x.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_bn"))
+    x = x.withColumn("_row", F.struct(draw_col, *tiebreak))
+    narrow = x.select(*groups, "_row", F.shiftright(F.col(draw_col), DRAW_BITS - bits).alias("_bucket"))
+    bc = narrow.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_bn"))
     bc = bc.withColumn("_cum", F.sum("_bn").over(
         Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)))
     if isinstance(k, DataFrame):
@@ -51,15 +57,28 @@ def mark_smallest(df: DataFrame, draw_col: str, k: KRule | DataFrame, groups: Se
              .agg(F.min_by(F.struct(F.col("_bucket").alias("b"),
                                     (F.col("_k") - F.col("_cum") + F.col("_bn")).alias("r")),
                            F.col("_bucket")).alias("_x"))
-             .select(*groups, F.col("_x.b").alias("_bstar"), F.col("_x.r").alias("_r")))
-    few = bnd.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS  # a row for each group
-    x = x.join(F.broadcast(bnd) if few else bnd, groups, "left").withColumn("_bstar", F.coalesce(F.col("_bstar"), F.lit(-1)))
-    inside = x.filter(F.col("_bucket") == F.col("_bstar"))
-    wr = Window.partitionBy(*groups, "_bucket").orderBy(draw_col, *tiebreak)
-    inside = inside.withColumn(out, F.row_number().over(wr) <= F.col("_r"))
-    outside = x.filter(F.col("_bucket") != F.col("_bstar")).withColumn(out, F.col("_bucket") < F.col("_bstar"))
-    drop = ["_bucket", "_bstar", "_r"] + (["_g"] if "_g" in groups else [])
-    return inside.unionByName(outside).drop(*drop)
+             .select(*groups, F.col("_x.b").alias("_bucket"), F.col("_x.r").alias("_r")))
+    bnd = cut_lineage(bnd)  # a row for each group
+    few = bnd.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+    # the last row taken, how many rows equal it and how many of those are taken
+    near = (narrow.join(F.broadcast(bnd) if few else bnd, [*groups, "_bucket"])
+                  .groupBy(*groups, "_row").agg(F.count(F.lit(1)).alias("_same"), F.first("_r").alias("_r")))
+    upto = F.sum("_same").over(Window.partitionBy(*groups).orderBy("_row").rowsBetween(Window.unboundedPreceding, 0))
+    last = (near.withColumn("_upto", upto).filter((F.col("_upto") >= F.col("_r")) & (F.col("_upto") - F.col("_same") < F.col("_r")))
+                .select(*groups, F.col("_row").alias("_last"), (F.col("_same") - F.col("_upto") + F.col("_r")).alias("_take"), "_same"))
+    last = cut_lineage(last)
+    torn = not last.filter(F.col("_take") < F.col("_same")).isEmpty()
+    if groups == ["_g"]:
+        edge = last.select(F.struct("_last", "_take", "_same")).scalar()
+        x = x.withColumns({c: edge[c] for c in ("_last", "_take", "_same")})
+    else:
+        x = x.join(F.broadcast(last) if few else last, groups, "left")
+    x = x.withColumn(out, F.coalesce(F.col("_row") <= F.col("_last"), F.lit(False)))
+    if torn:  # only some of the rows that equal the last one are taken
+        at = F.coalesce((F.col("_row") == F.col("_last")) & (F.col("_take") < F.col("_same")), F.lit(False))
+        nth = F.row_number().over(Window.partitionBy(*groups).orderBy("_row"))
+        x = x.filter(~at).unionByName(x.filter(at).withColumn(out, nth <= F.col("_take")))
+    return x.drop("_row", "_last", "_take", "_same", *(["_g"] if "_g" in groups else []))
 
 
 def with_draw(df: DataFrame, key: Sequence[str], salt: str, name: str = "_draw",
