@@ -13,7 +13,7 @@ still inside it, so the state is empty.  The plan therefore
    task holds a whole container), and
 2. folds each (container, episode) in time order with O(max_restarts) state:
    episodes are hash-partitioned, sorted by Spark's spilling sort and
-   streamed through ``mapInPandas`` batch by batch.
+   streamed through ``mapInPandas`` batch by batch, from grant to grant.
 
 Episodes of different containers and of the same container run in
 parallel; only an episode (a run of incidents without one quiet window)
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +58,7 @@ def classify(always_on: Column, status: Column, exit_code: Column, health: Colum
              cpu: Column, mem: Column) -> Column:
     """F16: incident text or NULL.  Only always-on containers are checked;
     a CPU/MEM breach of a running container replaces a health failure."""
+    # The incident texts.
     down = F.when(status != "running",
                   F.when(exit_code != 0, F.format_string("Exited with code %d", exit_code))
                    .otherwise(F.lit("Exited unexpectedly"))) \
@@ -67,24 +69,50 @@ def classify(always_on: Column, status: Column, exit_code: Column, health: Colum
     return F.when(always_on, F.coalesce(usage, down))
 
 
-def _limiter_fold(key: str, max_restarts: int, window: pd.Timedelta):
+def _grant(times: np.ndarray, granted: deque, max_restarts: int, window: int) -> np.ndarray:
+    """Flags of sorted times (microseconds); ``granted`` holds the episode's newest grants and is carried on.
+
+    With the quota used up, nothing is granted until the oldest of the newest ``max_restarts`` grants leaves
+    the window: the search jumps there, so the loop runs once for each grant and not for each incident.
+    """
+    flags = np.zeros(len(times), dtype=bool)
+    i = 0
+    while max_restarts > 0 and i < len(times):
+        if len(granted) == max_restarts:
+            free = granted[0] + window
+            if times[i] < free:
+                i += int(np.searchsorted(times[i:], free))
+                if i == len(times):
+                    break
+            granted.popleft()
+        flags[i] = True
+        granted.append(int(times[i]))
+        i += 1
+    return flags
+
+
+def _limiter_fold(key: str, max_restarts: int, window_minutes: int):
     """Stream through sorted Arrow batches; the state (<= max_restarts times) resets per
-    (key, episode) and is carried across batch boundaries."""
+    (key, episode) and is carried across batch boundaries.  Rows without a time are granted and use no quota."""
+    window = window_minutes * 60_000_000
+
     def fold(batches):
-        granted_ts: deque = deque()
+        granted: deque = deque()
         last = None
         for pdf in batches:
-            flags = []
-            for k, e, t in zip(pdf[key], pdf["_episode"], pdf["ts"]):
-                if (k, e) != last:
-                    granted_ts.clear()
-                    last = (k, e)
-                while granted_ts and not granted_ts[0] > t - window:
-                    granted_ts.popleft()
-                ok = len(granted_ts) < max_restarts
-                if ok:
-                    granted_ts.append(t)
-                flags.append(ok)
+            times = pdf["ts"].to_numpy().astype("datetime64[us]").astype("int64")
+            timed = pdf["ts"].notna().to_numpy()
+            run = pdf.groupby([key, "_episode"], sort=False, dropna=False).ngroup().to_numpy()
+            starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(pdf) else np.zeros(0, dtype="int64")
+            flags = ~timed
+            for lo, hi in zip(starts, np.r_[starts[1:], len(pdf)]):
+                k, e = pdf[key].iat[lo], pdf["_episode"].iat[lo]
+                own = (None if pd.isna(k) else k, None if pd.isna(e) else e)
+                if own != last:
+                    granted.clear()
+                    last = own
+                rows = np.arange(lo, hi)[timed[lo:hi]]
+                flags[rows] = _grant(times[rows], granted, max_restarts, window)
             yield pdf.assign(granted=flags)
     return fold
 
@@ -106,13 +134,14 @@ def restart_limiter(incidents: DataFrame, key: str, ts: str, tie: str,
     schema = T.StructType(list(x.schema.fields) + [T.StructField("granted", T.BooleanType())])
     parts = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     ordered = x.repartition(parts, key, "_episode").sortWithinPartitions(key, "_episode", "ts", "_tie")
-    out = ordered.mapInPandas(_limiter_fold(key, max_restarts, pd.Timedelta(minutes=window_minutes)), schema)
+    out = ordered.mapInPandas(_limiter_fold(key, max_restarts, window_minutes), schema)
     out = out.withColumnRenamed("_tie", tie).drop("_episode")
     return out.withColumnRenamed("ts", ts) if ts != "ts" else out
 
 
 def action(always_on: Column, granted: Column, incident: Column) -> tuple[Column, Column]:
     """(action, message) for an incident."""
+    # The actions and the texts that follow an incident.
     act = F.when(always_on & granted, F.lit("restart")).otherwise(F.lit("alert"))
     msg = F.when(always_on & granted, F.concat(incident, F.lit("; restarted"))) \
            .when(always_on, F.concat(incident, F.lit("; restart limit reached"))) \

@@ -484,3 +484,68 @@ def test_rows_like_the_header_are_data(spark, tmp_path):
         (tmp_path / f"f{k}.csv").write_text("a;b\n1;2\na;b\n")
     got = delimited.read_skip_long_lines(spark, str(tmp_path), sep=";", header=True).collect()
     assert sorted(map(tuple, got)) == [("1", "2")] * 2 + [("a", "b")] * 2
+
+
+# ---------------------------------------------------------------- draws, quotas
+
+def test_mark_smallest_takes_part_of_equal_rows_and_keeps_the_rest_in_place(spark):
+    """Rows that repeat at the cut are taken up to the size asked for; null keys and clashing columns are carried."""
+    from driftline.operators import sampling
+    rows = [(1, None, "x")] * 400 + [(k, k % 3, None) for k in range(2, 300)] + [(None, 0, "n")] * 3
+    df = spark.createDataFrame(rows, "k int, g int, draw string").repartition(5)
+    for frac in (0.0, 0.1, 0.5, 0.9, 1.0):
+        got = sampling.sample_exact(df, ["k"], frac, "s", keep_unselected=True)
+        assert got.columns == ["k", "g", "draw", "selected"]
+        back = got.collect()
+        assert sorted(repr(tuple(r)[:3]) for r in back) == sorted(map(repr, rows))
+        assert sum(r["selected"] for r in back) == round(len(rows) * frac)
+        draws = sampling.with_draw(df.select("k").distinct(), ["k"], "s").collect()
+        order = {r["k"]: r["_draw"] for r in draws}
+        last = max((order[r["k"]] for r in back if r["selected"]), default=-1)
+        assert all(r["selected"] for r in back if order[r["k"]] < last)
+    alloc = spark.createDataFrame([(0, 40), (1, 0), (2, 99)], "g int, k long")
+    marked = sampling.mark_smallest(sampling.with_draw(df, ["k"], "s"), "_draw", alloc, ["g"], ["k"]).filter("selected")
+    assert {r["g"]: r["count"] for r in marked.groupBy("g").count().collect()} == {0: 40, 2: 99}
+    assert sampling.sample_exact(df.limit(0), ["k"], 0.5, "s").count() == 0
+
+
+def test_mark_smallest_flags_whole_rows_without_a_shuffle(spark):
+    """Only the narrow tables of draws are shuffled; the rows are compared with one row per group."""
+    from driftline.operators import sampling
+    df = spark.range(2000).selectExpr("id", "id % 7 AS g", "repeat('x', 50) AS text")
+    plan = sampling.sample_exact(df, ["id"], 0.3, "s")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and "Window" not in plan
+    plan = sampling.split_stratified(df, ["id"], "g", 0.3, "s")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "Window" not in plan
+
+
+def test_restart_limiter_jumps_equal_the_rule_row_by_row(spark):
+    """Random incidents, one batch of Arrow rows being smaller than an episode; null times use no quota."""
+    import datetime as dt
+    import random
+
+    from driftline.operators import incidents
+    rnd, t0 = random.Random(3), dt.datetime(2024, 1, 1)
+    rows = []
+    for c, gap in (("dense", 5), ("even", 200), ("sparse", 900), (None, 60)):
+        t = 0
+        for _ in range(300):
+            t += rnd.choice((0, 1, gap, gap, 2 * gap, 600))
+            rows.append((len(rows), c, t0 + dt.timedelta(seconds=t)))
+    rows += [(len(rows) + i, "even", None) for i in range(5)]
+    df = spark.createDataFrame(rows, "event_id int, container string, ts timestamp").repartition(6)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        for quota in (0, 1, 3):
+            got = {r["event_id"]: r["granted"] for r in
+                   incidents.restart_limiter(df, "container", "ts", "event_id", max_restarts=quota).collect()}
+            want, grants = {}, {}
+            for i, c, t in sorted(rows, key=lambda r: (r[2] or dt.datetime.min, r[0])):
+                recent = [g for g in grants.setdefault(c, []) if t and g > t - dt.timedelta(minutes=10)]
+                want[i] = t is None or len(recent) < quota
+                if want[i] and t:
+                    grants[c].append(t)
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
