@@ -59,8 +59,7 @@ def _counts_by_input(frames: Sequence[DataFrame], key: str) -> DataFrame:
     """(key, _n0, _n1, ..): the rows of each non-null key in every input; one shuffle of counts (doubles: their products are large)."""
     every = None
     for i, f in enumerate(frames):
-        own = f.filter(F.col(key).isNotNull()).groupBy(key).agg(
-            *[(F.count(F.lit(1)) if i == j else F.lit(0)).cast("double").alias(f"_n{j}") for j in range(len(frames))])
+        own = f.filter(F.col(key).isNotNull()).select(key, *[F.lit(float(i == j)).alias(f"_n{j}") for j in range(len(frames))])
         every = own if every is None else every.unionByName(own)
     return every.groupBy(key).agg(*[F.sum(f"_n{j}").alias(f"_n{j}") for j in range(len(frames))])
 
@@ -80,7 +79,7 @@ def merge_outer(frames: Sequence[DataFrame], key: str, hot_rows: int = HOT_KEY_R
     """Chained full outer equi-joins on ``key`` (SQL NULL semantics).
 
     Hot keys are found before any join: per-key row counts of every input
-    (one table, written once, or ``counts`` where the caller has it) give the per-key size of each intermediate result
+    (one table, kept until the plan is chosen, or ``counts`` where the caller has it) give the per-key size of each intermediate result
     without computing it (a full outer join of n and m rows of one key has
     n*m rows, or the non-empty side).  The product of the inputs' largest
     per-key counts bounds them all; when that bound, or else the exact
@@ -100,8 +99,9 @@ def merge_outer(frames: Sequence[DataFrame], key: str, hot_rows: int = HOT_KEY_R
         seen |= set(frames[i].columns)
     keyless = [f.filter(F.col(key).isNull()) for f in frames]
     frames = [f.filter(F.col(key).isNotNull()) for f in frames]
-    if counts is None:
-        counts = cut_lineage(_counts_by_input(frames, key))
+    own = counts is None
+    if own:  # read once for each question below, then let go; a lost executor's part is counted again
+        counts = _counts_by_input(frames, key).persist()
     # Upper bound first: the largest key of any intermediate result has at most
     # prod(max rows per key of each input) rows.
     bound = 1.0
@@ -117,6 +117,8 @@ def merge_outer(frames: Sequence[DataFrame], key: str, hot_rows: int = HOT_KEY_R
             out = cut_lineage(full_outer_salted(out, f, key, hot_rows, hots[i]))
         else:
             out = out.join(f, on=key, how="full_outer")
+    if own:  # hot steps are written by now, the plain chain does not read the counts
+        counts.unpersist()
     for rows in keyless:
         out = out.unionByName(rows, allowMissingColumns=True)
     return out
