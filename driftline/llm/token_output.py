@@ -35,6 +35,9 @@ SHARD_ROWS = 500_000
 PAD = 0xFFFF
 ROUNDS = 6
 KEY = 0x5EED
+#: Rows and bytes of text that a Python task is handed at once: ids and records take several times as much.
+BATCH_ROWS = 200
+BATCH_BYTES = 512 << 10
 #: Bytes of a shard, about.
 SHARD_BYTES = 16 << 20
 HEAD = np.dtype([("place", "<i8"), ("doc_id", "<i8"), ("part", "<i4"), ("used", "<i4")])
@@ -101,7 +104,6 @@ def room(docs: DataFrame, text: str, length: int) -> tuple[int, int]:
 def write(docs: DataFrame, path: str, out: str, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH,
           key: int = KEY, shard_bytes: int = SHARD_BYTES) -> int:
     """Write the shards below ``out``; returns their number. ``path``: the vocabulary file on every machine."""
-    bounded_batches(docs.sparkSession)
     slim = docs.select(named(doc_id).cast("bigint").alias("doc_id"), named(text).alias("text"))
     partitions, most = room(slim, "text", length)
     size = partitions * most
@@ -141,10 +143,14 @@ def write(docs: DataFrame, path: str, out: str, *, doc_id: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([pa.array(rows["place"] // width), pa.array(rows["place"]), values.cast(pa.binary())],
                                              names=["shard", "place", "record"])
 
-    records = slim.mapInArrow(run, "shard long, place long, record binary")
-    (records.repartition(shards, "shard").sortWithinPartitions("shard", "place")
-     .select("shard", F.col("record").cast("string").alias("record"))  # its bytes as they are
-     .write.partitionBy("shard").option("lineSep", "\n").text(out))
+    bounded_batches(docs.sparkSession, BATCH_BYTES, BATCH_ROWS)
+    try:
+        records = slim.mapInArrow(run, "shard long, place long, record binary")
+        (records.repartition(shards, "shard").sortWithinPartitions("shard", "place")
+         .select("shard", F.col("record").cast("string").alias("record"))  # its bytes as they are
+         .write.partitionBy("shard").option("lineSep", "\n").text(out))
+    finally:
+        bounded_batches(docs.sparkSession)
     return shards
 
 

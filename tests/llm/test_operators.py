@@ -218,6 +218,26 @@ def test_token_output_round_trip(spark, docs, odd, tmp_path):
         assert rest == rows[len(rows) // 2:]
 
 
+def test_token_output_takes_small_batches(spark, tmp_path, monkeypatch):
+    """Batches of thousands of documents, with ids and records beside them, filled the executors."""
+    plain = type(spark.range(1)).mapInArrow
+    rows, size = token_output.BATCH_ROWS, token_output.BATCH_BYTES
+
+    def held(self, func, schema, *more):
+        def run(batches):
+            def checked():
+                for b in batches:
+                    assert b.num_rows <= rows and (b.num_rows == 1 or b.nbytes <= 2 * size), (b.num_rows, b.nbytes)
+                    yield b
+            return func(checked())
+        return plain(self, run, schema, *more)
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", held)
+    d = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 0, F.repeat(F.lit("wide "), 60000)).otherwise("a few words").alias("text"))
+    token_output.write(d, public_tokenizers.path("byte_bpe_50k.tiktoken"), f"{tmp_path}/small")
+    assert token_output.read(spark, f"{tmp_path}/small").select("doc_id").distinct().count() == 2000
+
+
 def test_token_output_empty(spark, none, tmp_path):
     token_output.write(none, public_tokenizers.path("byte_bpe_50k.tiktoken"), f"{tmp_path}/e")
 
