@@ -56,6 +56,26 @@ def test_tree_against_exhaustive_search(classes, max_depth, min_leaf):
         assert (tree.vote(seen, classes).argmax(1) == y[w > 0]).all()
 
 
+def test_votes_against_a_walk_row_by_row():
+    """Leaves at any depth, values equal to a threshold and missing ones; only rows on their way are gathered, few levels at a time."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 12, (400, 3)).astype(float)
+    x[rng.random(x.shape) < 0.1] = -np.inf
+    y = ((x[:, 0] > 5) ^ (rng.random(400) > 0.8)).astype(int)
+    tree = grow(x, y, bootstrap(400, rng), 2, rng, tried=2)
+    other = np.vstack([x, rng.integers(-2, 15, (300, 3)).astype(float), [[np.inf] * 3]])
+
+    def walk(row):
+        at = 0
+        while tree.feature[at] >= 0:
+            at = tree.left[at] + (row[tree.feature[at]] > tree.threshold[at])
+        return tree.shares.reshape(-1, 2)[at]
+
+    assert (tree.vote(other, 2) == np.array([walk(row) for row in other])).all()
+    leaf, _, threshold, left = tree.steps
+    assert (left[leaf] == np.flatnonzero(leaf)).all() and np.isinf(threshold[leaf]).all()  # a row in a leaf stays
+
+
 def test_tree_edges():
     rng = np.random.default_rng(0)
     one = np.ones(4, dtype=np.int64)
