@@ -1,11 +1,13 @@
-"""Stateful stream processors (``transformWithState``, row form) that fold a key's rows in event time.
+"""Stateful stream processors (``transformWithState``) that fold each key's rows in event time.
 
 Rows may come in any order within the watermark's delay. They wait in the state as sorted runs until the
-watermark has passed them; a timer that expires merges the runs whose first row is due, however many rows of
-the key wait in others. A call to the state costs about as much as a hundred rows, so a key's rows of one
-micro-batch are filed together: calls grow with keys and with rows / ``chunk_rows``, not with the minutes that
-rows are spread over. What a processor keeps besides is O(1): the limiter at most ``max_restarts`` granted
-times, the trigger one flag, the alert the start and length of the present run.
+watermark has passed them; a timer that expires merges the runs whose first row is due, however many rows
+wait in others. A call to the state costs about as much as a hundred rows, so the stream is grouped by a hash
+of the key (:func:`grouped`) and the rows of a group of keys are filed together: calls grow with rows /
+``chunk_rows`` and with at most ``GROUPS`` groups a micro-batch, not with the keys or the minutes that rows are
+spread over. What a group keeps besides is one small entry for each of its keys that has something to remember:
+the limiter the times granted within its window, the trigger a flag, the alert the start and length of the
+present run.
 """
 
 from __future__ import annotations
@@ -14,10 +16,13 @@ import heapq
 import pickle
 import sys
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Row
+from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,12 +33,18 @@ from driftline.operators.incidents import MAX_RESTARTS, RESTART_WINDOW_MINUTES
 # module's classes by value makes them self-contained.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Fields that a waiting row can have; a processor names those it folds, as each one costs time for every row.
+#: Keys are dealt to so many groups, each with its own place in the state. An open stream's state depends on it.
+GROUPS = 4096
+#: Rows of a result that are handed over at once.
+FRAME_ROWS = 10_000
+#: Fields that a waiting row can have, its key aside; a processor names those it folds, as each one costs time for every row.
 WAITING = ("us", "event_id", "text", "status", "number")
-#: The waiting runs of a key, column by column.
+#: The waiting runs of a group, column by column.
 INDEX = T.StructType([T.StructField(name, T.ArrayType(T.LongType())) for name in ("buckets", "numbers", "firsts", "sizes")])
 #: The rows of a run, pickled column by column: the state takes them in one piece and not value by value.
 CHUNK = T.StructType([T.StructField("rows", T.BinaryType())])
+#: What a group remembers of its keys: a pickled dictionary.
+KEPT = T.StructType([T.StructField("keys", T.BinaryType())])
 
 LIMITER_OUT = T.StructType([
     T.StructField("us", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("container", T.StringType()),
@@ -47,7 +58,7 @@ ALERT_OUT = T.StructType([
 
 
 class Run(NamedTuple):
-    """Waiting rows in order: the bucket and the time of the first, a number of its own among the key's runs, how many."""
+    """Waiting rows in order: the bucket and the time of the first, a number of its own among the group's runs, how many."""
 
     bucket: int
     number: int
@@ -61,15 +72,15 @@ def _in_order(row: tuple) -> tuple:
 
 
 class EventTimeFold(StatefulProcessor):
-    """Folds a key's rows in event time, whatever order they come in within the watermark's delay.
+    """Folds the rows of each key of a group in event time, whatever order they come in within the watermark's delay.
 
     Input rows carry ``us`` (their time in microseconds, so no time zone is involved), ``event_id`` and the other
-    ``fields``. Every ``held_rows`` of them are sorted and filed as runs of at most ``chunk_rows``; runs that
-    are no longer than what comes in are taken up into it, so a key with few rows a micro-batch does not pile
-    up short ones. A short index holds the first time of each run, and a timer stands at the earliest of all.
-    When the watermark passes it, the runs that have begun are merged, each read when its first row is reached,
-    and their rows up to the watermark folded, ordered by (time, event id). What is left of them is filed anew, short runs
-    first: those are the next ones to be read.
+    ``fields``; a waiting row has its key behind them. Every ``held_rows`` of them are sorted and filed as runs of at
+    most ``chunk_rows``; runs that are no longer than what comes in are taken up into it, so a group with few rows a
+    micro-batch does not pile up short ones. A short index holds the first time of each run, and a timer stands at
+    the earliest of all. When the watermark passes it, the runs that have begun are merged, each read when its first
+    row is reached, and their rows up to the watermark folded, ordered by (time, event id). What is left of them is
+    filed anew, short runs first: those are the next ones to be read.
     """
 
     fields = WAITING
@@ -85,11 +96,22 @@ class EventTimeFold(StatefulProcessor):
         self.open(handle)
 
     def open(self, handle: StatefulProcessorHandle) -> None:
-        raise NotImplementedError
+        self.kept = handle.getValueState("kept", KEPT)
 
     def fold(self, key, rows):
+        """Folds ``rows`` of the keys of group ``key``, all of them in order; yields rows of the result."""
         raise NotImplementedError
 
+    def _remembered(self) -> dict:
+        held = self.kept.get()
+        return pickle.loads(held[0]) if held else {}
+
+    def _remember(self, keys: dict) -> None:
+        if keys:
+            self.kept.update((pickle.dumps(keys, pickle.HIGHEST_PROTOCOL),))
+        else:
+            self.kept.clear()
+
     def _waiting(self) -> list[Run]:
         held = self.index.get()
         return [Run(*r) for r in zip(*held)] if held else []
@@ -154,18 +176,22 @@ class EventTimeFold(StatefulProcessor):
                 heapq.heapreplace(heads, (_in_order(row), number, row, rest))
 
     def handleInputRows(self, key, rows, timerValues):
+        self.hold(tuple([r[f] for f in self.fields]) + (key[0],) for r in rows)
+        return iter(())
+
+    def hold(self, rows: Iterator[tuple]) -> None:
+        """File rows that came in for one group, each with its key at its end."""
         waiting = self._waiting()
         alarm = min((r.first for r in waiting), default=None)
         held: list[tuple] = []
         for r in rows:
-            held.append(tuple([r[f] for f in self.fields]))
+            held.append(r)
             if len(held) == self.held_rows:
                 self._append(waiting, held)
                 held = []
         if held:
             self._append(waiting, held)
         self._keep(waiting, alarm)
-        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
@@ -189,19 +215,19 @@ class RestartLimiter(EventTimeFold):
     max_restarts = MAX_RESTARTS
     window_us = RESTART_WINDOW_MINUTES * 60_000_000
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.granted = handle.getValueState("granted", T.StructType([T.StructField("us", T.ArrayType(T.LongType()))]))
-
     def fold(self, key, rows):
-        held = list((self.granted.get() or ([],))[0])
-        for us, event_id, incident, status in rows:
-            held = [g for g in held if g > us - self.window_us]
+        granted = self._remembered()
+        us = None
+        for us, event_id, incident, status, container in rows:
+            held = [g for g in granted.get(container, ()) if g > us - self.window_us]
             ok = len(held) < self.max_restarts
             if ok:
                 held.append(us)
-            yield Row(us=us, event_id=event_id, container=key[0], status=status, action="restart" if ok else "alert",
+            granted[container] = held
+            yield Row(us=us, event_id=event_id, container=container, status=status, action="restart" if ok else "alert",
                       message=incident + ("; restarted" if ok else "; restart limit reached"))
-        self.granted.update((held,))
+        if us is not None:  # no later row has an earlier time, so what has left the window counts no more
+            self._remember({k: held for k, held in granted.items() if held and held[-1] > us - self.window_us})
 
 
 class DriftTrigger(EventTimeFold):
@@ -210,19 +236,17 @@ class DriftTrigger(EventTimeFold):
     fields = ("us", "event_id", "number")
     threshold = 0.5
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.active = handle.getValueState("active", T.StructType([T.StructField("on", T.BooleanType())]))
-
     def fold(self, key, rows):
-        on = was = bool((self.active.get() or (False,))[0])
-        for us, event_id, score in rows:
+        active = self._remembered()
+        was = set(active)
+        for us, event_id, score, user_id in rows:
             if score is None:
-                on = False
-            elif score > self.threshold and not on:
-                on = True
-                yield Row(us=us, user_id=key[0], event_id=event_id)
-        if on != was:
-            self.active.update((on,))
+                active.pop(user_id, None)
+            elif score > self.threshold and user_id not in active:
+                active[user_id] = True
+                yield Row(us=us, user_id=user_id, event_id=event_id)
+        if active.keys() != was:
+            self._remember(active)
 
 
 class SustainedAlert(EventTimeFold):
@@ -234,27 +258,80 @@ class SustainedAlert(EventTimeFold):
     def __init__(self, threshold: float, for_seconds: float) -> None:
         self.threshold, self.for_us = threshold, round(for_seconds * 1_000_000)
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.run = handle.getValueState("run", T.StructType([
-            T.StructField("start", T.LongType()), T.StructField("n", T.LongType()), T.StructField("fires", T.BooleanType())]))
-
     def fold(self, key, rows):
-        start, n, fires = self.run.get() or (None, 0, False)
-        for us, _, value in rows:
-            states = []
+        runs = self._remembered()  # start, length, whether it fires
+        for us, _, value, series in rows:
             if value is not None and value > self.threshold:
-                if start is None:
-                    start, n, fires = us, 0, False
+                states = []
+                if series not in runs:
+                    runs[series] = us, 0, False
                     states.append("pending")
+                start, n, fires = runs[series]
                 n += 1
                 if not fires and us - start >= self.for_us:
                     fires = True
                     states.append("firing")
-                yield from (Row(us=us, series=key[0], state=s, start_us=start, n_samples=n) for s in states)
-            elif start is not None:
-                yield Row(us=us, series=key[0], state="resolved", start_us=start, n_samples=n)
-                start = None
-        if start is None:
-            self.run.clear()
-        else:
-            self.run.update((start, n, fires))
+                runs[series] = start, n, fires
+                yield from (Row(us=us, series=series, state=s, start_us=start, n_samples=n) for s in states)
+            elif series in runs:
+                start, n, _ = runs.pop(series)
+                yield Row(us=us, series=series, state="resolved", start_us=start, n_samples=n)
+        self._remember(runs)
+
+
+class InFrames(StatefulProcessor):
+    """A fold whose input and result pass as pandas frames, whole columns at a time.
+
+    No column of the input is null, as pandas would turn whole numbers into floats: ``missing`` has a bit for each
+    field, the key last, whose value stands for a null.
+    """
+
+    def __init__(self, fold: EventTimeFold, out: T.StructType) -> None:
+        self.fold, self.out = fold, out
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.fold.init(handle)
+
+    def _rows(self, frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for frame in frames:
+            missing, columns = frame["missing"].to_numpy(), []
+            for i, name in enumerate((*self.fold.fields, "key")):
+                values, absent = frame[name].tolist(), missing & (1 << i) != 0
+                columns.append([None if a else v for v, a in zip(values, absent)] if absent.any() else values)
+            yield from zip(*columns)
+
+    def _frame(self, rows: list[Row]) -> pd.DataFrame:
+        return pd.DataFrame({f.name: pd.Series(list(column), dtype="Int64" if isinstance(f.dataType, T.LongType) else "object")
+                             for f, column in zip(self.out, zip(*rows))})
+
+    def handleInputRows(self, key, rows, timerValues):
+        self.fold.hold(self._rows(rows))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        rows: list[Row] = []
+        for row in self.fold.handleExpiredTimer(key, timerValues, expiredTimerInfo):
+            rows.append(row)
+            if len(rows) == FRAME_ROWS:
+                yield self._frame(rows)
+                rows = []
+        if rows:
+            yield self._frame(rows)
+
+    def close(self) -> None:
+        self.fold.close()
+
+
+def grouped(rows: DataFrame, ts: str, key: Column, fold: EventTimeFold, out: T.StructType) -> DataFrame:
+    """``fold`` over a watermarked stream with the fields it names, in event time, for each ``key``.
+
+    Spark sets the key of the state, lists timers and hands over results group by group: with a group for each
+    container or model, that was the larger part of the work.
+    """
+    columns = {"us": F.unix_micros(ts), **{f: F.col(f) for f in fold.fields[1:]}, "key": key}
+    types = dict(rows.select(*(c.alias(name) for name, c in columns.items())).dtypes)
+    missing = reduce(Column.bitwiseOR, [F.when(c.isNull(), 1 << i).otherwise(0) for i, c in enumerate(columns.values())])
+    dealt = rows.select(
+        F.pmod(F.xxhash64(key), F.lit(GROUPS)).alias("group"), ts, missing.alias("missing"),
+        *(F.coalesce(c, F.lit("" if types[name] == "string" else 0).cast(types[name])).alias(name) for name, c in columns.items()))
+    return dealt.groupBy("group").transformWithStateInPandas(InFrames(fold, out), out, "Append", "EventTime")

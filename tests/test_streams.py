@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -314,3 +315,60 @@ def test_a_trickle_of_rows_piles_up_no_short_runs(at_once):
     want = sorted(rows, key=lambda r: (r["us"], r["event_id"] is None, r["event_id"] or 0))
     assert [r[:2] for r in out] == [(r["us"], r["event_id"]) for r in want] and sorted(r[4] for r in out) == [float(k) for k in range(2400)]
     assert most <= 60 and not fold._waiting()
+
+
+def plain_triggers(rows):
+    """(us, user, event id) of (us, user, event id, score); a missing score ends the run."""
+    active, out = set(), []
+    for us, user, i, score in sorted(rows, key=lambda r: (r[0], r[2] is None, r[2] or 0)):
+        if score is None:
+            active.discard(user)
+        elif score > 0.5 and user not in active:
+            active.add(user)
+            out.append((us, user, i))
+    return out
+
+
+def in_frame(rows):
+    """Rows as the stream hands them to a fold of a group: nulls replaced and marked."""
+    return pd.DataFrame({
+        "us": [r[0] for r in rows], "event_id": [r[2] or 0 for r in rows], "number": [r[3] or 0.0 for r in rows],
+        "key": [r[1] or 0 for r in rows], "missing": [2 * (r[2] is None) + 4 * (r[3] is None) + 8 * (r[1] is None) for r in rows]})
+
+
+def test_calls_to_the_state_do_not_grow_with_the_keys():
+    """Each key had some ten calls of its own: at six gigabytes they were the larger part of the job."""
+    rng, state = random.Random(5), CountedState()
+    fold = processors.InFrames(processors.DriftTrigger(), processors.TRIGGER_OUT)
+    fold.init(state)
+    rows = [(k * 7_000_000, rng.choice([None, *range(400)]), rng.choice([None, 2**53 + 1 + k]), rng.choice([None, 0.2, 0.9, float("nan")]))
+            for k in range(3000)]
+    arrival = sorted(rows, key=lambda r: r[0] + rng.randrange(3_000_000_000))
+    out = []
+    for k in range(0, 3000, 1500):
+        list(fold.handleInputRows((0,), iter([in_frame(arrival[k:k + 700]), in_frame(arrival[k + 700:k + 1500])]), None))
+        out += fold.handleExpiredTimer((0,), Clock(arrival[k + 1499][0] // 1000 - 3_000_000 if k == 0 else 10**10), None)
+    assert state.calls <= 60
+    got = [tuple(None if pd.isna(v) else v for v in r) for frame in out for r in frame.astype(object).itertuples(index=False)]
+    assert got == plain_triggers(rows)
+
+
+@pytest.mark.parametrize("groups", [1, 3, 4096])
+def test_keys_of_a_group_are_folded_apart(spark, monkeypatch, groups):
+    monkeypatch.setattr(processors, "GROUPS", groups)
+    rng = random.Random(groups)
+    rows = [(T0 + dt.timedelta(seconds=20 * k), f"c{rng.randrange(5)}" if k % 50 else None, 2**53 + 1 + k if k % 9 else None, f"down {k}", "exited") for k in range(400)]
+    arrival = sorted(rows, key=lambda r: r[0] + dt.timedelta(seconds=rng.randrange(480)))
+    arrival.append((T0 + dt.timedelta(hours=9), "beat", 1, "up", "running"))
+    schema = "ts timestamp, container string, event_id long, text string, status string"
+    use_rocksdb_state(spark)
+    stream = file_stream(spark, land(spark, arrival, schema, 4), spark.createDataFrame([], schema).schema, max_files=1)
+    out = run_available_now(streams.limited(stream.withWatermark("ts", "10 minutes")), "limited_test")
+    want, granted = [], {}
+    for ts, container, i, text, status in rows:
+        held = [g for g in granted.get(container, []) if g > ts - dt.timedelta(minutes=10)]
+        ok = len(held) < 3
+        granted[container] = held + [ts] * ok
+        want.append((ts, container, i, status, "restart" if ok else "alert", text + ("; restarted" if ok else "; restart limit reached")))
+    got = out.select(F.timestamp_micros("us"), "container", "event_id", "status", "action", "message").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
