@@ -268,9 +268,12 @@ def test_a_large_table_is_streamed_to_one_task_a_tree(spark):
     grown, _, classes = model._from_table(d, 900, (0.0,), (1.0,), 7, 1, None, 1, 42, 100)
     plan = grown._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Exchange" not in plan and grown.rdd.getNumPartitions() == 7 and classes == [0, 1]
-    with model._few_records(spark):
+    keys = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"]
+    before = [spark.conf.get(k) for k in keys]
+    with model._few_records(spark):  # a record holds thousands of rows: a reader's batch of 4,096 of them filled the heap
+        assert [spark.conf.get(k) for k in keys] == [str(model.RECORDS)] * 2
         rows = grown.groupBy("tree").agg(F.sum(F.octet_length("y")).alias("n")).collect()  # a label of two is a byte
-    assert {r["tree"]: r["n"] for r in rows} == {k: 900 for k in range(7)}
+    assert {r["tree"]: r["n"] for r in rows} == {k: 900 for k in range(7)} and [spark.conf.get(k) for k in keys] == before
 
 
 @pytest.mark.parametrize("classes, max_depth, min_leaf, at_once", [(2, None, 1, 9), (3, None, 1, 40), (2, 3, 1, 9), (3, None, 7, 9)])
